@@ -3,10 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
 
+def op1_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, with_offsets
+
+    pieces = pack(read_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return with_offsets(pieces).drop("slot")
+
+
+def op3_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import piece_digests
+
+    return piece_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import rollup_documents
+
+    return rollup_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
 
@@ -25,4 +45,4 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_outliers, op8_license_diagonals, op9_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing_nnls, op3_sentencepiece_agenda, op4_token_ledger, op6_quality_outliers, op8_license_diagonals, op9_url_rules)}
