@@ -27,6 +27,12 @@ def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import fingerprints_with_neighbours
+
+    return fingerprints_with_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
 
@@ -45,4 +51,4 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing_nnls, op3_sentencepiece_agenda, op4_token_ledger, op6_quality_outliers, op8_license_diagonals, op9_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing_nnls, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op8_license_diagonals, op9_url_rules)}
