@@ -15,6 +15,12 @@ def op1_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_offsets(pieces).drop("slot")
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digests
+
+    return pii_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import piece_digests
 
@@ -51,4 +57,4 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing_nnls, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op8_license_diagonals, op9_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing_nnls, op2_pii_bootstrap, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op8_license_diagonals, op9_url_rules)}
