@@ -169,8 +169,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> Dat
         end, seen = np.array([end_id], "<u4").tobytes(), {}
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids = encode([text.as_py() or ""])[0] + end
+            for ids in encode([text or "" for text in batch.column(1).to_pylist()]):
+                ids += end
                 n = len(ids) // 4
                 rest = n % window
                 rows.append((n, ids, part, full, rest, seen.get(rest, 0)))

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 
 #: Controls that Python takes for white space and the vocabulary doesn't, and starts of special tokens.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
-#: Letters that stay single characters when lower-cased or composed, and closing punctuation.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters that stay single characters when lower-cased or composed, and ASCII punctuation but the apostrophe.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters whose lower case depends on their place or is no single character; stops that touch other punctuation.
+CASED = re.compile("[ΣİϴẞKÅ]")
+JOINED = re.compile(r"[.,](?=\S)|[^\w\s][.,]|_[.,]")
+TOGETHER = 64  # texts whose new words are looked up in one call
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -33,8 +38,6 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         known = self.known
-        if len(known) + len(words) > self.most:
-            known.clear()
         parts = {w: (m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))}
         stems = sorted({stem for stem, _ in parts.values() if stem not in known})
         if stems:  # each stem is one word of the vocabulary's own splitting, so word_ids tells them apart
@@ -43,25 +46,32 @@ class WordEncoder:
             for k, stem in enumerate(stems):
                 known[stem] = ids[ends[k] : ends[k + 1]].tobytes()
         rest = [w for w in ({w for w in words if w not in parts} | {end for _, end in parts.values() if end}) if w not in known]
-        known.update(zip(rest, self.whole(rest), strict=True))
+        if rest:
+            known.update(zip(rest, self.whole(rest), strict=True))
         for w, (stem, end) in parts.items():
             known[w] = known[stem] + known[end] if end else known[stem]
 
+    def words(self, text: str) -> list[str]:
+        """The text cut at white space; where that is sure to change no id, lower-cased and with stops set apart."""
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and not CASED.search(text)):
+            low = text.lower()
+            if not JOINED.search(low):
+                return low.replace(".", " .").replace(",", " ,").split()
+        return text.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if ODD.search(text):
-                out += self.whole([text])
+        out, known = [], self.known
+        for k in range(0, len(texts), TOGETHER):
+            cut = [None if ODD.search(text) else self.words(text) for text in texts[k : k + TOGETHER]]
+            new = {w for words in cut if words for w in set(words).difference(known)}
+            if len(known) + 2 * len(new) > self.most:  # the bound of the cache
+                known.clear()
+                new = set().union(*filter(None, cut))
+            if 2 * len(new) > self.most:
+                out += self.whole(texts[k : k + TOGETHER])
                 continue
-            words = text.split()
-            if new := {w for w in words if w not in self.known}:
-                if len(new) > self.most // 4:
-                    out += self.whole([text])
-                    continue
-                self.learn(new)
-                if any(w not in self.known for w in words):  # the cache was emptied meanwhile
-                    self.learn(set(words))
-            out.append(b"".join(map(self.known.__getitem__, words)))
+            self.learn(new)
+            out += [self.whole([text])[0] if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts[k : k + TOGETHER], cut, strict=True)]
         return out
 
 
