@@ -45,6 +45,12 @@ def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_text import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -63,4 +69,4 @@ def op10_near_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing_nnls, op2_pii_bootstrap, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op8_license_diagonals, op9_url_rules, op10_near_bayes)}
+QUERIES = {f.__name__: f for f in (op1_packing_nnls, op2_pii_bootstrap, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op7_site_templates, op8_license_diagonals, op9_url_rules, op10_near_bayes)}
