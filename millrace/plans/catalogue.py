@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational_queries, scalar_queries, upsert_queries
+from . import relational_queries, scalar_queries, text_queries, upsert_queries
 
-MODULES = (relational_queries, upsert_queries, scalar_queries)
+MODULES = (relational_queries, upsert_queries, scalar_queries, text_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
