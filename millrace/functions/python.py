@@ -6,11 +6,12 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two strings (longest common blocks); null where either is null."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -43,6 +44,6 @@ def split_recursively(text: str, size: int = 200, overlap: int = 20, separators:
     return [p.strip() for p in out if p.strip()]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def recursive_chunks(texts: pd.Series) -> pd.Series:
     return pd.Series([split_recursively(t) if isinstance(t, str) else [] for t in texts])

@@ -14,20 +14,18 @@ TOP, EPS, MOST_CHARS, OPPOSITE, MARGIN, HIGH, SHAPED_LENGTH = 3, 0.05, 30, 0.5,
 SHAPED = r"(?:네요|습니다|어요|아요|해요|게|고|죠|냐)$"
 
 
-def suppressed(spans: Column, eps: float = EPS) -> Column:
-    """Without spans inside a longer one that scores at most ``eps`` less."""
+def best_of_each(spans: DataFrame, key: str) -> DataFrame:
+    """Of a row's spans with the same text the best, the first among equals."""
+    best = spans.groupBy(key, "span").agg(F.max_by(F.struct("start", "width", "score"), F.struct("score", (-F.col("start")).alias("early"))).alias("b"))
+    return best.select(key, "span", "b.start", "b.width", "b.score")
 
-    def dominated(s):
-        inside = lambda o: (o["start"] <= s["start"]) & (o["start"] + o["width"] >= s["start"] + s["width"]) & (o["width"] > s["width"]) & (o["score"] >= s["score"] - eps)
-        return F.exists(spans, inside)
 
-    return F.filter(spans, lambda s: ~dominated(s))
-
-
-def best_of_each(spans: Column) -> Column:
-    """Of spans with the same text the best, the first among equals."""
-    better = lambda s: lambda o: (o["span"] == s["span"]) & ((o["score"] > s["score"]) | ((o["score"] == s["score"]) & (o["start"] < s["start"])))
-    return F.filter(spans, lambda s: ~F.exists(spans, better(s)))
+def suppressed(spans: DataFrame, key: str, widths: range, eps: float = EPS) -> DataFrame:
+    """Without spans inside a longer one that scores at most ``eps`` less: each span names the few that it covers."""
+    inner = lambda w: F.transform(F.sequence(F.lit(0), F.col("width") - w), lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(w).alias("width")))
+    covers = [F.when(F.col("width") > w, inner(w)) for w in widths[:-1]]
+    covered = spans.select(key, (F.col("score") + eps).alias("limit"), F.explode(F.flatten(F.array_compact(F.array(*covers)))).alias("c")).groupBy(key, F.col("c.start").alias("start"), F.col("c.width").alias("width")).agg(F.max("limit").alias("limit"))
+    return spans.join(covered, [key, "start", "width"], "left").filter("limit IS NULL OR score > limit").drop("limit")
 
 
 def greedy(spans: Column, top: int = TOP) -> Column:
@@ -54,6 +52,6 @@ def span_keywords(rows: DataFrame, key: str, text: str, label: str, scorer: Scor
     scored = spans.join(scores, spans["span"] == scores["asked"]).filter(with_it >= against).select(key, "label", "start", "width", "span", with_it.alias("score"))
     each = scored.select(key, "label", "start", "width", F.explode(F.split("span", " ")).alias("asked")).join(scores, "asked").filter(F.col("asked").rlike(SHAPED) & (F.length("asked") <= SHAPED_LENGTH) & contrary)
     kept = scored.join(each.select(key, "start", "width").distinct(), [key, "start", "width"], "left_anti")
-    listed = kept.groupBy(key).agg(F.collect_list(F.struct("start", "width", "span", "score")).alias("spans"))
-    chosen = listed.select(key, best_of_each(F.col("spans")).alias("spans")).select(key, suppressed(F.col("spans")).alias("spans")).select(key, greedy(F.col("spans"), top).alias("words"))
+    left = suppressed(best_of_each(kept, key), key, range(low, high + 1)) if high > low else best_of_each(kept, key)
+    chosen = left.groupBy(key).agg(F.collect_list(F.struct("start", "width", "span", "score")).alias("spans")).select(key, greedy(F.col("spans"), top).alias("words"))
     return rows.select(key).join(chosen, key, "left").select(key, F.coalesce(hashtags(F.col("words")), F.lit("")).alias("keywords"))
