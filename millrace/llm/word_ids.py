@@ -10,16 +10,24 @@ import numpy as np
 import public_tokenizers
 
 #: Controls that Python takes for white space and the vocabulary doesn't, and starts of special tokens.
-ODD = re.compile(r"[\x1c-\x1f]|<\|")
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters that stay single characters when lower-cased or composed, and ASCII punctuation but the apostrophe.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Letters whose lower case depends on their place or is no single character; stops that touch other punctuation.
-CASED = re.compile("[ΣİϴẞKÅ]")
-JOINED = re.compile(r"[.,](?=\S)|[^\w\s][.,]|_[.,]")
+#: Letters whose lower case depends on their place or is no single character.
+CASED = ("Σ", "İ", "ϴ", "ẞ", "\u212a", "\u212b")
 TOGETHER = 64  # texts whose new words are looked up in one call
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def apart(text: str, stop: str) -> bool:
+    """Whether each stop follows a letter or digit and ends the text or stands before white space."""
+    if stop not in text:
+        return True
+    parts = text.split(stop)
+    last = parts.pop()
+    return all(p[-1:].isalnum() for p in parts) and all(p[0].isspace() for p in parts[1:]) and (not last or last[0].isspace())
+
+
 class WordEncoder:
     """encode(): little-endian unsigned 32-bit ids of each text, as tokenizers gives them without special tokens.
 
@@ -53,16 +61,16 @@ class WordEncoder:
 
     def words(self, text: str) -> list[str]:
         """The text cut at white space; where that is sure to change no id, lower-cased and with stops set apart."""
-        if text.isascii() or (unicodedata.is_normalized("NFC", text) and not CASED.search(text)):
+        if text.isascii() or (not any(c in text for c in CASED) and unicodedata.is_normalized("NFC", text)):
             low = text.lower()
-            if not JOINED.search(low):
+            if apart(low, ".") and apart(low, ","):
                 return low.replace(".", " .").replace(",", " ,").split()
         return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, known = [], self.known
         for k in range(0, len(texts), TOGETHER):
-            cut = [None if ODD.search(text) else self.words(text) for text in texts[k : k + TOGETHER]]
+            cut = [None if any(c in text for c in ODD) else self.words(text) for text in texts[k : k + TOGETHER]]
             new = {w for words in cut if words for w in set(words).difference(known)}
             if len(known) + 2 * len(new) > self.most:  # the bound of the cache
                 known.clear()
