@@ -23,7 +23,10 @@ def split_recursively(text: str, size: int = 200, overlap: int = 20, separators:
         return [text] if text.strip() else []
     mark = next(s for s in separators if s in text)
     finer = separators[separators.index(mark) + 1 :]
-    parts = text.split(mark) if mark else [text[k : k + size] for k in range(0, len(text), size - overlap)]
+    if not mark:
+        step = size - overlap
+        return [text[k : k + size] for k in range(0, max(len(text) - overlap, 1), step)]
+    parts = text.split(mark)
     out: list[str] = []
     held: list[str] = []
     for part in parts:

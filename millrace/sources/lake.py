@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import CODES, NEWS_ROW, RECIPE
 
@@ -20,14 +19,14 @@ def file_name() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def read_success(spark: SparkSession, root: str, process: str, *, information: str | None = None, since: str | None = None, prefix: str | None = None, schema: T.StructType = NEWS_ROW, form: str = "csv") -> DataFrame:
+def read_success(spark: SparkSession, root: str, process: str, *, information: str | None = None, since: str | None = None, prefix: str | None = None, schema: str = NEWS_ROW, form: str = "csv") -> DataFrame:
     """Rows of status=success under root/process=..., with their partition columns and _page_service.
 
     since: the earliest partition date; prefix: the service that file names begin with. Both prune before files are
     read, or by file name. Either information_cd= or category_cd= may name the kind of data. Broken files are skipped.
     """
     base = f"{root.rstrip('/')}/process={process}"
-    reader = spark.read.schema(T.StructType(schema.fields)).option("basePath", root).option("ignoreCorruptFiles", "true").option("mode", "PERMISSIVE")
+    reader = spark.read.schema(schema).option("basePath", root).option("ignoreCorruptFiles", "true").option("mode", "PERMISSIVE")
     if prefix:
         reader = reader.option("pathGlobFilter", f"{prefix}_*")
     reader = reader.option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true") if form == "csv" else reader
@@ -62,7 +61,7 @@ def information_of(rows: DataFrame, column: str = "information_cd", default: str
     return found[0] if found and found[0] is not None else default
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines with the batch id that the file name holds; blank lines don't count."""
     rows = spark.read.schema(schema).json(path)
     return rows.withColumn("file_batch", F.regexp_extract(file_name(), r"(\d{8}_[A-Za-z0-9]+_\d+|\d{8}_\d+)", 1))
