@@ -8,6 +8,8 @@ Everything is DataFrame expressions; the Cholesky factor of the small covariance
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from .common import let, small_side, written
 SPACE = r"[ \t-\r]"
 #: Name and smallest spread of each statistic: a group of texts without any variation still has room for some.
 STATISTICS = {"word_length": 0.1, "symbols": 0.2, "same_lines": 0.2, "repeats": 0.2, "capitals": 0.15}
-STEPS, LEAST_GROUP, CUT = 4, 40, 45.0  # a chi-squared variable of five degrees exceeds 45 once in some seventy million
+STEPS, LEAST_GROUP, CUT = 4, 40, 36.0  # a chi-squared variable of five degrees exceeds 36 once in a million
 
 
 def words_of(text: Column) -> Column:
@@ -56,12 +58,31 @@ def vector() -> list[Column]:
     return [F.when(F.col("n_words") > 0, F.ln(F.greatest(per("word_chars", "n_words"), F.lit(1.0)))).otherwise(0.0), F.ln(1 + 10 * per("n_symbols", "n_words")), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_capitals", "word_chars")]
 
 
+def chi_squared_below(degrees: int, x: float) -> float:
+    """P(X <= x) of a chi-squared variable: the series of the lower incomplete gamma function."""
+    a, half = degrees / 2, x / 2
+    term = total = 1 / a
+    for k in range(1, 500):
+        term *= half / (a + k)
+        total += term
+    return total * math.exp(a * math.log(half) - half - math.lgamma(a)) if x > 0 else 0.0
+
+
+def consistency(p: int) -> float:
+    """What the covariance of the central half of a normal sample must be multiplied by."""
+    low, high = 0.0, 10.0 * p + 10
+    for _ in range(100):
+        low, high = ((low + high) / 2, high) if chi_squared_below(p, (low + high) / 2) < 0.5 else (low, (low + high) / 2)
+    return 0.5 / chi_squared_below(p + 2, low)
+
+
 def estimates(rows: DataFrame, keys: list[str], floors: list[float]) -> DataFrame:
     """A group's mean m0.. and the inverse pivots and factors of the Cholesky factor of its covariance."""
     p = len(floors)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    whole = consistency(p)
     means = [F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]
-    moments = rows.groupBy(*keys).agg(*means, *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in pairs])
+    moments = rows.groupBy(*keys).agg(*means, *[(F.covar_pop(f"x{i}", f"x{j}") * whole).alias(f"c{i}{j}") for i, j in pairs])
     for i, j in pairs:
         inner = sum((F.col(f"f{i}{k}") * F.col(f"f{j}{k}") for k in range(j)), F.lit(0.0))
         left = F.col(f"c{i}{j}") - inner
