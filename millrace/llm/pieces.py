@@ -4,7 +4,7 @@ encode(): symbols of one text form a chain; an agenda holds adjacent pairs that
 first and leftmost among equals; taking a pair merges it and offers its new neighbours. Characters that no piece has
 become bytes. A text is cut where no merge can reach across (before a run of spaces, and between two characters that
 stand side by side in no piece), and the ids of the parts are kept in a bounded cache. Per Arrow batch, the parts that
-it newly brings are held against the sentencepiece library's encoding, and its decoded texts against the library's.
+it newly brings are held against the sentencepiece library, in both directions.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-LONGEST, MOST = 40, 500_000  # characters of a cached part; cached parts
+LONGEST, MOST = 40, 700_000  # characters of a cached part or word; how many of each are kept
+FEW, NEVER = 24, float("-inf")  # characters of a part whose agenda is a plain list; score of no pair
 _CODERS: dict[str, PieceCoder] = {}
 
 
@@ -37,6 +38,7 @@ class PieceCoder:
         self.byte = {int(self.pieces[i][3:-1], 16): i for i in range(size) if sp.is_byte(i)}
         self.of_byte = {i: bytes([b]) for b, i in self.byte.items()}
         self.silent = {i for i in range(size) if sp.is_control(i)}
+        self.last_odd = max([*self.silent, *self.of_byte])
         self.end = sp.eos_id()
         self.beside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         if any(SPACE in p.strip(SPACE) or (p.strip(SPACE) and p.endswith(SPACE)) for p in self.ids):
@@ -44,13 +46,35 @@ class PieceCoder:
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.known: dict[str, tuple[int, ...]] = {}
         self.fresh: list[str] = []
+        self.spelled: dict[str, str] = {}
+        self.read: dict[str, str] = {}
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part by the agenda."""
+        symbols = self.merge_few(part) if len(part) <= FEW else self.merge_many(part)
+        out: list[int] = []
+        for x in symbols:
+            i = self.ids.get(x)
+            out += [i] if i is not None else [self.byte[b] for b in x.encode()]
+        return out
+
+    def merge_few(self, part: str) -> list[str]:
+        """Symbols of a short part: the agenda is a list of the pairs' scores beside the symbols."""
+        score, symbols = self.score.get, list(part)
+        agenda = [score(part[k : k + 2], NEVER) for k in range(len(part) - 1)]
+        while agenda and (best := max(agenda)) is not NEVER:
+            k = agenda.index(best)
+            symbols[k : k + 2] = [made := symbols[k] + symbols[k + 1]]
+            del agenda[k]
+            if k < len(agenda):
+                agenda[k] = score(made + symbols[k + 1], NEVER)
+            if k:
+                agenda[k - 1] = score(symbols[k - 1] + made, NEVER)
+        return symbols
+
+    def merge_many(self, part: str) -> list[str]:
+        """Symbols of a long part: the agenda is a heap, and pairs that have changed meanwhile are passed over."""
         n, score = len(part), self.score
-        if n == 1 or part in self.ids and n == 2:
-            if (i := self.ids.get(part)) is not None:
-                return [i]
         symbols: list[str] = list(part)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(-s, k, k + 1, pair) for k in range(n - 1) if (s := score.get(pair := part[k : k + 2])) is not None]
@@ -67,15 +91,12 @@ class PieceCoder:
                     heapq.heappush(agenda, (-s, left, nxt, pair))
             if (prev := before[left]) >= 0 and (s := score.get(pair := symbols[prev] + made)) is not None:
                 heapq.heappush(agenda, (-s, prev, left, pair))
-        out: list[int] = []
-        for x in symbols:
-            if x:
-                i = self.ids.get(x)
-                out += [i] if i is not None else [self.byte[b] for b in x.encode()]
-        return out
+        return [x for x in symbols if x]
 
     def parts(self, chunk: str) -> list[str]:
-        """The chunk, cut between characters that no piece has side by side."""
+        """The chunk, cut between characters that no piece has side by side; a short one before its last only."""
+        if len(chunk) <= LONGEST:
+            return [chunk[:-1], chunk[-1]] if len(chunk) > 1 and chunk[-2:] not in self.beside else [chunk]
         at = [k + 1 for k in range(len(chunk) - 1) if chunk[k : k + 2] not in self.beside]
         return [chunk[a:b] for a, b in zip([0, *at], [*at, len(chunk)], strict=True)]
 
@@ -84,14 +105,11 @@ class PieceCoder:
         for part in self.parts(chunk):
             if (got := self.known.get(part)) is None:
                 got = tuple(self.merge(part))
+                self.fresh.append(part)
                 if len(part) <= LONGEST:
                     self.known[part] = got
-                self.fresh.append(part)
             ids += got
-        out = tuple(ids)
-        if len(chunk) <= LONGEST:
-            self.known[chunk] = out
-        return out
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids without an end: as the library's encode(text) where it normalizes nothing but spaces."""
@@ -103,11 +121,14 @@ class PieceCoder:
             ids += known.get(chunk) or self.look_up(chunk)
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """As the library's decode(ids): without the leading space that encoding adds; wrong bytes become U+FFFD."""
+        pieces, of_byte = self.pieces, self.of_byte
+        if ids and min(ids) > self.last_odd:
+            text = "".join([pieces[i] for i in ids])
+            return text.removeprefix(SPACE).replace(SPACE, " ")
         out: list[str] = []
         run: list[bytes] = []
-        pieces, of_byte = self.pieces, self.of_byte
         for i in ids:
             if (b := of_byte.get(i)) is not None:
                 run.append(b)
@@ -122,19 +143,34 @@ class PieceCoder:
         text = "".join(out)
         return text.removeprefix(SPACE).replace(SPACE, " ") if out and out[0].startswith(SPACE) else text.replace(SPACE, " ")
 
-    def check(self, ids: list[list[int]] | None = None, texts: list[str] | None = None) -> None:
-        """Holds the newly met parts, and decoded texts if given, against the library; then bounds the cache."""
-        if ids and self.library.decode(ids) != texts:
-            raise ValueError("a decoded text differs from the library's")
+    def digits(self, text: str) -> tuple[str, str]:
+        """(decimal ids joined by spaces, decoded text) of a text with the end id, put together from its words."""
+        words = text.split(" ")
+        if not text or SPACE in text or "" in words:  # runs of spaces make pieces of their own
+            ids = [*self.encode(text), self.end]
+            return " ".join(map(str, ids)), self.decode(ids)
+        spelled, read = self.spelled, self.read
+        for word in set(words).difference(spelled):
+            ids = self.look_up(SPACE + word)
+            spelled[word], read[word] = " ".join(map(str, ids)), self.decode(ids)
+        out = f"{' '.join(map(spelled.__getitem__, words))} {self.end}", " ".join(map(read.__getitem__, words))
+        if len(spelled) > MOST:
+            spelled.clear()
+            read.clear()
+        return out
+
+    def check(self) -> None:
+        """Holds the newly met parts against the library, ids and decoded text; then bounds the cache."""
         fresh, self.fresh = self.fresh, []
+        head = self.library.encode("\n", num_threads=1)
         for k in range(0, len(fresh), 20_000):
             asked = fresh[k : k + 20_000]
             given = self.library.encode(["\n" + part.replace(SPACE, " ") for part in asked], num_threads=1)
-            head = self.library.encode("\n", num_threads=1)
-            for part, ids in zip(asked, given, strict=True):
+            read = self.library.decode(given)
+            for part, ids, text in zip(asked, given, read, strict=True):
                 mine = list(self.known.get(part) or self.merge(part))
-                if ids != head + mine:
-                    raise ValueError(f"ids of {part!r} differ from the library's: {mine} and {ids[len(head):]}")
+                if ids != head + mine or text != self.decode(ids):
+                    raise ValueError(f"ids or text of {part!r} differ from the library's: {mine} and {ids[len(head):]}")
         if len(self.known) > MOST:
             self.known.clear()
 
@@ -179,7 +215,7 @@ def encode_pieces(docs: DataFrame, *, model: str = "piece_bpe_32k.model", text_c
                 part = batch.slice(low, 512)
                 ids = [[*pieces.encode(x.as_py() or ""), pieces.end] for x in part.column(1)]
                 decoded = [pieces.decode(x) for x in ids]
-                pieces.check(ids, decoded)
+                pieces.check()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -192,13 +228,14 @@ def piece_digests(docs: DataFrame, *, model: str = "piece_bpe_32k.model") -> Dat
         pieces = coder(model)
         for batch in batches:
             counts, of_ids, of_texts = [], [], []
-            for low in range(0, batch.num_rows, 128):
-                ids = [[*pieces.encode(x.as_py() or ""), pieces.end] for x in batch.column(1)[low : low + 128]]
-                texts = [pieces.decode(x) for x in ids]
-                pieces.check(ids, texts)
-                counts += map(len, ids)
-                of_ids += [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-                of_texts += [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+            for x in batch.column(1):
+                ids, text = pieces.digits(x.as_py() or "")
+                counts.append(ids.count(" ") + 1)
+                of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
+                of_texts.append(hashlib.sha256(text.encode()).hexdigest())
+                if len(pieces.fresh) > 20_000:
+                    pieces.check()
+            pieces.check()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
