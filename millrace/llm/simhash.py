@@ -9,6 +9,7 @@ differ, three blocks agree, so a table for each choice of three blocks, keyed by
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import literal_table, small_side, written
 
 TERM, BITS, RADIUS, AGREE = 5, 64, 3, 3
 MOST_WORDS, AT_ONCE = 500_000, 20_000
@@ -85,19 +86,28 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = rows.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    bounds = sorted(set(bounds))  # at most one number a part
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("at")))
-    dealt = rows.withColumn("part", part)
+    tasks = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 8 * tasks  # many small ranges a task even out its size
+    bounds = rows.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []
+    dealt = rows.withColumn("part", range_of(F.col("at"), sorted(set(bounds))))  # at most one number a part
     heads = dealt.groupBy("part").agg(F.min("at").alias("head")).orderBy("part").collect()  # a row a part
-    before = {heads[k]["head"]: heads[k - 1]["part"] for k in range(len(heads))}
-    if not before:
-        return dealt.select("part", "at", "doc_id", "text", F.lit(False).alias("only_next"))
-    previous = F.element_at(F.create_map(*[x for head, k in before.items() for x in (F.lit(head).cast("long"), F.lit(k))]), F.col("at"))
-    first = (F.col("at") == F.element_at(F.create_map(*[x for r in heads for x in (F.lit(r["part"]), F.lit(r["head"]).cast("long"))]), F.col("part")))
-    places = F.when(first, F.array(F.struct(F.col("part"), F.lit(False).alias("only_next")), F.struct(previous.alias("part"), F.lit(True).alias("only_next")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("only_next"))))
-    return dealt.select("at", "doc_id", "text", F.explode(places).alias("place")).select("place.part", "at", "doc_id", "text", "place.only_next").repartition(parts, "part").sortWithinPartitions("part", "only_next", "at", "text")
+    table = literal_table(spark, [{"of": r["part"], "head": r["head"], "previous": heads[k - 1]["part"]} for k, r in enumerate(heads)], "of: int, head: bigint, previous: int")
+    known = dealt.join(F.broadcast(table), F.col("part") == F.col("of"))  # a row a part
+    own, other = F.struct(F.col("part"), F.lit(False).alias("only_next")), F.struct(F.col("previous").alias("part"), F.lit(True).alias("only_next"))
+    places = F.when(F.col("at") == F.col("head"), F.array(own, other)).otherwise(F.array(own))
+    return known.select("at", "doc_id", "text", F.explode(places).alias("place")).select("place.part", "at", "doc_id", "text", "place.only_next").repartition(tasks, "part").sortWithinPartitions("part", "only_next", "at", "text")
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below the value, in two steps of about the root of their number each."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    below = lambda array: F.size(F.filter(array, lambda b: b < value))
+    lasts = F.from_json(F.lit(json.dumps([c[-1] for c in chunks[:-1]])), "array<bigint>")
+    chunk = below(lasts)
+    return chunk * width + below(F.get(F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>"), chunk))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -176,6 +186,6 @@ def fingerprints_with_neighbours(docs: DataFrame, *, radius: int = RADIUS, one_i
     high = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long")
     marked = made.withColumn("mark", F.shiftleft(high, 32).bitwiseOR(low))
     asks = F.col("doc_id") % one_in == 0
-    found = within_radius(marked.select("mark"), marked.filter(asks).select("mark"), radius=radius).select("mark", F.col("n_docs").alias("n_within"))
-    joined = marked.join(small_side(found, 200_000), "mark", "left")
+    found = written(within_radius(marked.select("mark"), marked.filter(asks).select("mark"), radius=radius).select("mark", F.col("n_docs").alias("n_within")), "fingerprint-neighbours")
+    joined = marked.join(small_side(found, 50_000), "mark", "left")
     return joined.withColumn("n_within", F.when(asks, F.col("n_within"))).drop("mark")
