@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import COVERED, PHRASES, SLACK, STRETCH, TEMPLATES, K
+from .near_join import TERM, THRESHOLD
 from .url_rules import BLOCK_WORDS, LISTED
 
 
@@ -24,4 +26,45 @@ SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN wo
 FROM parts LEFT JOIN fit USING (n) LEFT JOIN word USING (n)"""
 
 
-ORACLES = {"op9_url_rules": url_rules_sql()}
+def license_sql() -> str:
+    """Words of k-grams stand for their hashes."""
+    words = lambda text: f"list_filter(regexp_split_to_array(lower({text}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    grams = f"list_transform(range(0, len(w) - {K - 1}), lambda i: {{'i': i, 'gram': array_to_string(w[i + 1:i + {K}], ' ')}})"
+    templates = ", ".join(f"({n}, '{label}', '{wording}')" for n, (label, wording) in enumerate(TEMPLATES))
+    at = lambda phrase: f"list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + {len(phrase.split())}], ' ') = '{phrase}')"
+    places = " || ".join(at(p) for p in PHRASES.values())
+    base = ", ".join(f"CASE WHEN len({at(p)}) > 0 THEN '{label}' END" for label, p in PHRASES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT template, label, {words('wording')} AS w FROM (VALUES {templates}) AS v(template, label, wording)),
+g AS (SELECT template, label, len(w) - {K - 1} AS grams, x.i AS at, x.gram AS gram FROM (SELECT *, unnest({grams}) AS x FROM t)),
+h AS (SELECT n, x.i AS i, x.gram AS gram FROM (SELECT n, unnest({grams}) AS x FROM d)),
+v AS (SELECT n, template, label, grams, h.i - g.at AS diagonal, list(DISTINCT g.at) AS ats, min(h.i) AS first, max(h.i) AS last FROM h JOIN g USING (gram) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY n, template ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS apart FROM v),
+r AS (SELECT *, sum(apart) OVER (PARTITION BY n, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM a),
+m AS (SELECT n, label, grams, len(list_distinct(flatten(list(ats)))) AS held, max(last) + {K} - min(first) AS length FROM r GROUP BY n, template, label, grams, run),
+f AS (SELECT n, list(DISTINCT label) AS found, max(held / grams) AS covered FROM m WHERE held / grams >= {COVERED} AND length <= {STRETCH} * (grams + {K - 1}) GROUP BY n),
+b AS (SELECT n, doc_id, len(w) AS n_words, {places} AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM d)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(covered, 0.0) END::DOUBLE AS score
+FROM b LEFT JOIN f USING (n)"""
+
+
+def near_sql() -> str:
+    """All pairs of texts that share a run of words, without candidates or pruning."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {TERM} THEN list_transform(range(1, len(w) - {TERM - 2}), lambda i: array_to_string(w[i:i + {TERM - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS run FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE k >= {THRESHOLD} * (cx.n + cy.n - k)
+  UNION SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON a.w = b.w AND a.doc_id <> b.doc_id),
+r AS (SELECT x AS node, x AS seen FROM l UNION SELECT r.node, l.y FROM r JOIN l ON r.seen = l.x),
+m AS (SELECT node, min(seen) AS class_id FROM r GROUP BY 1),
+t AS (SELECT w, min(doc_id) AS text_class FROM w GROUP BY 1),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT w.doc_id, coalesce(m.class_id, w.doc_id) AS class_id, coalesce(n.n, 0) AS n_links, t.text_class
+FROM w JOIN t USING (w) LEFT JOIN m ON m.node = w.doc_id LEFT JOIN n ON n.x = w.doc_id"""
+
+
+ORACLES = {"op8_license_diagonals": license_sql(), "op9_url_rules": url_rules_sql(), "op10_near_bayes": near_sql()}
