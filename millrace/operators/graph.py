@@ -166,6 +166,6 @@ def full_text(docs: DataFrame, key: str, tokens, query_words: list[str], limit:
     """
     postings = docs.select(F.col(key).alias("key"), F.explode(tokens).alias("word")).filter(F.col("word").isin(*query_words)).groupBy("key", "word").agg(F.count("*").alias("tf"))
     df = postings.groupBy("word").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    scored = postings.join(F.broadcast(df), "word").crossJoin(F.broadcast(n))  # a row a query word, and one row
-    return scored.groupBy("key").agg(F.round(F.sum(F.col("tf") * F.ln(1 + F.col("n") / F.col("df"))), 6).alias("score")).orderBy(F.desc("score"), "key").limit(limit)
+    n = docs.agg(F.count("*")).scalar()
+    scored = postings.join(F.broadcast(df), "word").withColumn("weight", F.col("tf") * F.ln(1 + n / F.col("df")))  # df: a row a query word
+    return scored.groupBy("key").agg(F.round(F.sum("weight"), 6).alias("score")).orderBy(F.desc("score"), "key").limit(limit)

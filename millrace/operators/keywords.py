@@ -37,9 +37,9 @@ def hybrid_ranks(docs: DataFrame, doc: str, tokens: Column, title: Column, top:
     """
     tf = docs.select(F.col(doc), F.explode(tokens).alias("term"), title.alias("title")).groupBy(doc, "term").agg(F.count("*").alias("tf"), F.max(F.contains("title", "term").cast("int")).alias("in_title"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(n))  # n is one row
-    idf = F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    n = docs.agg(F.count("*")).scalar()
+    scored = tf.join(df, "term")
+    idf = F.ln((1 + n) / (1 + F.col("df"))) + 1
     weight = TF_IDF_SHARE * F.least(F.lit(1.0), F.col("tf") * idf / FULL_SCORE) + TF_SHARE * F.least(F.lit(1.0), F.col("tf") / FULL_SCORE) + TITLE_SHARE * F.col("in_title")
     ranked = scored.withColumn("importance", F.round(weight, 6)).withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("importance"), "term")))
     return ranked.filter(F.col("rank") <= top).select(doc, "term", "tf", "importance", "rank")

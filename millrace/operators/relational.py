@@ -59,7 +59,7 @@ def longest_prefix(texts: DataFrame, text: str, codes: DataFrame, name: str, cod
     One equi-join on prefixes of the lengths that names have (a short list), instead of comparing all pairs.
     """
     bare = codes.select(F.replace(F.col(name), F.lit(" "), F.lit("")).alias("prefix"), F.col(code).alias("code")).filter("prefix <> ''").groupBy("prefix").agg(F.min("code").alias("code"))
-    lengths = [r[0] for r in bare.select(F.length("prefix").alias("n")).distinct().orderBy("n").limit(200).collect()]
+    lengths = [r[0] for r in bare.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]  # at most the longest name's length of numbers
     given = texts.withColumn("bare_text", F.replace(F.col(text), F.lit(" "), F.lit("")))
     tried = given.withColumn("n", F.explode_outer(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))).withColumn("prefix", F.expr("left(bare_text, n)"))
     hit = tried.filter(F.length("prefix") == F.col("n")).join(small_side(bare, 50_000), "prefix")
@@ -73,12 +73,13 @@ def group_of_code(codes: DataFrame, code: str, name: str, upper: str, groups: Da
     return both.select(F.explode(F.array(F.col(code).cast("string"), F.col(name))).alias("lookup"), F.col(code).alias("code"), "group_name")
 
 
-def global_rank(df: DataFrame, key: str, order: Sequence[Column], *, parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, key: str, order: Sequence[Column], *, parts: int | None = None) -> DataFrame:
     """df with ``rank``: 1, 2, ... in the order given, whose first column is the numeric ``key``.
 
-    Rows fall into ranges of the key by quantiles; each range ranks its own and adds the sizes of those before it, so
-    no task sees all rows. Only the quantiles and the ranges' sizes are gathered.
+    Rows fall into ranges of the key by quantiles (as many as shuffle partitions, up to 2000); each range ranks its own
+    and adds the sizes of those before it, so no task sees all rows. Only the quantiles and sizes are gathered.
     """
+    parts = parts or max(8, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     bounds = sorted(set(df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
     dealt = df.withColumn("part", part)

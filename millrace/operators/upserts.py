@@ -65,9 +65,9 @@ def with_next_ids(rows: DataFrame, target: DataFrame, id_col: str, order: Sequen
     """rows with ids after the largest of target, in the order given; numbers are dealt by hash ranges, not in one task."""
     from .relational import global_rank
 
-    first = next_id(target, id_col)
+    first = next_id(target, id_col).scalar()
     ranked = global_rank(rows.withColumn("spread", F.xxhash64(*order)), "spread", [F.col("spread"), *[F.col(c) for c in order]])
-    return ranked.crossJoin(F.broadcast(first)).withColumn(id_col, (F.col("next_id") + F.col("rank") - 1).cast("long")).drop("spread", "rank", "next_id")
+    return ranked.withColumn(id_col, (first + F.col("rank") - 1).cast("long")).drop("spread", "rank")
 
 
 def replace_where(target: DataFrame, source: DataFrame, doomed: Column) -> DataFrame:
