@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from ..operators.components import components
+from .common import shared_dir, small_side, written
 from .simhash import WORDS, term_hashes
 
-TERM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-4
-BANDS, ROWS, AT_ONCE = 32, 6, 16
+TERM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
+BANDS, ROWS, AT_ONCE = 38, 5, 19
 TILE, TILE_BYTES = 384, 6_000_000
 PRIME = np.uint64(0xD6E8FEB86659FD93)
 
@@ -100,25 +101,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))).alias("text_key"), text.alias("text"))
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """node, label: the least node of each connected component of edges(a, b); a node without an edge isn't there.
-
-    Each round gives every node the least label beside it and then its label's label, so chains halve; rounds are
-    checkpointed, and a node's neighbours are only ever aggregated.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
-    for _ in range(most_rounds):
-        beside = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("beside"))
-        nearer = labels.join(beside, labels["node"] == beside["a"]).select("node", F.col("label").alias("old"), F.least("label", "beside").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        moved = nearer.join(jump, nearer["label"] == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
-        labels = moved.select("node", "label")
-        if not moved.filter("label <> old").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
 def examine(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into left and right, or left alone with i < j) whose similarity reaches the threshold."""
     cut = lambda x: [np.frombuffer(b, np.uint64) for b in x["terms"]]
@@ -220,6 +202,7 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: fl
     runs and are linked to their like only. Null doc_ids count as the least long and stay null. Rows that repeat count
     as documents of their own. An empty table gives no rows. Only doc_id and text are looked at.
     """
+    shared_dir(docs.sparkSession)
     least = F.lit(-(2**63))
     rows = sketches(docs).withColumn("at", F.coalesce("doc_id", least))
     classes = written(rows.groupBy("text_key").agg(F.min("at").alias("node"), F.count("*").alias("docs"), F.first("bands").alias("bands"), F.first("n_terms").alias("n_terms")), "near-classes")
@@ -229,7 +212,7 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: fl
     families = components(edges).select(F.col("node").alias("text_key"), F.col("label").alias("family"))
     members = written(classes.drop("bands").join(families, "text_key").withColumn("id", F.xxhash64("text_key")), "near-members")
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_terms") * 8 / TILE_BYTES)).cast("int").alias("chunks"))
-    dealt = members.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("text_key", F.lit("chunk")), F.col("chunks")).cast("int"))
+    dealt = members.join(small_side(sizes.checkpoint(), 200_000), "family").withColumn("chunk", F.pmod(F.xxhash64("text_key", F.lit("chunk")), F.col("chunks")).cast("int"))
     heads = keyed(docs).withColumn("at", F.coalesce("doc_id", least)).join(small_side(dealt.select("text_key", F.col("node").alias("at"), "id", "docs", "family", "chunk", "chunks"), 200_000), ["text_key", "at"])
     terms = written(with_terms(heads), "near-terms")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

@@ -153,7 +153,7 @@ def test_tiles_of_a_large_family(spark, monkeypatch):
 def test_bayes_bound():
     from math import comb
 
-    for n, needed in near_join.least_matches(0.8, 1e-4, 192, 16):
+    for n, needed in near_join.least_matches(0.8, 1e-4, 190, 19):
         tail = lambda m, n=n: sum(comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
         assert tail(needed) >= 1e-4 and (needed == 0 or tail(needed - 1) < 1e-4)
 
