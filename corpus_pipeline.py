@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import small_side, written
-from millrace.llm.near_join import near_classes
+from millrace.llm.near_join import near_classes, text_key
 from millrace.llm.packing import pack, with_offsets
 from millrace.llm.pii import KINDS, find_pii
 from millrace.llm.quality import quality_verdicts
@@ -30,10 +30,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each class of near duplicates."""
-    classes = written(near_classes(docs).select("doc_id", "class_id"), "stage-near")
-    kept = without(docs, classes.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct())
-    return kept.dropDuplicates(["doc_id"])
+    """The head (of the least doc_id, then text key) of each class of near duplicates; of rows that repeat it, one."""
+    classes = written(near_classes(docs).select("doc_id", "text_key", ((F.coalesce("doc_id", F.lit(-(2**63))) == F.col("class_id")) & (F.col("text_key") == F.col("head_key"))).alias("head")), "stage-near")
+    gone = classes.filter("NOT head").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    known = docs.select(*COLUMNS, text_key(F.col("text")).alias("text_key"))
+    kept = known.join(small_side(gone, 200_000), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
+    twice = classes.filter("head").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
+    return (kept.dropDuplicates(["doc_id", "text_key"]) if twice.limit(1).count() else kept).select(*COLUMNS)
 
 
 def redacted(text, spans):

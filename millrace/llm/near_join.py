@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -95,10 +95,14 @@ def term_hashes_of_rows(folded: np.ndarray) -> np.ndarray:
     return (keys * PRIME).view(np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """One key for texts of the same words in the same order; null text counts as empty."""
+    return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, text. Texts of the same words in the same order have one key; null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))).alias("text_key"), text.alias("text"))
+    """doc_id, text_key, text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def examine(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +198,10 @@ def tile_links(tiles: DataFrame, threshold: float, tolerance: float) -> DataFram
 
 
 def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """A row a document: doc_id, class_id, n_links, text_class.
+    """A row a document: doc_id, class_id, n_links, text_class, text_key, head_key.
 
-    text_class is the least doc_id with the same words; class_id the least doc_id among all documents that links of
+    text_class is the least doc_id with the same words; text_key tells texts of different words apart, and head_key is
+    that of the class's head, so that rows which share a doc_id but not a text keep apart; class_id the least doc_id among all documents that links of
     similarity ``threshold`` or more join, directly or in steps; n_links the other documents that such a link, or the
     same words, join to this one directly. A text of fewer than five words is one run; null and empty texts have no
     runs and are linked to their like only. Null doc_ids count as the least long and stay null. Rows that repeat count
@@ -221,10 +226,10 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: fl
     degrees = found.filter("links IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("id"), "label")
     linked = members.select("text_key", "id", "node").join(joined, "id").join(degrees, "id", "left")
-    first = linked.groupBy("label").agg(F.min("node").alias("class_id"))
-    named = linked.join(first, "label").select("text_key", "class_id", "links")
-    per_class = classes.select("text_key", "node", "docs").join(small_side(named, 200_000), "text_key", "left").select("text_key", F.col("node").alias("text_class"), F.coalesce("class_id", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
-    return rows.select("doc_id", "text_key").join(per_class, "text_key").select("doc_id", "class_id", "n_links", "text_class")
+    first = linked.groupBy("label").agg(F.min(F.struct("node", "text_key")).alias("head"))
+    named = linked.join(first, "label").select("text_key", F.col("head.node").alias("class_id"), F.col("head.text_key").alias("head_key"), "links")
+    per_class = classes.select("text_key", "node", "docs").join(small_side(named, 200_000), "text_key", "left").select("text_key", F.col("node").alias("text_class"), F.coalesce("class_id", "node").alias("class_id"), F.coalesce("head_key", "text_key").alias("head_key"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    return rows.select("doc_id", "text_key").join(per_class, "text_key").select("doc_id", "class_id", "n_links", "text_class", "text_key", "head_key")
 
 
 def with_terms(heads: DataFrame) -> DataFrame:

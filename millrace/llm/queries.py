@@ -66,7 +66,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_join import near_classes
 
-    return near_classes(read_table(spark, sf_dir, "documents"))
+    return near_classes(read_table(spark, sf_dir, "documents")).drop("text_key", "head_key")
 
 
 QUERIES = {f.__name__: f for f in (op1_packing_nnls, op2_pii_bootstrap, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op7_site_templates, op8_license_diagonals, op9_url_rules, op10_near_bayes)}

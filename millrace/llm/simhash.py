@@ -172,7 +172,8 @@ def within_radius(marks: DataFrame, queries: DataFrame, *, radius: int = RADIUS,
     wanted = asked.select("mark", F.explode(F.array(*block_keys(F.col("mark"), radius, agree))).alias("t")).select("mark", "t.table", "t.key")
     differ = F.col("mark").bitwiseXOR(F.col("other"))
     agreeing = F.array(*[F.when(k["key"] == 0, k["table"]) for k in block_keys(differ, radius, agree)])
-    pairs = wanted.join(tabled, ["table", "key"]).filter((F.bit_count(differ) <= radius) & (F.array_min(agreeing) == F.col("table")))
+    # merged on purpose: the planner doesn't know that explode multiplies, and would broadcast the tables of all queries
+    pairs = wanted.join(tabled.hint("merge"), ["table", "key"]).filter((F.bit_count(differ) <= radius) & (F.array_min(agreeing) == F.col("table")))
     return pairs.groupBy("mark").agg(F.count("*").alias("n_marks"), F.sum("n").alias("n_docs"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, written
+from .common import shared_dir, small_side, written
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
@@ -122,11 +122,10 @@ def rollup_documents(docs: DataFrame, *, versions: tuple[str, ...] = VERSIONS, l
     new = per_version(exact, versions)
     old = new.withColumn("n_tokens", F.ceil(F.col("n_chars") / 4))
     first = F.struct("doc_id", "source", "lang")
-    # texts by hash: a text that a third of all rows share is one row a task before the shuffle
-    kept = exact.groupBy("text_hash").agg(F.min(first).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    copied = (
-        exact.groupBy("text_hash", "doc_id", "source", "lang", "n_chars", *[f"n_{v}" for v in versions]).agg(F.count("*").alias("rows_here")).join(kept, "text_hash")
-    ).withColumn("extra", F.col("rows_here") - F.when(first == F.col("first"), 1).otherwise(0)).filter("extra > 0")
+    # a text that a third of all rows share is one row a task before the first shuffle; the join's large side is split
+    kept = written(exact.groupBy("text_hash").agg(F.min(first).alias("first"), F.count("*").alias("rows")).filter("rows > 1"), "token-copies")
+    each = exact.join(small_side(kept, 200_000), "text_hash").groupBy("text_hash", "first", "doc_id", "source", "lang", "n_chars", *[f"n_{v}" for v in versions]).agg(F.count("*").alias("rows_here"))
+    copied = each.withColumn("extra", F.col("rows_here") - F.when(first == F.col("first"), 1).otherwise(0)).filter("extra > 0")
     extra = copied.select("*", F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"n_{v}").alias("n_tokens")) for v in versions])).alias("each"))
     gone = extra.select("source", "lang", "each.tokenizer", (-F.col("extra")).alias("n_docs"), (-F.col("extra") * F.col("each.n_tokens")).alias("n_tokens"), (-F.col("extra") * F.col("n_chars")).alias("n_chars"))
     ledger.commit("load", inserts(old))

@@ -210,6 +210,9 @@ def test_pipeline(spark, sf_dir):
             assert set(rows) == kept and not any(base_spans(t) for t in rows.values())
         kept, texts = set(rows), rows
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()} == kept
+    odd = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z"), (2, "a  b c d e f"), (None, None), (None, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "6L AS n_chars")
+    left = corpus_pipeline.near_stage(spark, odd, sf_dir).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (1, "a b c d e f"), (1, "u v w x y z")]
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
