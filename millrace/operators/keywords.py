@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Weights of the hybrid importance and of keyword statistics.
 TF_IDF_SHARE, TF_SHARE, TITLE_SHARE, FULL_SCORE = 0.5, 0.3, 0.2, 5.0
 HISTORY_RATE, MOST_HISTORY, REPEAT_PENALTY, SINGLE_PENALTY, TARGET_BOOST = 0.03, 0.1, 0.92, 0.8, 1.15
+HALF_WAY = 1e-9
 
 
 def windows(tokens: Column, low: int = 2, high: int = 3) -> Column:
@@ -52,12 +53,15 @@ def keyword_counts(rows: DataFrame, scope: str, words: Column, score: Column) ->
 
 
 def keyword_weights(counts: DataFrame, history: Column, is_target: Column, jitter: Column | float = 1.0) -> DataFrame:
-    """counts with average_score, history_boost and final_weight."""
+    """counts with average_score, history_boost and final_weight, to four places.
+
+    A billionth is added before rounding, so that half-way values go up whatever the order in which scores were summed.
+    """
     average = F.col("score_sum") / F.col("batch_count")
     boost = F.least(F.log1p(history) * HISTORY_RATE, F.lit(MOST_HISTORY))
     weight = F.col("batch_count") * average * (1 + boost)
     weight = weight * F.when(history > 0, REPEAT_PENALTY).otherwise(1.0) * F.when((F.col("batch_count") == 1) & (history == 0), SINGLE_PENALTY).otherwise(1.0) * F.when(is_target, TARGET_BOOST).otherwise(1.0)
-    return counts.withColumns({"average_score": F.round(average, 4), "history_boost": F.round(boost, 4), "final_weight": F.round(weight * jitter, 4)})
+    return counts.withColumns({"average_score": F.round(average + HALF_WAY, 4), "history_boost": F.round(boost + HALF_WAY, 4), "final_weight": F.round(weight * jitter + HALF_WAY, 4)})
 
 
 def candidate_pool(weights: DataFrame, scope: str, ratio: Column, most: int, *, least_ratio: float = 0.5, near_top: float = 0.55) -> DataFrame:

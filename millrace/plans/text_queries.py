@@ -57,9 +57,9 @@ c AS (SELECT source, keyword, count(*) AS batch_count, sum(score) AS score_sum F
 WEIGHTS = f"""WITH {KEYWORDS},
 h AS (SELECT keyword, count(*) AS history FROM (SELECT unnest(list_distinct(w)) AS keyword FROM d WHERE quality = 0) GROUP BY 1),
 s AS (SELECT c.*, coalesce(history, 0) AS history, starts_with(c.keyword, 'th') AS target FROM c LEFT JOIN h USING (keyword)),
-w AS (SELECT source, keyword, batch_count, round(score_sum / batch_count, 4) AS average_score, round(least(ln(1 + history) * 0.03, 0.1), 4) AS history_boost,
+w AS (SELECT source, keyword, batch_count, round(score_sum / batch_count + 1e-9, 4) AS average_score, round(least(ln(1 + history) * 0.03, 0.1) + 1e-9, 4) AS history_boost,
   round(batch_count * (score_sum / batch_count) * (1 + least(ln(1 + history) * 0.03, 0.1)) * CASE WHEN history > 0 THEN 0.92 ELSE 1.0 END
-  * CASE WHEN batch_count = 1 AND history = 0 THEN 0.8 ELSE 1.0 END * CASE WHEN target THEN 1.15 ELSE 1.0 END, 4) AS final_weight FROM s)"""
+  * CASE WHEN batch_count = 1 AND history = 0 THEN 0.8 ELSE 1.0 END * CASE WHEN target THEN 1.15 ELSE 1.0 END + 1e-9, 4) AS final_weight FROM s)"""
 
 
 def labelled(spark, sf_dir):
