@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Controls that Python takes for white space and the vocabulary doesn't, and starts of special tokens.
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters that stay single characters when lower-cased or composed, and ASCII punctuation but the apostrophe.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Letters whose lower case depends on their place or is no single character.
-CASED = ("Σ", "İ", "ϴ", "ẞ", "\u212a", "\u212b")
-TOGETHER = 64  # texts whose new words are looked up in one call
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<end>[!-&(-/:-@\[-`{-~]*)$"
+AT_ONCE = 4_000_000  # characters of texts that are cut into words together
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def apart(text: str, stop: str) -> bool:
-    """Whether each stop follows a letter or digit and ends the text or stands before white space."""
-    if stop not in text:
-        return True
-    parts = text.split(stop)
-    last = parts.pop()
-    return all(p[-1:].isalnum() for p in parts) and all(p[0].isspace() for p in parts[1:]) and (not last or last[0].isspace())
+def joined(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units in turn, how many each has)."""
+    return np.frombuffer(b"".join(units), "<u4"), np.fromiter(map(len, units), np.int64, len(units)) // 4
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units numbered by ``at``, in that order, how many each has)."""
+    each = sizes[at]
+    before = np.cumsum(each) - each
+    return ids[np.arange(int(each.sum())) + np.repeat((np.cumsum(sizes) - sizes)[at] - before, each)], each
 
 
 class WordEncoder:
@@ -42,44 +45,48 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, stems: list[str], rest: list[str]) -> None:
+        """Keeps the ids of plain stems and of other words that are not known yet."""
         known = self.known
-        parts = {w: (m[1].lower(), m[2]) for w in words if (m := PLAIN.fullmatch(w))}
-        stems = sorted({stem for stem, _ in parts.values() if stem not in known})
+        stems, rest = [w for w in stems if w not in known], [w for w in rest if w not in known]
         if stems:  # each stem is one word of the vocabulary's own splitting, so word_ids tells them apart
             e = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
-            ids, ends = np.array(e.ids, "<u4"), np.searchsorted(np.array(e.word_ids), np.arange(len(stems) + 1))
-            for k, stem in enumerate(stems):
-                known[stem] = ids[ends[k] : ends[k + 1]].tobytes()
-        rest = [w for w in ({w for w in words if w not in parts} | {end for _, end in parts.values() if end}) if w not in known]
-        if rest:
-            known.update(zip(rest, self.whole(rest), strict=True))
-        for w, (stem, end) in parts.items():
-            known[w] = known[stem] + known[end] if end else known[stem]
-
-    def words(self, text: str) -> list[str]:
-        """The text cut at white space; where that is sure to change no id, lower-cased and with stops set apart."""
-        if text.isascii() or (not any(c in text for c in CASED) and unicodedata.is_normalized("NFC", text)):
-            low = text.lower()
-            if apart(low, ".") and apart(low, ","):
-                return low.replace(".", " .").replace(",", " ,").split()
-        return text.split()
+            ids, ends = np.array(e.ids, "<u4").tobytes(), 4 * np.searchsorted(np.array(e.word_ids), np.arange(len(stems) + 1))
+            known.update((stem, ids[a:b]) for stem, a, b in zip(stems, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        known.update(zip(rest, self.whole(rest), strict=True))
+
+    def spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number) of the distinct words: a plain word is a stem, lower-cased, and an end."""
+        stem, end = pc.extract_regex(words, PLAIN).flatten()  # null where a word is not plain
+        stems, others = pc.utf8_lower(stem).dictionary_encode(), pc.coalesce(end, words).dictionary_encode()
+        firsts, lasts = stems.dictionary.to_pylist(), others.dictionary.to_pylist()
+        self.learn(firsts, lasts)
+        units = [*map(self.known.__getitem__, firsts), *map(self.known.__getitem__, lasts), b""]
+        if len(self.known) > self.most:
+            self.known.clear()
+        at = np.empty(2 * len(words), np.int64)
+        at[0::2] = stems.indices.fill_null(len(units) - 1).to_numpy()
+        at[1::2] = others.indices.to_numpy() + len(firsts)
+        ids, each = gathered(*joined(units), at)
+        return ids, each.reshape(-1, 2).sum(axis=1)
+
+    def encode_some(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [[] if any(c in text for c in ODD) else text.split() for text in texts]
+        every = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        flat, each = gathered(*self.spelled(every.dictionary), every.indices.to_numpy())
+        bounds = np.concatenate([[0], np.cumsum(each)])[np.cumsum([0, *map(len, cut)])].tolist()
+        for text, own, a, b in zip(texts, cut, bounds[:-1], bounds[1:], strict=True):
+            yield flat[a:b].tobytes() if own or not text else self.whole([text])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, known = [], self.known
-        for k in range(0, len(texts), TOGETHER):
-            cut = [None if any(c in text for c in ODD) else self.words(text) for text in texts[k : k + TOGETHER]]
-            new = {w for words in cut if words for w in set(words).difference(known)}
-            if len(known) + 2 * len(new) > self.most:  # the bound of the cache
-                known.clear()
-                new = set().union(*filter(None, cut))
-            if 2 * len(new) > self.most:
-                out += self.whole(texts[k : k + TOGETHER])
-                continue
-            self.learn(new)
-            out += [self.whole([text])[0] if words is None else b"".join(map(known.__getitem__, words)) for text, words in zip(texts[k : k + TOGETHER], cut, strict=True)]
+        out, low, held = [], 0, 0
+        for k, text in enumerate(texts):
+            held += len(text)
+            if held >= AT_ONCE or k == len(texts) - 1:
+                out += self.encode_some(texts[low : k + 1])
+                low, held = k + 1, 0
         return out
 
 
