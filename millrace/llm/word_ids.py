@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Letters that stay single characters when lower-cased or composed, and ASCII punctuation but the apostrophe.
 PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<end>[!-&(-/:-@\[-`{-~]*)$"
-AT_ONCE = 4_000_000  # characters of texts that are cut into words together
+AT_ONCE = 1_500_000  # characters of texts that are cut into words together
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -37,7 +37,7 @@ class WordEncoder:
     The vocabulary drops white space and never merges across it, so a text's ids are those of its words in turn.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
