@@ -20,11 +20,19 @@ def set_checkpoints(spark: SparkSession) -> None:
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """node, label: the least node of each connected component of edges(a, b); a node without an edge isn't there.
 
-    Each round gives every node the least label beside it and then its label's label, so chains halve; rounds are
+    First every node is contracted into the least node beside it, which leaves little of dense parts. Then each round
+    gives every node that is left the least label beside it and then its label's label, so chains halve; rounds are
     checkpointed, and a node's neighbours are only ever aggregated.
     """
     set_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
+    first = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
+    place = first.select(F.col("node").alias("at"), F.col("label").alias("to"))
+    half = both.filter("a < b").join(place, F.col("a") == F.col("at")).select(F.col("to").alias("a"), "b")
+    left = half.join(place, F.col("b") == F.col("at")).select("a", F.col("to").alias("b")).filter("a <> b").distinct().checkpoint()
+    if left.isEmpty():
+        return first
+    both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
     for _ in range(most_rounds):
         beside = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("beside"))
@@ -33,7 +41,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         moved = nearer.join(jump, nearer["label"] == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
         labels = moved.select("node", "label")
         if not moved.filter("label <> old").limit(1).count():
-            return labels
+            return first.join(labels.select(F.col("node").alias("at"), F.col("label").alias("least")), F.col("label") == F.col("at"), "left").select("node", F.coalesce("least", "label").alias("label"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
