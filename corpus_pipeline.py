@@ -6,7 +6,10 @@ the last return the columns of documents, for the documents that the stage keeps
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import small_side, written
@@ -18,15 +21,23 @@ from millrace.llm.quality import quality_verdicts
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs whose doc_id is not in gone(gone_id); broadcast if its count is small, else both sides are shuffled."""
-    return docs.join(small_side(gone, 200_000), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with text_hash, which tells rows that share a doc_id, or have none, apart; null text counts as empty."""
+    return docs.select(*COLUMNS, F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+def same(names: list[str], prefix: str) -> Column:
+    """Whether each column of names equals that of the prefixed name; nulls are equal."""
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in names])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. A doc_id of which any row is rejected goes as a whole."""
-    verdicts = written(quality_verdicts(docs).select("doc_id", "kept"), "stage-quality")
-    return without(docs, verdicts.filter(~F.coalesce("kept", F.lit(False))).select(F.col("doc_id").alias("gone_id")).distinct())
+    """Rows that the quality rules keep. The verdict is that of a row's doc_id, text, language and source together."""
+    names = ["doc_id", "text_hash", "lang", "source"]
+    known = hashed(docs)
+    verdicts = written(quality_verdicts(known, carried=names[1:]).select(*names, "kept"), "stage-quality")
+    gone = verdicts.filter(~F.coalesce("kept", F.lit(False))).select(*[F.col(c).alias(f"gone_{c}") for c in names]).distinct()
+    return known.join(small_side(gone, 200_000), same(names, "gone_"), "left_anti").select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +65,10 @@ def redacted(text, spans):
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by the names of its kinds; n_chars follows."""
-    found = written(find_pii(docs).select(F.col("doc_id").alias("found_id"), F.concat("base", "added").alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["found_id"]), "stage-pii")
-    both = docs.join(small_side(found, 200_000), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    names = ["doc_id", "text_hash"]
+    known = hashed(docs)
+    found = written(find_pii(known, carried=names[1:]).select(*[F.col(c).alias(f"found_{c}") for c in names], F.concat("base", "added").alias("spans")).filter(F.size("spans") > 0).dropDuplicates([f"found_{c}" for c in names]), "stage-pii")
+    both = known.join(small_side(found, 200_000), same(names, "found_"), "left")
     text = F.coalesce("text", F.lit(""))
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
     clean = both.withColumn("clean", F.when(F.col("text").isNotNull(), redacted(text, spans)))

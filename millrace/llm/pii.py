@@ -10,13 +10,14 @@ round count for patterns in the next. Identifiers that no expression knows but r
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_side, written
 
@@ -90,8 +91,8 @@ def patterns(text: str, start: int, end: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f.encode()) - (1 << 63) for f in forms]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, part, row (in the writing task), found: seeds (with their kind) and identifier-like tokens (kind -1).
+def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, what is carried, part, row (in the writing task), found: seeds (with their kind) and identifier-like tokens (kind -1).
 
     Written to the shared folder; holds no text but places and hashes.
     """
@@ -100,17 +101,19 @@ def candidates(docs: DataFrame) -> DataFrame:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             made = []
-            for x in batch.column(1):
+            for x in batch.column(batch.num_columns - 1):
                 text = x.as_py() or ""
                 got = seeds(text)
                 every = got + [(a, -1, b) for a, b in others(text, got)] if got or MARK.search(text) else []
                 made.append([{"start": a, "finish": b, "kind": k, "instance": xxhash.xxh3_64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": patterns(text, a, b)} for a, k, b in every])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32()), ("kind", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(made, kind)], names=["doc_id", "part", "row", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(made, kind)], names=[*batch.schema.names[:-1], "part", "row", "found"])
             row += n
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, part int, row long, found {CANDIDATE}"), "pii-candidates")
+    given = docs.select(F.col("doc_id").cast("long"), *carried, "text")
+    fields = T.StructType([*given.schema.fields[:-1], *T._parse_datatype_string(f"part int, row long, found {CANDIDATE}").fields])
+    return written(given.mapInArrow(run, fields), "pii-candidates")
 
 
 def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, unknown: float = UNKNOWN) -> DataFrame:
@@ -146,20 +149,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["finish"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, **parameters) -> DataFrame:
-    """A row a document: doc_id, base and added: arrays of (start, kind, finish) in code points, kind as in KINDS.
+def find_pii(docs: DataFrame, *, carried: Sequence[str] = (), **parameters) -> DataFrame:
+    """A row a document: doc_id, the columns named in carried, base and added: arrays of (start, kind, finish) in code points, kind as in KINDS.
 
     Null and empty texts have no spans. Rows that repeat are searched as often as they come. Spans of different kinds
     may overlap; added ones touch no base span. Other columns are not looked at.
     """
-    rows = candidates(docs)
+    rows = candidates(docs, carried)
     flat = rows.select("part", "row", F.inline("found"))
     fresh = discovered(flat.select("kind", "instance", "patterns"), **parameters)
     hits = flat.filter("kind < 0").select("part", "row", "start", "finish", "instance").join(small_side(fresh.select("instance", "kind"), 200_000), "instance")
     added = hits.groupBy("part", "row").agg(F.collect_list(F.struct("start", "kind", "finish")).alias("added"))
     base = F.transform(F.filter("found", lambda f: f["kind"] >= 0), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["finish"].alias("finish")))
     both = rows.join(small_side(added, 100_000), ["part", "row"], "left")
-    return both.select("doc_id", base.alias("base"), F.coalesce("added", F.array().cast("array<struct<start: int, kind: int, finish: int>>")).alias("added"))
+    return both.select("doc_id", *carried, base.alias("base"), F.coalesce("added", F.array().cast("array<struct<start: int, kind: int, finish: int>>")).alias("added"))
 
 
 def pii_digests(docs: DataFrame, **parameters) -> DataFrame:

@@ -9,6 +9,7 @@ Everything is DataFrame expressions; the Cholesky factor of the small covariance
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +42,15 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h))))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base counts, n_chars, n_lines, n_capitals; null text counts as empty."""
+def text_statistics(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang, source, what is carried, the base counts, n_chars, n_lines, n_capitals; null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     letters = F.regexp_replace(text, f"{SPACE}+", "")
     cast = lambda c: c.cast("long")
-    base = docs.select("doc_id", "lang", "source", F.length(text).alias("n_chars"), F.length(letters).alias("word_chars"), (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).alias("n_symbols"), (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).alias("n_capitals"), let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"))).alias("w"), let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"))
-    return base.select("doc_id", "lang", "source", cast(F.col("w.n")).alias("n_words"), cast(F.col("word_chars")).alias("word_chars"), cast(F.col("n_symbols")).alias("n_symbols"), cast(F.col("l.d")).alias("n_dup_lines"), cast(F.col("w.r")).alias("n_repeat_words"), cast(F.col("l.n")).alias("n_lines"), cast(F.col("n_capitals")).alias("n_capitals"), cast(F.col("n_chars")).alias("n_chars"))
+    keys = list(dict.fromkeys(["doc_id", "lang", "source", *carried]))
+    base = docs.select(*keys, F.length(text).alias("n_chars"), F.length(letters).alias("word_chars"), (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).alias("n_symbols"), (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).alias("n_capitals"), let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"))).alias("w"), let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("l"))
+    return base.select(*keys, cast(F.col("w.n")).alias("n_words"), cast(F.col("word_chars")).alias("word_chars"), cast(F.col("n_symbols")).alias("n_symbols"), cast(F.col("l.d")).alias("n_dup_lines"), cast(F.col("w.r")).alias("n_repeat_words"), cast(F.col("l.n")).alias("n_lines"), cast(F.col("n_capitals")).alias("n_capitals"), cast(F.col("n_chars")).alias("n_chars"))
 
 
 def vector() -> list[Column]:
@@ -119,15 +121,16 @@ def robust_distances(rows: DataFrame, keys: list[str], floors: list[float], *, s
     return rows.join(small_side(current, 100_000), keys).withColumn("distance", distance(p)).drop(*[f"m{i}" for i in range(p)], *[f"f{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
-def quality_verdicts(docs: DataFrame, *, cut: float = CUT, steps: int = STEPS, least_group: int = LEAST_GROUP) -> DataFrame:
+def quality_verdicts(docs: DataFrame, *, cut: float = CUT, steps: int = STEPS, least_group: int = LEAST_GROUP, carried: Sequence[str] = ()) -> DataFrame:
     """A row a document: base counts, base_failed, kept, and the squared distance from its group.
 
     Texts that fail the base rules are not estimated from and have no distance. A language and source with fewer than
     ``least_group`` estimated texts shares one group with the other small ones; where even that is small, distances
     are measured all the same, and the smallest spreads leave room. Null languages and sources form groups of their
     own. Null and empty texts have no words and fail. Repeated rows count as often as they come.
+    Columns named in ``carried`` come last, as they are.
     """
-    stats = text_statistics(docs.select("doc_id", "lang", "source", "text"))
+    stats = text_statistics(docs.select(*dict.fromkeys(["doc_id", "lang", "source", "text", *carried])), carried)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = written(stats.select("*", failed.alias("base_failed"), F.coalesce("lang", F.lit("")).alias("g_lang"), F.coalesce("source", F.lit("")).alias("g_source"), *[x.alias(f"x{i}") for i, x in enumerate(vector())]), "quality-statistics")
     sound = stats.filter(~F.col("base_failed"))
@@ -136,5 +139,5 @@ def quality_verdicts(docs: DataFrame, *, cut: float = CUT, steps: int = STEPS, l
     pooled = sound.join(small_side(sizes, 100_000), ["g_lang", "g_source"], "left").withColumns({"g_lang": F.when(few, "").otherwise(F.col("g_lang")), "g_source": F.when(few, "").otherwise(F.col("g_source"))}).drop("few")
     far = robust_distances(pooled, ["g_lang", "g_source"], list(STATISTICS.values()), steps=steps)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = far.select(*columns, (F.col("distance") <= cut).alias("kept"), F.col("distance"))
-    return judged.unionByName(stats.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
+    judged = far.select(*columns, (F.col("distance") <= cut).alias("kept"), F.col("distance"), *carried)
+    return judged.unionByName(stats.filter("base_failed").select(*columns, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"), *carried))

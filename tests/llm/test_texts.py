@@ -216,3 +216,17 @@ def test_pipeline(spark, sf_dir):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_verdicts_and_spans(spark, sf_dir):
+    good = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = corpus_pipeline.written(corpus_pipeline.quality_stage(spark, good, sf_dir).limit(20), "good").withColumn("doc_id", F.lit(None).cast("long"))
+    junk = good.limit(1).withColumn("text", F.lit("# #"))
+    left = corpus_pipeline.quality_stage(spark, good.unionByName(junk), sf_dir)
+    made = Counter(r["text"] for r in left.collect())
+    assert "# #" not in made and made == Counter(r["text"] for r in corpus_pipeline.quality_stage(spark, good, sf_dir).collect()) and made
+    texts = [(None, "mail a@b.cc now"), (None, "no personal data here"), (None, "hello, at 10.0.0.1"), (7, "x"), (7, "write to c@d.ee or f@g.hh"), (7, None)]
+    rows = corpus_pipeline.pii_stage(spark, documents(spark, texts), sf_dir).collect()
+    wanted = [(None, "mail <EMAIL> now"), (None, "no personal data here"), (None, "hello, at <IP>"), (7, "x"), (7, "write to <EMAIL> or <EMAIL>"), (7, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(wanted)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in rows)
