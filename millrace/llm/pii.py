@@ -117,20 +117,24 @@ def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
 
 
 def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, unknown: float = UNKNOWN) -> DataFrame:
-    """instance, kind, score of identifiers that no expression finds, from places(kind, instance, patterns).
+    """instance, kind, score of identifiers where no expression finds them, from places(kind, instance, patterns).
 
     Edges of the graph are distinct, so copies of a text add nothing. A pattern needs ``support`` distinct instances;
     its score for a kind is their summed belief over one plus the number of seeds and of instances of that belief and,
     by the weight ``unknown``, of the rest; so few instances never give certainty.
     An instance's score is the complement of the product of its reliable patterns' doubts; ``sure`` is the bound for
-    both. An instance that is a seed anywhere is one everywhere. A kind's ties go to the first kind.
+    both. An instance that is a seed somewhere is known with score 1 where the expressions fail, too, and counts as a
+    seed of the patterns there. A kind's ties go to the first kind.
     """
-    edges = places.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    of_kind = F.min(F.when(F.col("kind") >= 0, F.col("kind")))
+    both = places.groupBy("instance").agg(F.min("kind").alias("least"), of_kind.alias("seed_kind")).filter("least < 0 AND seed_kind >= 0")
+    known_elsewhere = small_side(both.select("instance", "seed_kind").checkpoint(), 200_000)
+    found = places.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    edges = found.join(known_elsewhere, "instance", "left").select("pattern", "instance", F.when(F.col("kind") < 0, F.coalesce("seed_kind", "kind")).otherwise(F.col("kind")).alias("kind"))
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("kind") >= 0).cast("int")).alias("seeded")).filter((F.col("n") >= support) & (F.col("seeded") > 0))
     graph = written(edges.join(small_side(wide, 100_000), "pattern"), "pii-graph")
     seeded = graph.filter("kind >= 0").select("pattern", "kind", "n", "seeded", F.lit(1.0).alias("belief"), F.lit(0).alias("new"))
     others = graph.filter("kind < 0").select("pattern", "instance")
-    seed_instances = places.filter("kind >= 0").select("instance").distinct()
     believed = None
     for _ in range(rounds):
         given = seeded if believed is None else seeded.unionByName(graph.filter("kind < 0").drop("kind").join(small_side(believed, 200_000), "instance").select("pattern", "kind", "n", "seeded", F.col("score").alias("belief"), F.lit(1).alias("new")))
@@ -140,7 +144,8 @@ def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
         doubts = others.join(reliable, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
         best = doubts.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("instance", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
         believed = best.filter(F.col("score") >= sure).checkpoint()
-    return believed.join(seed_instances, "instance", "left_anti")
+    certain = known_elsewhere.select("instance", F.col("seed_kind").alias("kind"), F.lit(1.0).alias("score"))
+    return certain if believed is None else believed.unionByName(certain)
 
 
 def listed(spans: Column) -> Column:

@@ -58,6 +58,15 @@ def test_discovery(spark):
     assert made[100]["spans"] == f"phone:{start}:{start + 12}"
 
 
+def test_identifiers_known_elsewhere(spark):
+    rows = [(1, "write +4912345678901 soon"), (2, "see +4912345678901 2024 there"), (3, "card 4111111111111111"), (4, "order 12 4111111111111111 sent"), (5, "order 12 4111111111111112 sent")]
+    made = {r["doc_id"]: r for r in pii.pii_digests(documents(spark, rows)).collect()}
+    assert made[1]["spans"] == "phone:6:20" and made[2]["spans"] == "phone:4:18" and made[2]["n_added"] == 1
+    assert made[3]["spans"] == "card:5:21" and made[4]["spans"] == "card:9:25" and made[4]["n_added"] == 1
+    assert made[5]["spans"] == "" and made[1]["n_added"] == made[3]["n_added"] == 0
+    assert all(r["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest() for k, t in rows for r in [made[k]])
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("a b c d e f g h".split(), k=rng.randint(0, 60))) for _ in range(60)] + ["", "😀é" * 7, "x " * 9000]
