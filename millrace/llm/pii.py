@@ -1,8 +1,8 @@
 """Personal data: bootstrapped contextual extraction.
 
 Expressions find the seed entities: mail addresses, network addresses, payment cards and phone numbers. The words
-around an entity, and around every other token that looks like an identifier (it has a digit or an at-sign), are its
-lexical patterns. Patterns and instances form a graph. In each round a pattern is scored by the share of its distinct
+around an entity, and around everything else that looks like an identifier (a token with a digit or an at-sign, or digit
+groups side by side), are its lexical patterns. Patterns and instances form a graph. In each round a pattern is scored by the share of its distinct
 instances that are believed to be of a kind, and an instance by the patterns it stands in; instances believed in one
 round count for patterns in the next. Identifiers that no expression knows but reliable patterns surround are added.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, MARK, WORD = re.compile(r"[0-9]"), re.compile(r"[0-9]+|@"), re.compile(r"\w+|[^\w\s]")
 EDGES, REACH, LONGEST, SHORTEST = ".,;:!?()[]{}<>\"'", 60, 200, 5
+FIRST, LATER = re.compile(r"\(?\+?\(?[0-9][0-9()-]*"), re.compile(r"\(?[0-9][0-9()-]*[.,;:!?\]}>]*")
+DIGITS = 19  # of the longest identifier, a card
 ROUNDS, SUPPORT, SURE, UNKNOWN = 3, 3, 0.8, 0.5
 CANDIDATE = "array<struct<start: int, finish: int, kind: int, instance: bigint, patterns: array<bigint>>>"
 
@@ -59,9 +61,14 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def others(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of tokens with a digit or an at-sign that touch no seed, without punctuation at their edges."""
-    out, done, k = [], 0, 0
+def others(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether patterns count) of what looks like an identifier and touches no seed.
+
+    That is each token with a digit or an at-sign, without punctuation at its edges, and each run of digit groups (with
+    brackets and hyphens) across single spaces, cut only where it has more digits than any identifier. Shorter runs of
+    neighbouring groups come without patterns, to be compared with what is known from elsewhere.
+    """
+    out, chain, done, k = [], [], 0, 0
     for m in MARK.finditer(text):
         if m.start() < done:
             continue
@@ -70,15 +77,44 @@ def others(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]
             low -= 1
         while high < len(text) and not text[high].isspace() and text[high] not in "=\"'" and high - m.end() < LONGEST:
             high += 1
-        done = high
+        first, done = low, high
         while low < high and text[low] in EDGES:
             low += 1
         while low < high and text[high - 1] in EDGES:
             high -= 1
         while k < len(found) and found[k][2] <= low:
             k += 1
-        if high - low >= SHORTEST and not any(a < high and low < b for a, _, b in found[k : k + 8]):
-            out.append((low, high))
+        free = not any(a < high and low < b for a, _, b in found[k : k + 8])
+        if free and high - low >= SHORTEST:
+            out.append((low, high, True))
+        if not (free and chain and first == chain[-1][2] + 1 and text[first - 1] == " " and LATER.fullmatch(text, first, done)):
+            out += runs(text, chain)
+            chain = []
+        if free and (chain or FIRST.fullmatch(text, first, done)):
+            chain.append((low, high, done))
+            if text[done - 1] not in "0123456789)":
+                out += runs(text, chain)
+                chain = []
+    return sorted(out + runs(text, chain))
+
+
+def runs(text: str, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it is one of the longest from the left) of runs of two or more of the chain's groups."""
+    out, fresh = [], 0
+    sizes = [len(digits(text[a:b])) for a, b, _ in chain]
+    for i in range(len(chain) - 1):
+        j, total = i, sizes[i]
+        while j + 1 < len(chain) and total + sizes[j + 1] <= DIGITS:
+            j += 1
+            total += sizes[j]
+            low, high = chain[i][0], chain[j][1]
+            inner = text[low:high]
+            low -= low > 0 and text[low - 1] == "(" and inner.count(")") > inner.count("(")
+            high += text[high : high + 1] == ")" and inner.count("(") > inner.count(")")
+            if high - low >= SHORTEST:
+                out.append((low, high, i == fresh and (j + 1 == len(chain) or total + sizes[j + 1] > DIGITS)))
+        if i == fresh:
+            fresh = j + 1
     return out
 
 
@@ -104,8 +140,8 @@ def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
             for x in batch.column(batch.num_columns - 1):
                 text = x.as_py() or ""
                 got = seeds(text)
-                every = got + [(a, -1, b) for a, b in others(text, got)] if got or MARK.search(text) else []
-                made.append([{"start": a, "finish": b, "kind": k, "instance": xxhash.xxh3_64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": patterns(text, a, b)} for a, k, b in every])
+                every = [(*g, True) for g in got] + [(a, -1, b, whole) for a, b, whole in others(text, got)] if got or MARK.search(text) else []
+                made.append([{"start": a, "finish": b, "kind": k, "instance": xxhash.xxh3_64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": patterns(text, a, b) if whole else []} for a, k, b, whole in every])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32()), ("kind", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(made, kind)], names=[*batch.schema.names[:-1], "part", "row", "found"])
@@ -122,7 +158,7 @@ def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
     Edges of the graph are distinct, so copies of a text add nothing. A pattern needs ``support`` distinct instances;
     its score for a kind is their summed belief over one plus the number of seeds and of instances of that belief and,
     by the weight ``unknown``, of the rest; so few instances never give certainty.
-    An instance's score is the complement of the product of its reliable patterns' doubts; ``sure`` is the bound for
+    A pattern without seeds is scored once instances it surrounds are believed. An instance's score is the complement of the product of its reliable patterns' doubts; ``sure`` is the bound for
     both. An instance that is a seed somewhere is known with score 1 where the expressions fail, too, and counts as a
     seed of the patterns there. A kind's ties go to the first kind.
     """
@@ -131,7 +167,7 @@ def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
     known_elsewhere = small_side(both.select("instance", "seed_kind").checkpoint(), 200_000)
     found = places.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     edges = found.join(known_elsewhere, "instance", "left").select("pattern", "instance", F.when(F.col("kind") < 0, F.coalesce("seed_kind", "kind")).otherwise(F.col("kind")).alias("kind"))
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("kind") >= 0).cast("int")).alias("seeded")).filter((F.col("n") >= support) & (F.col("seeded") > 0))
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("kind") >= 0).cast("int")).alias("seeded")).filter(F.col("n") >= support)
     graph = written(edges.join(small_side(wide, 100_000), "pattern"), "pii-graph")
     seeded = graph.filter("kind >= 0").select("pattern", "kind", "n", "seeded", F.lit(1.0).alias("belief"), F.lit(0).alias("new"))
     others = graph.filter("kind < 0").select("pattern", "instance")
@@ -158,12 +194,15 @@ def find_pii(docs: DataFrame, *, carried: Sequence[str] = (), **parameters) -> D
     """A row a document: doc_id, the columns named in carried, base and added: arrays of (start, kind, finish) in code points, kind as in KINDS.
 
     Null and empty texts have no spans. Rows that repeat are searched as often as they come. Spans of different kinds
-    may overlap; added ones touch no base span. Other columns are not looked at.
+    may overlap; added ones touch no base span, and none lies inside
+    another. Other columns are not looked at.
     """
     rows = candidates(docs, carried)
     flat = rows.select("part", "row", F.inline("found"))
     fresh = discovered(flat.select("kind", "instance", "patterns"), **parameters)
     hits = flat.filter("kind < 0").select("part", "row", "start", "finish", "instance").join(small_side(fresh.select("instance", "kind"), 200_000), "instance")
+    before = Window.partitionBy("part", "row").orderBy("start", F.desc("finish")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("reached", F.max("finish").over(before)).filter("reached IS NULL OR finish > reached")
     added = hits.groupBy("part", "row").agg(F.collect_list(F.struct("start", "kind", "finish")).alias("added"))
     base = F.transform(F.filter("found", lambda f: f["kind"] >= 0), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["finish"].alias("finish")))
     both = rows.join(small_side(added, 100_000), ["part", "row"], "left")

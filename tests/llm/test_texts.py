@@ -67,6 +67,28 @@ def test_identifiers_known_elsewhere(spark):
     assert all(r["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest() for k, t in rows for r in [made[k]])
 
 
+def test_digit_groups_and_patterns_of_later_rounds(spark):
+    runs = lambda text: [text[a:b] for a, b, whole in pii.others(text, pii.seeds(text)) if whole]
+    assert runs("call (555) 123-4567.") == ["(555) 123-4567", "123-4567"] and runs("at 020 79 46 09 58, 12") == ["020 79 46 09 58"]
+    assert runs("card 4111 1111 1111 1112") == ["4111 1111 1111 1112"] and runs("5  6 7/8 a1") == []
+    assert runs("1234567890 1234567891 1234567892 1") == ["1234567890", "1234567891", "1234567892", "1234567892 1"]
+    assert (5, 24, False) in pii.others("1234 4111 1111 1111 1112", [])
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [(k, f"{word()} {word()} call me at +1 ({200 + k}) 555-{1000 + k} {word()} {word()}") for k in range(60)]
+    shapes = ["555 123 45{}", "020 79 46 09 {}", "4111 1111 1111 11{}", "(555) 123-45{}", "555-12{}-ext"]
+    numbers = [shapes[k % 5].format(10 + k) for k in range(15)]
+    numbers = [n for n in numbers if not pii.seeds(n)]
+    rows += [(100 + k, f"{word()} call me at {n} {word()} {word()}") for k, n in enumerate(numbers)]
+    rows += [(200 + k, f"{word()} {word()} desk line {n} {word()} {word()}") for k, n in enumerate(numbers)]
+    rows += [(300, f"{word()} {word()} desk line 777 888 99 {word()} {word()}"), (301, f"{word()} {word()} room {word()} 777 12 {word()}")]
+    made = {r["doc_id"]: r["spans"] for r in pii.pii_digests(documents(spark, rows)).collect()}
+    for i, text in rows[60:-1]:
+        n = numbers[i % 100] if i < 300 else "777 888 99"
+        assert made[i] == f"phone:{text.index(n)}:{text.index(n) + len(n)}", (i, text)
+    assert made[301] == ""
+
+
 def test_fingerprints(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("a b c d e f g h".split(), k=rng.randint(0, 60))) for _ in range(60)] + ["", "😀é" * 7, "x " * 9000]
