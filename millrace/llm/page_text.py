@@ -1,9 +1,19 @@
 """HTML extraction: site template removal.
 
-Pages are read as trees. The subtree of every block element is hashed (tags and text, white space aside), and Spark
-counts on how many different pages of a host each hash stands. Subtrees that recur on many pages of their host are its
-template and are deleted; inside an article, where sentences may well be repeated, they must stand on most of them.
-Elements that are no prose by their name, role or class go as well, and where a page marks its article only that stays.
+Every page is parsed once. Each block element gives three keys: its place (tags, classes and ids from the root down,
+containers numbered among their like), its slot (the place and the shape of its subtree, without text) and its content
+(tags and text of the subtree). Spark counts them on the different pages of each host and settles per host
+
+* the container of the prose: the deepest place that holds half of the host's different text on half of its pages;
+* contents that recur: outside the container on a fifth of the pages or on MANY pages, inside it on half of them (fewer
+  won't do: passages that many articles share are prose);
+* slots that recur outside the container as often, unless what they hold differs from page to page and is prose, and
+  inside it those that stand on half of the pages and are mostly links.
+
+Those subtrees are deleted from the page's blocks, which the first pass has written. Elements that HTML itself calls no
+prose (nav, footer, form and so on) and reader comments, which differ from page to page, go by name. On hosts with too
+few pages to count, and where no container can be told, the words of class, id and role decide instead, and the main
+element or the articles stay alone if they hold half of the text.
 """
 
 from __future__ import annotations
@@ -14,10 +24,11 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import hot_join, small_side, written
 from .url_rules import url_parts
 
 #: Element names and words of class, id and role attributes.
@@ -25,189 +36,286 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th option img input".split())
-DROPPED = frozenset("applet aside audio button canvas datalist dialog embed footer form head iframe map menu nav noembed noframes noscript object script select style svg template textarea title video xmp".split())
-ALWAYS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+UNSEEN = frozenset("applet audio button canvas datalist embed head iframe map noembed noframes noscript object script select style svg template textarea title video xmp".split())
+DROPPED = frozenset("aside dialog footer form menu nav".split())
+OPEN = frozenset(("", "html", "body"))
+HOLDERS = frozenset("article aside body center details dialog div dl fieldset footer form header html main menu nav ol section table tbody tr ul".split()) | {""}
+COMMENTS = frozenset("comment commentlist comments disqus".split())
+LABELS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs consent cookie cookies menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()) | COMMENTS
 OUTSIDE = frozenset("contentinfo footer form header login masthead search site".split())
 PROSE = frozenset("article body content entry headline main post story text title".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tbody", "thead"}, "tfoot": {"tbody"}}
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table ul".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|</?[A-Za-z][^>]*>|<[!?][^>]*>|<[A-Za-z/!?][^>]*\Z""", re.S)
-LABEL = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-LEAST_PAGES, SHARE, SHARE_INSIDE = 5, 0.2, 0.5
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TELLING = re.compile("class|id|role|hidden|style", re.I)
+LEAST_PAGES, SHARE, SHARE_INSIDE, MANY = 5, 0.2, 0.5, 25
+LINKED, DIFFERENT, OWN_PROSE = 0.6, 0.95, 200
+ROOT = 1  # the place of the page itself
+OUT, ANYWHERE, CONTAINER, SETTLED = 1, 2, 3, 4  # what a key of a host tells
+
+NODES = "array<struct<node: int, place: bigint, slot: bigint, content: bigint, depth: int, holder: int, chars: int, links: int, first: int, fresh: int>>"
+PIECES = "array<struct<text: string, nodes: array<int>, named: boolean, labelled: boolean, comment: boolean, article: boolean, main: boolean>>"
+FIELDS = f"page_id long, url string, host string, part int, row long, prose long, nodes {NODES}, blocks {PIECES}"
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class Node:
-    __slots__ = ("article", "dropped", "main", "number", "parts", "tag")
+    __slots__ = ("article", "chars", "comment", "depth", "labelled", "link", "links", "main", "name", "named", "number", "parts", "place", "seen", "shapes", "tag", "unseen")
 
-    def __init__(self, tag: str, number: int, dropped: bool, article: bool, main: bool) -> None:
-        self.tag, self.number, self.dropped, self.article, self.main, self.parts = tag, number, dropped, article, main, []
+    def __init__(self, tag: str, number: int, over: Node | None, name: str, *, unseen: bool, named: bool, labelled: bool, comment: bool, article: bool, main: bool) -> None:
+        self.tag, self.number, self.name, self.unseen, self.named, self.labelled, self.comment, self.article, self.main = tag, number, name, unseen, named, labelled, comment, article, main
+        self.parts, self.shapes, self.seen, self.chars, self.links = [], [], {}, 0, 0
+        self.link = tag == "a" or (over is not None and over.link)
+        if over is None:
+            self.place, self.depth = ROOT, 0
+        elif tag in BLOCKS:
+            nth = over.seen[name] = over.seen.get(name, 0) + 1
+            self.place, self.depth = hashed(f"{over.place}/{name}{nth if tag in HOLDERS else ''}"), over.depth + 1
+        else:
+            self.place, self.depth, self.seen = over.place, over.depth, over.seen
 
 
-def labels(attributes: str) -> tuple[set[str], bool, bool]:
-    """(words of class, id and role; whether hidden; whether of the role main)."""
-    words, hidden, main = set(), False, False
-    for name, value in LABEL.findall(attributes):
+def labels(tag: str, attributes: str) -> tuple[set[str], bool, bool, str]:
+    """(words of class, id and role; whether hidden; whether of the role main; name of the element in places)."""
+    if not attributes or not TELLING.search(attributes):
+        return set(), False, False, tag
+    words, hidden, main, named = set(), False, False, []
+    for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             words.update(w for w in re.split(r"[^a-z0-9]+", value) if w)
             main |= name == "role" and value == "main"
+            named.append(f"{name}={' '.join(sorted(re.sub('[0-9]+', '0', value).split()))}")
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
-        else:
-            hidden |= name == "hidden" or value == "true"
-    return words, hidden, main
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden |= value == "true"
+    return words, hidden, main, tag if tag in ("html", "body", "article", "main") else f"{tag}[{' '.join(sorted(named))}]"
+
 
+class Page:
+    """nodes: (number, place, slot, content, depth, holder, chars, links); blocks: see PIECES."""
 
-def read(html: str) -> tuple[list[tuple[str, tuple[int, ...], bool, bool, bool]], dict[int, int]]:
-    """(blocks, hash by element number). A block: text, numbers of its elements, dropped, in article, in main."""
-    root = Node("", 0, False, False, False)
-    stack, blocks, hashes, run = [root], [], {}, []
+    def __init__(self, html: str) -> None:
+        self.nodes, self.blocks, self.run, self.linked, self.count = [], [], [], 0, 0
+        self.stack = [Node("", 0, None, "", unseen=False, named=False, labelled=False, comment=False, article=False, main=False)]
+        self.read(html)
 
-    def flush() -> None:
-        if run:
-            text = " ".join("".join(run).split())
-            run.clear()
-            if text:
-                top = stack[-1]
+    def flush(self) -> None:
+        if self.run:
+            text = " ".join("".join(self.run).split())
+            self.run.clear()
+            top = self.stack[-1]
+            if text and not top.unseen:
                 top.parts.append(text)
-                blocks.append((text, tuple(n.number for n in stack if n.tag in BLOCKS), top.dropped, top.article, top.main))
-
-    def close() -> None:
-        node = stack.pop()
-        made = f"{node.tag}({'|'.join(node.parts)})"
-        if node.tag in BLOCKS:
-            if node.parts:
-                digest = xxhash.xxh3_64_intdigest(made.encode())
-                hashes[node.number] = digest
-                stack[-1].parts.append(f"{node.tag}:{digest:x}")
-        else:
-            stack[-1].parts += node.parts
+                top.shapes.append("t")
+                top.chars += len(text)
+                top.links += min(len(text), self.linked)
+                self.blocks.append((text, [0, *(n.number for n in self.stack if n.tag in BLOCKS)], top.named, top.labelled, top.comment, top.article, top.main))
+        self.linked = 0
+
+    def close(self) -> None:
+        node = self.stack.pop()
+        over = self.stack[-1] if self.stack else None
+        if over:
+            over.chars += node.chars
+            over.links += node.links
+        if node.tag and node.tag not in BLOCKS:
+            over.parts += node.parts
+            over.shapes += node.shapes
+        elif node.parts:
+            content = hashed(f"{node.tag}({'|'.join(node.parts)})")
+            shape = f"{node.name}({'|'.join(s for k, s in enumerate(node.shapes) if not k or s != node.shapes[k - 1])})"
+            holder = 2 if node.tag in OPEN else int(node.tag in HOLDERS)
+            self.nodes.append((node.number, node.place, hashed(f"{node.place} {shape}"), content, node.depth, holder, node.chars, node.links))
+            if over:
+                over.parts.append(f"{node.tag}:{content:x}")
+                over.shapes.append(shape if len(shape) < 40 else f"{hashed(shape):x}")
+
+    def close_from(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.close()
+
+    def close_to(self, tags, scopes=SCOPES) -> None:
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag in tags:
+                self.flush()
+                self.close_from(k)
+                return
+            if self.stack[k].tag in scopes:
+                return
 
-    def close_to(tags, scopes=SCOPES) -> None:
+    def end(self, tag: str) -> None:
+        stack, block = self.stack, tag in BLOCKS
+        if not block and not any(n.tag == tag for n in stack[1:]):
+            return
+        if block:
+            self.flush()
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                flush()
-                while len(stack) > k:
-                    close()
+            if stack[k].tag == tag:
+                if stack[k].unseen or stack[k].named:
+                    self.flush()
+                self.close_from(k)
                 return
-            if stack[k].tag in scopes:
+            if not block and stack[k].tag in BLOCKS:
                 return
 
-    at, count = 0, 0
-    while True:
-        m = TOKEN.search(html, at)
-        end = m.start() if m else len(html)
-        if end > at and not (stack[-1].dropped and stack[-1].tag in RAW):
-            run.append(unescape(html[at:end]))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        block = tag in BLOCKS
-        if m[1]:
-            if tag in BLOCKS or any(n.tag == tag for n in stack[1:]):
-                if block:
-                    flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush() if block or stack[k].dropped else None
-                        while len(stack) > k:
-                            close()
-                        break
-                    if not block and stack[k].tag in BLOCKS:
-                        break
-            continue
+    def start(self, tag: str, attributes: str) -> None:
         if tag in SPACED:
-            run.append(" ")
+            self.run.append(" ")
         if tag in CLOSES_P:
-            flush()
-            close_to({"p"}, SCOPES - {"p"})
+            self.flush()
+            self.close_to({"p"}, SCOPES - {"p"})
         if tag in ENDS:
-            close_to(ENDS[tag], SCOPES - ENDS[tag])
+            self.close_to(ENDS[tag], SCOPES - ENDS[tag])
         if tag in VOID:
-            continue
-        top = stack[-1]
-        words, hidden, main = labels(m[3] or "") if m[3] else (set(), False, False)
-        shielded = tag in ("html", "body", "article", "main") or main
-        article = top.article or (tag == "article" and not top.dropped and not (words & ALWAYS))
-        dropped = top.dropped or tag in DROPPED or hidden or (tag == "header" and not top.article) or (tag == "article" and bool(words & ALWAYS))
-        dropped |= not shielded and (bool(words & ALWAYS) or (not top.article and bool(words & OUTSIDE) and not words & PROSE))
-        if dropped and not top.dropped:
-            flush()
-        count += 1
-        node = Node(tag, count, dropped, article and not dropped, top.main or main or tag == "main")
-        stack.append(node)
-        if tag in RAW:
-            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
-            at = found.start() if found else len(html)
-    flush()
-    while len(stack) > 1:
-        close()
-    return blocks, hashes
-
-
-def marked(digest: int, inside: bool) -> int:
-    """The hash as a long; its last bit tells whether the subtree stands inside an article."""
-    return ((digest & ~1) | inside) - (1 << 63)
-
-
-def subtree_hashes(html: str) -> tuple[int, list[int]]:
-    """(hash of the page's prose, hashes of all block subtrees below body)."""
-    blocks, hashes = read(html)
-    out, prose = set(), []
-    for text, numbers, dropped, article, _ in blocks:
-        if not dropped:
-            prose.append(text)
-        out.update(marked(hashes[n], article) for n in numbers if n in hashes)
-    return xxhash.xxh3_64_intdigest("\n".join(prose).encode()) - (1 << 63), sorted(out)
-
-
-def main_text(html: str, template: set[int]) -> str:
-    """Blocks of the article (else of main, else of the page) that are neither dropped nor of the template."""
-    blocks, hashes = read(html)
-    left = [b for b in blocks if not b[2]]
-    for k in (3, 4):
-        if any(b[k] for b in left):
-            left = [b for b in left if b[k]]
-            break
-    return "\n".join(text for text, numbers, _, article, _ in left if not any(n in hashes and marked(hashes[n], article) in template for n in numbers))
-
-
-def templates(trees: DataFrame, *, least_pages: int, share: float, share_inside: float) -> DataFrame:
-    """host, hash of subtrees that recur, from trees(host, prose, hashes). Copies of a page's prose count once."""
-    pages = trees.groupBy("host", "prose").agg(F.min("hashes").alias("hashes"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    counts = pages.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    needed = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, share_inside).otherwise(share)
-    return counts.join(small_side(totals, 200_000), "host").filter(F.col("n") >= needed * F.col("pages")).select("host", "hash")
-
-
-def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE) -> DataFrame:
-    """A row a page: page_id, url, text, n_chars; blocks in page order, joined by a line feed.
+            return
+        top = self.stack[-1]
+        words, hidden, main, name = labels(tag, attributes)
+        shielded = tag in ("html", "body", "main") or main
+        unseen = top.unseen or tag in UNSEEN or hidden
+        named = top.named or tag in DROPPED or (tag == "header" and not top.article)
+        comment = top.comment or (not shielded and bool(words & COMMENTS))
+        labelled = (top.labelled and tag not in ("article", "main")) or (not shielded and not words & PROSE and bool(words & LABELS or (not top.article and words & OUTSIDE)))
+        if (unseen, named, labelled, comment) != (top.unseen, top.named, top.labelled, top.comment):
+            self.flush()
+        self.count += 1
+        article = top.article or (tag == "article" and not (named or comment))
+        self.stack.append(Node(tag, self.count, top, name, unseen=unseen, named=named, labelled=labelled, comment=comment, article=article, main=top.main or main or tag == "main"))
 
-    Null and empty html give empty text. Pages without a host form one site. Rows that repeat are extracted as often
-    as they come; pages that share page_id and url share what is known of their templates. Malformed markup closes
-    where a later tag implies it. A host with fewer than ``least_pages`` different pages has no template. Other
-    columns are not looked at.
-    """
+    def read(self, html: str) -> None:
+        at, stack = 0, self.stack
+        while True:
+            m = TOKEN.search(html, at)
+            end = m.start() if m else len(html)
+            if end > at and not (stack[-1].unseen and stack[-1].tag in RAW):
+                text = unescape(html[at:end])
+                self.run.append(text)
+                if stack[-1].link:
+                    self.linked += len(text)
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                self.end(tag)
+                continue
+            self.start(tag, m[3])
+            if tag in RAW:
+                found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                at = found.start() if found else len(html)
+        self.flush()
+        self.close_from(0)
+
+    def prose(self) -> int:
+        """A hash of what neither names nor labels call template: pages that differ elsewhere only are copies."""
+        return hashed("\n".join(text for text, _, named, labelled, comment, _, _ in self.blocks if not (named or labelled or comment)))
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """FIELDS of every page, written to the shared folder; part and row are those of the writing task."""
 
-    def hash_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [subtree_hashes(x.as_py() or "") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.list_(pa.int64()))], names=["page_id", "host", "prose", "hashes"])
+    def arrays(lists: list[list[tuple]], kinds: list[tuple[str, pa.DataType]]) -> pa.Array:
+        offsets, flat = [0], []
+        for rows in lists:
+            flat += rows
+            offsets.append(len(flat))
+        columns = list(zip(*flat, strict=True)) if flat else [()] * len(kinds)
+        made = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(x.as_py() or "", set(t.as_py() or ())) for x, t in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    node_kinds = [("node", pa.int32()), ("place", pa.int64()), ("slot", pa.int64()), ("content", pa.int64()), *((n, pa.int32()) for n in ("depth", "holder", "chars", "links", "first", "fresh"))]
+    block_kinds = [("text", pa.string()), ("nodes", pa.list_(pa.int32())), *((n, pa.bool_()) for n in ("named", "labelled", "comment", "article", "main"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                nodes, blocks, prose = [], [], []
+                for x in batch.column(3):
+                    page, slots, contents, rows = Page(x.as_py() or ""), set(), set(), []
+                    for n in page.nodes:
+                        rows.append((*n, int(n[2] not in slots), int(n[3] not in contents)))
+                        slots.add(n[2])
+                        contents.add(n[3])
+                    nodes.append(rows)
+                    blocks.append(page.blocks)
+                    prose.append(page.prose())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(prose, pa.int64()), arrays(nodes, node_kinds), arrays(blocks, block_kinds)], names=["page_id", "url", "host", "part", "row", "prose", "nodes", "blocks"])
+                row += n
 
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_parts(F.col("url"))[0].alias("host"), "html")
-    trees = written(given.select("page_id", "host", "html").mapInArrow(hash_trees, "page_id long, host string, prose long, hashes array<bigint>"), "page-trees")
-    recurring = templates(trees, least_pages=least_pages, share=share, share_inside=share_inside)
-    each = trees.select("page_id", "host", F.explode("hashes").alias("hash")).join(small_side(recurring.checkpoint(), 200_000), ["host", "hash"])
-    hits = each.groupBy(F.col("page_id").alias("of_page"), F.col("host").alias("of_host")).agg(F.collect_set("hash").alias("template")).checkpoint()
-    known = given.join(small_side(hits, 50_000), F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("host") == F.col("of_host")), "left")
-    return known.select("page_id", "url", "html", "template").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return written(given.mapInArrow(run, FIELDS), "page-trees")
+
+
+def counted(trees: DataFrame) -> DataFrame:
+    """host, place, slot, content and on how many different pages of the host; copies of a page's prose count once."""
+    pages = trees.groupBy("host", "prose").agg(F.min("nodes").alias("nodes"))
+    each = pages.select("host", F.inline("nodes"))
+    sums = [F.count("*").alias("times"), F.sum("first").alias("firsts"), F.sum("fresh").alias("freshes")]
+    return written(each.groupBy("host", "place", "slot", "content").agg(*sums, *[F.max(c).alias(c) for c in ("depth", "holder", "chars", "links")]), "page-subtrees")
+
+
+def site_keys(counts: DataFrame, *, least_pages: int, share: float, share_inside: float, many: int) -> DataFrame:
+    """host, key, tells (OUT, ANYWHERE, CONTAINER or SETTLED), n (pages) of every key that decides something."""
+    totals = counts.filter(F.col("place") == ROOT).groupBy("host").agg(F.sum("times").alias("pages"), F.sum("chars").alias("text")).filter(F.col("pages") >= least_pages)
+    totals = small_side(totals.checkpoint(), 500_000)
+    places = counts.filter("holder > 0").groupBy("host", "place").agg(F.sum("times").alias("n"), F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.max("holder").alias("holder"))
+    heavy = places.join(totals, "host").filter((F.col("n") >= 0.5 * F.col("pages")) & (F.col("chars") >= 0.5 * F.col("text"))).checkpoint()
+    deepest = heavy.groupBy("host").agg(F.max(F.struct("depth", "chars", "place", "holder", "n")).alias("c")).filter("c.holder = 1").checkpoint()
+    settled = small_side(deepest.select("host"), 500_000)
+    light = counts.join(settled, "host").join(small_side(heavy.select("host", "place"), 500_000), ["host", "place"], "left_anti")
+    often = lambda n, at_least, of: (F.col(n) >= least_pages) & ((F.col(n) >= of * F.col("pages")) | (F.col(n) >= at_least))
+    tells = lambda outside, inside: F.when(inside, ANYWHERE).when(outside, OUT)
+    contents = light.groupBy("host", "content").agg(F.sum("freshes").alias("n")).filter(F.col("n") >= least_pages).join(totals, "host")
+    inside = F.col("n") >= share_inside * F.col("pages")
+    same = contents.select("host", F.col("content").alias("key"), tells(often("n", many, share), inside).alias("tells"), "n")
+    slots = light.groupBy("host", "slot").agg(F.sum("firsts").alias("n"), F.count("*").alias("contents"), F.sum("times").alias("times"), F.sum(F.col("times") * F.col("chars")).alias("chars"), F.sum(F.col("times") * F.col("links")).alias("links"), F.max("holder").alias("holder")).filter(F.col("n") >= least_pages).join(totals, "host")
+    of_links = F.col("links") >= LINKED * F.col("chars")
+    own = (F.col("contents") >= DIFFERENT * F.col("times")) & ~of_links & ((F.col("holder") == 0) | (F.col("chars") >= OWN_PROSE * F.col("times")))
+    shaped = slots.select("host", F.col("slot").alias("key"), tells(often("n", many, share) & ~own, (F.col("n") >= share_inside * F.col("pages")) & (F.col("holder") > 0) & of_links).alias("tells"), "n")
+    marks = deepest.select("host", F.col("c.place").alias("key"), F.lit(CONTAINER).alias("tells"), F.col("c.n").alias("n")).unionByName(deepest.join(totals, "host").select("host", F.lit(ROOT).cast("long").alias("key"), F.lit(SETTLED).alias("tells"), F.col("pages").alias("n")))
+    return same.unionByName(shaped).unionByName(marks).filter("tells IS NOT NULL").groupBy("host", "key").agg(F.max("tells").alias("tells"), F.max("n").alias("n")).checkpoint()
+
+
+def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, share: float = SHARE, share_inside: float = SHARE_INSIDE, many: int = MANY, names: bool = True) -> DataFrame:
+    """A row a page: page_id, url, text, n_chars; blocks in page order, joined by a line feed.
+
+    Null and empty html give empty text. Pages without a host form one site. Rows that repeat are extracted as often
+    as they come. Malformed markup closes where a later tag implies it. On a host with fewer than ``least_pages``
+    different pages, or without a container, labels decide. ``names`` off leaves all to the counts (and, on such
+    hosts, to labels). Other columns are not looked at; an empty table gives no rows.
+    """
+    trees = parsed(pages)
+    keys = site_keys(counted(trees), least_pages=least_pages, share=share, share_inside=share_inside, many=many)
+    pair = lambda key: F.transform("nodes", lambda n: F.struct(n["node"].alias("node"), n[key].alias("key")))
+    root = F.array(F.struct(F.lit(0).alias("node"), F.lit(ROOT).cast("long").alias("key")))
+    each = trees.select("part", "row", "host", F.inline(F.array_distinct(F.concat(root, pair("place"), pair("slot"), pair("content")))))
+    told = hot_join(each, keys, ["host", "key"], "n")
+    hits = told.groupBy("part", "row").agg(F.collect_set(F.struct("tells", "node")).alias("hits")).checkpoint()
+    known = trees.drop("nodes", "prose").join(small_side(hits, 200_000), ["part", "row"], "left")
+    of = lambda what: F.transform(F.filter("hits", lambda h: h["tells"] == what), lambda h: h["node"])
+    known = known.select("page_id", "url", "blocks", F.coalesce(F.size(of(SETTLED)) > 0, F.lit(False)).alias("settled"), of(CONTAINER).alias("container"), of(OUT).alias("out"), of(ANYWHERE).alias("anywhere"))
+    meets = lambda b, nodes: F.arrays_overlap(b["nodes"], F.col(nodes))
+    gone = lambda b: b["comment"] | (b["named"] if names else F.lit(False))
+    by_count = F.filter("blocks", lambda b: ~(gone(b) | meets(b, "anywhere") | (meets(b, "out") & ~meets(b, "container"))))
+    by_label = F.filter("blocks", lambda b: ~(gone(b) | b["labelled"]))
+    size = lambda blocks: F.reduce(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    only = lambda flag: F.filter("left", lambda b: b[flag])
+    left = known.withColumn("left", F.when(F.col("settled"), by_count).otherwise(by_label))
+    chosen = F.when(F.col("settled"), F.col("left"))
+    for flag in ("main", "article"):
+        chosen = chosen.when(2 * size(only(flag)) >= size(F.col("left")), only(flag))
+    text = F.array_join(F.transform(chosen.otherwise(F.col("left")), lambda b: b["text"]), "\n")
+    return left.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

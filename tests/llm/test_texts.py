@@ -192,30 +192,97 @@ def test_bayes_bound():
 PAGE = '<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a>m</a></nav><div class="cookie-notice">ck</div><main><article><header><h1>T &amp; U</h1></header><p>One <b>two</b>\n three<br>four<p>Five&nbsp;<i>six</i></p><ul><li>a<li>b</ul><div class="ad">x</div><aside>s</aside><form>f<input></form></article><section id="comments"><article class="comment"><p>cc</p></article></section></main><footer>ff</footer><script>var a="<p>z</p>";</script></body></html>'
 
 
-@pytest.mark.parametrize(
-    ("html", "wanted"),
-    [(PAGE, "T & U\nOne two three four\nFive six\na\nb"), ("", ""), ("plain", "plain"), ("<div>a < b &lt;p&gt; <p unclosed", "a < b <p>"), ("<p>a<p>b</p><!-- <p>c</p> --><p hidden>d</p>", "a\nb"), ("<body><p>a &amp;amp; &am</p>", "a &amp; &am"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"), ("<div class='a'>x</div" * 3, "xxx")],
-)
-def test_main_text(html, wanted):
-    assert page_text.main_text(html, set()) == wanted
-
-
-def test_templates(spark):
-    rows = [(k, f"http://a.b/{k}", f"<div>Site wide <b>links</b></div><div><p>Unique number {k}</p><p>Said often</p></div><div><div>Copyright</div></div>" if k % 2 else f"<div>Site wide <b>links</b></div><div><p>Unique number {k}</p></div>", "clash") for k in range(12)]
-    rows += [(100 + k, f"http://copy.b/{k}", "<div><p>The same page</p></div>", "clash") for k in range(50)] + [(200, None, None, "clash"), (201, "http://a.b/z", "", "clash"), (1, "http://a.b/1", rows[1][2], "clash")]
-    made = {r["page_id"]: r for r in page_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
-    assert made[2]["text"] == "Unique number 2" and made[3]["text"].startswith("Unique number 3") and "Copyright" not in made[3]["text"]
-    assert made[100]["text"] == "The same page" and made[200]["text"] == "" and made[201]["n_chars"] == 0
+CASES = [
+    (PAGE, "T & U\nOne two three four\nFive six\na\nb"),
+    ("", ""),
+    (None, ""),
+    ("plain", "plain"),
+    ("<div>a < b &lt;p&gt; <p unclosed", "a < b <p>"),
+    ("<p>a<p>b</p><!-- <p>c</p> --><p hidden>d</p>", "a\nb"),
+    ("<body><p>a &amp;amp; &am</p>", "a &amp; &am"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"),
+    ("<div class='a'>x</div" * 3, "xxx"),
+    ("<main><h1>Title</h1><article><p>Text of it</p></article></main>", "Title\nText of it"),
+    ("<main><p>All the prose there is here</p></main><article><p>Teaser</p></article>", "All the prose there is here"),
+    ('<p title="a hidden gem">x</p><div data-state="hidden">y</div><p style="display: none">z</p>', "x\ny"),
+    ('<div class="content has-sidebar"><article><p>x y z</p></article></div><div class="sidebar">s</div>', "x y z"),
+    ('<div class="widget"><article><p>x</p></article></div><div id="comments"><p>c</p></div>', "x"),
+    ("<nav>m</nav><p>" + "long " * 60_000 + "</p>", ("long " * 60_000).strip()),
+]
+
+
+def test_single_pages(spark):
+    rows = [(k, f"http://h{k}.x/", html, "clash", "clash") for k, (html, _) in enumerate(CASES)] + [(0, "http://h0.x/", PAGE, "clash", "clash"), (None, None, None, None, None)]
+    made = page_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")).collect()
+    assert len(made) == len(rows) and all(r["text"] == ("" if r["page_id"] is None else CASES[r["page_id"]][1]) and r["n_chars"] == len(r["text"]) for r in made)
     assert page_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pages_keep_their_articles(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
-    made = {r["page_id"]: r["text"] for r in QUERIES["op7_site_templates"](spark, sf_dir).collect()}
-    for p in pages:
+def site(k, rng, sections):
+    """A page without telling names: a menu and adverts that rotate, a notice of one section, link boxes in the text."""
+    words = lambda n: " ".join(rng.choices([f"w{j}" for j in range(4000)], k=n))
+    menu = "".join(f'<li><a href="/{j}">item {rng.randrange(50)}</a></li>' for j in range(rng.randint(3, 7)))
+    box = f'<div><a href="/a">{words(3)}</a> <a href="/b">{words(4)}</a></div>'
+    note = "<div><p>Members of this section read it first and pay less for it</p></div>" if k % sections == 0 else ""
+    text = [words(rng.randint(3, 80)) for _ in range(rng.randint(1, 6))] + ["Said often, and rightly."] * (k % 4 == 0)
+    prose = "".join(f"<p>{t}</p>" for t in text)
+    html = f'<body><div><ul>{menu}</ul></div><div class="x{k}">advert {rng.randrange(60)}</div>{note}<section><h2>{words(5)}</h2>{prose}{box}</section><div>&copy; {rng.randrange(60)}</div></body>'
+    return html, text
+
+
+def test_templates_of_hosts(spark):
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for host, pages, sections in (("large.x", 400, 9), ("small.x", 30, 3)):
+        for k in range(pages):
+            html, text = site(k, rng, sections)
+            wanted[len(rows)] = text
+            rows.append((len(rows), f"http://{host}/{k}", html))
+    copy = site(1, rng, 9)[0]
+    rows += [(1000 + k, f"http://copy.x/{k}", copy) for k in range(50)]
+    made = {r["page_id"]: r["text"].split("\n") for r in page_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).collect()}
+    for k, text in wanted.items():
+        assert made[k][1:] == text, k
+    assert all(made[1000 + k] == made[1000] and len(made[1000]) > 3 for k in range(50))
+
+
+def test_counts_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(k, f"http://h{k % 2}.x/{k}", site(k % 7 if k % 3 else k, rng, 2)[0]) for k in range(60)]
+    rows += [(100 + k, "http://h0.x/", rows[0][2]) for k in range(5)]
+    wanted, seen = Counter(), set()
+    for _, url, html in rows:
+        page = page_text.Page(html)
+        if (url[7:9], page.prose()) not in seen:
+            seen.add((url[7:9], page.prose()))
+            wanted.update((url[7:11], *n[1:4]) for n in page.nodes)
+    made = page_text.counted(page_text.parsed(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert {(r["host"], r["place"], r["slot"], r["content"]): r["times"] for r in made} == wanted
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_pages_keep_their_articles(spark, names):
+    """Against the articles cut out by expressions; without names all but hosts with few pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    made = {r["page_id"]: r["text"] for r in page_text.extract_text(pages, names=names).collect()}
+    wanted = {}
+    for p in pages.collect():
         article = re.search(r"(?s)<article>(.*?)</article>", p["html"])[1]
         blocks = [" ".join(page_text.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?p>|</?h1>", article)]
-        assert made[p["page_id"]] == "\n".join(filter(None, blocks))
+        wanted[p["page_id"]] = "\n".join(filter(None, blocks))
+    assert set(made) == set(wanted) and sum(made[k] != wanted[k] for k in wanted) <= (0 if names else 2)
+
+
+def test_hot_keys_are_split(spark):
+    from millrace.llm import common
+
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id < 400 THEN 'hot' ELSE concat('k', id % 100) END AS key")
+    table = rows.groupBy("key").count().withColumnRenamed("count", "n").withColumn("v", F.length("key"))
+    for small in (5, 1000):
+        made = common.hot_join(rows, table, ["key"], "n", small=small, hot=100)
+        assert made.select("id").distinct().count() == made.count() == 1000 and made.filter("v <> length(key)").count() == 0
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 300_000).alias("a"), F.array(F.struct(F.col("id"))).alias("b"))
+    assert common.small_side(wide, 100, megabytes=1) is wide and common.small_side(wide, 100) is not wide
 
 
 def test_redaction(spark):
