@@ -38,9 +38,14 @@ TEMPLATES = (
 K, SLACK, COVERED, STRETCH = 3, 4, 0.75, 1.5
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased, and nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def license_words(text: Column) -> Column:
-    """Runs of ASCII letters and digits and of all other characters above ASCII, lower-cased; null text: none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    """Runs of ASCII letters and digits and of all other characters above ASCII, A-Z lower-cased; null text: none."""
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def kgram_hashes(words: Column, k: int) -> Column:
@@ -92,7 +97,7 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, **parameters) -> Data
     """
     docs = docs.select("doc_id", "text")
     words = license_words(F.col("text"))
-    asked = F.instr(F.lower("text"), "license") > 0  # every phrase has this word
+    asked = F.instr(lowered(F.col("text")), "license") > 0  # every phrase has this word
     none = F.array().cast("array<int>")
     based = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words).cast("long").alias("n_words"), *[F.when(asked, phrase_starts(words, phrase)).otherwise(none).alias(f"at_{label}") for label, phrase in PHRASES.items()])
     places = F.concat(*[F.col(f"at_{label}") for label in PHRASES])

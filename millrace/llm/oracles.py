@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .license_scan import COVERED, PHRASES, SLACK, STRETCH, TEMPLATES, K
 from .near_join import TERM, THRESHOLD
-from .url_rules import BLOCK_WORDS, LISTED
+from .url_rules import BLOCK_WORDS, BORDER, LISTED, LOWER, UPPER
 
 
 def url_rules_sql() -> str:
@@ -21,14 +21,14 @@ fit AS (
   SELECT n, arg_max(l.rule, length(l.rule)) AS rule, arg_max(l.verdict, length(l.rule)) AS verdict
   FROM parts p JOIN listed l ON (p.host = l.host OR ends_with(p.host, '.' || l.host)) AND starts_with(p.path, l.path) GROUP BY n),
 word AS (
-  SELECT n, string_agg(word, ',' ORDER BY word) AS matched FROM parts JOIN words ON regexp_matches(host || path, '(?:^|[^a-z0-9])' || word || '(?:[^a-z0-9]|$)') GROUP BY n)
+  SELECT n, string_agg(word, ',' ORDER BY word) AS matched FROM parts JOIN words ON regexp_matches(translate(host || path, '{UPPER}', '{LOWER}'), '(?:^|{BORDER})' || word || '(?:{BORDER}|$)') GROUP BY n)
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN word.matched IS NULL THEN 'allow' ELSE 'block' END) AS verdict, coalesce(word.matched, '') AS matched
 FROM parts LEFT JOIN fit USING (n) LEFT JOIN word USING (n)"""
 
 
 def license_sql() -> str:
     """Words of k-grams stand for their hashes."""
-    words = lambda text: f"list_filter(regexp_split_to_array(lower({text}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    words = lambda text: f"list_filter(regexp_split_to_array(translate({text}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     grams = f"list_transform(range(0, len(w) - {K - 1}), lambda i: {{'i': i, 'gram': array_to_string(w[i + 1:i + {K}], ' ')}})"
     templates = ", ".join(f"({n}, '{label}', '{wording}')" for n, (label, wording) in enumerate(TEMPLATES))
     at = lambda phrase: f"list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + {len(phrase.split())}], ' ') = '{phrase}')"

@@ -1,7 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Every rule is a regular expression on host and path together with the literal tokens that any URL it matches
-must hold. The index keeps each rule under the one of its tokens that is rarest in the URLs at hand. A URL
+must hold. Listed rules read host and path as they are, patterns read them lower-cased (A-Z); where a token of either
+ends, and where a word in a pattern does, is one definition (BORDER). The index keeps each rule under the one of its tokens that is rarest in the URLs at hand. A URL
 fetches the rules filed under its own tokens by an equi-join, and only those rules run their expressions.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import literal_table, small_side
 
+BORDER = r"[^a-z0-9\x{80}-\x{10ffff}]"  # between tokens of a lower-cased address; also the SQL's
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_FIELDS = "rule: string, weight: int, listed: boolean, verdict: string, pattern: string, tokens: array<string>"
 
@@ -43,8 +45,8 @@ def prefix_rule(verdict: str, rule: str) -> Rule:
 
 
 def word_rule(word: str) -> Rule:
-    """A word of host or path, standing between punctuation."""
-    return Rule(word, rf"(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", tuple(words_of(word)))
+    """A word of host or path, standing between borders."""
+    return Rule(word, rf"(?:^|{BORDER}){re.escape(word)}(?:{BORDER}|$)", tuple(words_of(word)))
 
 
 #: The listed rules, and words of addresses that don't lead to prose.
@@ -63,7 +65,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(target: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(target, UPPER, LOWER), r"[^a-z0-9\x{80}-\x{10ffff}]+"), ""))
+    return F.array_distinct(F.array_remove(F.split(F.translate(target, UPPER, LOWER), f"{BORDER}+"), ""))
 
 
 def rule_index(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -95,7 +97,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, *, id
     keyed = each.select("page_id", "url", "copies", host.alias("host"), path.alias("path")).withColumn("target", F.concat("host", "path"))
     index = rule_index(keyed, rules)
     asked = keyed.select("*", F.explode(F.array_append(url_tokens(F.col("target")), F.lit(""))).alias("token"))
-    tried = asked.join(small_side(index, 100_000), "token", "left").withColumn("fits", F.coalesce(F.expr("rlike(target, pattern)"), F.lit(False)))
+    tried = asked.join(small_side(index, 100_000), "token", "left").withColumn("fits", F.coalesce(F.rlike(F.when(F.col("listed"), F.col("target")).otherwise(F.translate("target", UPPER, LOWER)), F.col("pattern")), F.lit(False)))
     listed, pattern = F.col("fits") & F.col("listed"), F.col("fits") & ~F.col("listed")
     judged = tried.groupBy("page_id", "url", "copies", "host", "path").agg(
         F.max(F.when(listed, F.struct("weight", "rule", "verdict"))).alias("best"),

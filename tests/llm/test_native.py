@@ -79,7 +79,7 @@ def phrases(text):
 
 
 def test_license_base(spark, sf_dir):
-    texts = [None, "", "MIT license", "the MIT-License, mit license", "MİT LICENSE", "GNU General Public License and Apache\nLicense", "mit licenses", "license mit license mit"]
+    texts = [None, "", "MIT license", "the MIT-License, mit license", "MİT LICENSE", "MİT license ÄPACHE license apache LİCENSE", "GNU General Public License and Apache\nLicense", "mit licenses", "license mit license mit"]
     texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     for r in license_scan.scan_licenses(documents(spark, list(enumerate(texts)))).collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == phrases(texts[r["doc_id"]])
@@ -120,6 +120,25 @@ def test_urls(spark, url, wanted):
     assert url_rules.filter_urls(rows.limit(0)).count() == 0
 
 
+def test_index_equals_all_rules_on_random_urls(spark):
+    """Every rule tried on every address in Python, without an index."""
+    rng = random.Random(7)
+    parts = ["ads", "Ads", "adsX", "trackRecord", "track", "é", "Casino", "casino", "7", "-", "_", "/", "/", ".", ".", "com", "net", "org", "example", "en", "EN", "de", "es", "/en/", "/de/8", "\u0130", "x", "%20"]
+    urls = ["http://x.com/Xads/x", "http://x.com/éads/x", "http://x.com/adsX", "http://x.com/Casino/x", "http://example.com/en/7?x", "HTTP://EXAMPLE.NET/de/8"]
+    urls += [f"http://{''.join(rng.choices(parts, k=rng.randint(1, 5)))}/{''.join(rng.choices(parts, k=rng.randint(0, 6)))}" for _ in range(3000)]
+    lower = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    made = url_rules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(made) == len(urls)
+    for r in made:
+        rest = urls[r["page_id"]].split("://", 1)[1]
+        host = lower(re.match("[^/?#]*", rest)[0])
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        listed = [(len(n), n, v) for v, n in url_rules.LISTED if (host == n.split("/")[0] or host.endswith("." + n.split("/")[0])) and path.startswith("/" + n.partition("/")[2])]
+        words = [w for w in url_rules.BLOCK_WORDS if re.search(rf"(?:^|[^a-z0-9\x80-\U0010ffff]){w}(?:[^a-z0-9\x80-\U0010ffff]|$)", lower(host + path))]
+        assert (r["host"], r["path"], r["matched"]) == (host, path, ",".join(words)), urls[r["page_id"]]
+        assert (r["rule"], r["verdict"]) == (max(listed)[1:] if listed else (None, "block" if words else "allow"))
+
+
 def test_rarest_token(spark):
     urls = spark.createDataFrame([("a.com/en/x",)] * 5 + [("b.com/fr/y",)], "target string")
     index = {r["rule"]: r["token"] for r in url_rules.rule_index(urls, (url_rules.prefix_rule("block", "com/fr/"), url_rules.Rule("any", ".", ()))).collect()}
