@@ -139,22 +139,61 @@ def test_ledger(spark):
     assert ledger.commit("c", token_counts.deletes(rows((None, "en", "v1", 1, 1))))
     again = token_counts.Ledger(spark, ledger.path)
     assert not again.commit("c", token_counts.deletes(rows((None, "en", "v1", 1, 1))))
-    assert sorted(tuple(r) for r in again.totals().collect()) == [("s", "de", "v1", 1, 6, 20), ("s", "en", "v1", 1, 7, 30)]
+    assert sorted(tuple(r) for r in again.totals().collect()) == [("s", "de", "v1", 1, 6, 20, 0, 0), ("s", "en", "v1", 1, 7, 30, 0, 0)]
+
+
+def test_ledger_under_a_race(spark, monkeypatch):
+    """Both senders find the name free and write; the target then appears before the second one's commit."""
+    ledger, late = token_counts.Ledger(spark), None
+    late = token_counts.Ledger(spark, ledger.path)
+    rows = spark.createDataFrame([("s", "en", "v1", 5, 20)], "source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    taken = late._taken
+
+    def appears_first(draft, batch):
+        assert ledger.commit(batch, token_counts.inserts(rows))
+        return taken(draft, batch)
+
+    monkeypatch.setattr(late, "_taken", appears_first)
+    assert not late.commit("b", token_counts.inserts(rows))
+    lost = token_counts.Ledger(spark, ledger.path)
+    monkeypatch.setattr(lost, "_taken", lambda *_: (_ for _ in ()).throw(OSError("executor and driver lost")))
+    with pytest.raises(OSError):
+        lost.commit("c", token_counts.inserts(rows))
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "v1", 1, 5, 20, 0, 0)]
+    assert token_counts.Ledger(spark, ledger.path).commit("c", token_counts.inserts(rows))
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "v1", 2, 10, 40, 0, 0)]
 
 
 def test_rollup(spark):
     texts = ["one two", "three", "one two", None, "", "x" * 5000]
     rows = [(k, t, la, so, "clash", 1) for k, (t, la, so) in enumerate(zip(texts, ["en", "en", "de", None, "en", "fr"], ["a", "b", "a", "a", None, "c"], strict=True))] + [(0, "one two", "en", "a", "clash", 1)]
-    made = token_counts.rollup_documents(spark.createDataFrame(rows, DOCS))
-    seen, wanted = set(), Counter()
-    for k, t, la, so, *_ in sorted(rows, key=lambda r: r[0]):
-        if (t or "") in seen:
-            continue
-        seen.add(t or "")
-        for v in token_counts.VERSIONS:
-            wanted[so, la, v, "n_docs"] += 1
-            wanted[so, la, v, "n_tokens"] += len(token_counts.ranks(v).encode_ordinary(t or ""))
-            wanted[so, la, v, "n_chars"] += len(t or "")
-    got = Counter({(r["source"], r["lang"], r["tokenizer"], c): r[c] for r in made.collect() for c in token_counts.SUMS})
-    assert +got == +wanted
+    ledger = token_counts.Ledger(spark)
+
+    def totals(*times):
+        seen, wanted = set(), Counter()
+        for k, t, la, so, *_ in sorted(rows, key=lambda r: r[0]):
+            for v in token_counts.VERSIONS:
+                n = len(token_counts.ranks(v).encode_ordinary(t or ""))
+                for c, x in zip(token_counts.SUMS, (1, n, len(t or ""), int((t or "") in seen), n * ((t or "") in seen)), strict=True):
+                    wanted[so, la, v, c] += x
+            seen.add(t or "")
+        return +wanted
+
+    for docs in (spark.createDataFrame(rows, DOCS), spark.createDataFrame(rows[::-1], DOCS).repartition(3)):
+        made = token_counts.rollup_documents(docs, ledger=ledger)
+        assert +Counter({(r["source"], r["lang"], r["tokenizer"], c): r[c] for r in made.collect() for c in token_counts.SUMS}) == totals()
+    more = token_counts.rollup_documents(documents(spark, [(9, "further text")]), ledger=ledger).agg(token_counts.F.sum("n_docs")).first()[0]
+    assert more == 2 * len(rows) + 2
     assert token_counts.rollup_documents(documents(spark, [])).count() == 0
+
+
+def test_pieces_fall_back_on_the_library():
+    coder = pieces.PieceCoder(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "of the table and " * 3
+    coder.encode(text)
+    coder.check()
+    assert not coder.differs
+    coder.ids["▁cat"] += 1
+    coder.encode("the cat")
+    coder.check()
+    assert coder.differs and coder.by_library(text) == ([*coder.library.encode(text), coder.end], text)
