@@ -52,10 +52,10 @@ def small_side(df: DataFrame, rows: int, *, megabytes: int = 64) -> DataFrame:
 
 
 def hot_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, *, small: int = 200_000, hot: int = 1_000_000) -> DataFrame:
-    """rows joined to table(on, unique; n: how often rows have the key), without a task that takes all of a hot key.
+    """rows joined to table(on, and n: how often rows have the key), without a task that takes all of a hot key.
 
-    A small table is broadcast. Of a large one the keys with ``hot`` rows and more are, of which there are at most the
-    number of rows over ``hot``; the rest meet in a shuffle. rows and table should be written or checkpointed tables.
+    A small table is broadcast. Of a large one the keys with ``hot`` rows and more are, of which there are at most
+    the number of rows over ``hot`` times the table's rows a key; the rest meet in a shuffle. rows and table should be written or checkpointed tables.
     """
     side = small_side(table, small)
     if side is not table:

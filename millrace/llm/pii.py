@@ -1,16 +1,18 @@
 """Personal data: bootstrapped contextual extraction.
 
 Expressions find the seed entities: mail addresses, network addresses, payment cards and phone numbers. The words
-around an entity, and around everything else that looks like an identifier (a token with a digit or an at-sign, or digit
-groups side by side), are its lexical patterns. Patterns and instances form a graph. In each round a pattern is scored by the share of its distinct
-instances that are believed to be of a kind, and an instance by the patterns it stands in; instances believed in one
-round count for patterns in the next. Identifiers that no expression knows but reliable patterns surround are added.
+around an entity, and around everything else that looks like an identifier (a token with a digit or an at-sign, or
+digit groups side by side), are its lexical patterns. Patterns and instances form a graph. In each round a pattern is
+scored by the share of its distinct instances that are believed to be of a kind, and an instance by the patterns it
+stands in; instances believed in one round count for patterns in the next. Identifiers that no expression knows but
+reliable patterns surround are added.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_side, written
+from .common import hot_join, small_side, written
 
 #: The kinds in order, and the expressions of the seeds.
 KINDS = ("email", "ip", "card", "phone")
@@ -28,7 +30,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, MARK, WORD = re.compile(r"[0-9]"), re.compile(r"[0-9]+|@"), re.compile(r"\w+|[^\w\s]")
-EDGES, REACH, LONGEST, SHORTEST = ".,;:!?()[]{}<>\"'", 60, 200, 5
+EDGES, REACH, SHORTEST = ".,;:!?()[]{}<>\"'", 60, 5  # REACH: characters looked at first, more where words are longer
 FIRST, LATER = re.compile(r"\(?\+?\(?[0-9][0-9()-]*"), re.compile(r"\(?[0-9][0-9()-]*[.,;:!?\]}>]*")
 DIGITS = 19  # of the longest identifier, a card
 ROUNDS, SUPPORT, SURE, UNKNOWN = 3, 3, 0.8, 0.5
@@ -73,9 +75,9 @@ def others(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int,
         if m.start() < done:
             continue
         low, high = m.start(), m.end()
-        while low > done and not text[low - 1].isspace() and text[low - 1] not in "=:\"'" and m.start() - low < LONGEST:
+        while low > done and not text[low - 1].isspace() and text[low - 1] not in "=:\"'":
             low -= 1
-        while high < len(text) and not text[high].isspace() and text[high] not in "=\"'" and high - m.end() < LONGEST:
+        while high < len(text) and not text[high].isspace() and text[high] not in "=\"'":
             high += 1
         first, done = low, high
         while low < high and text[low] in EDGES:
@@ -84,7 +86,9 @@ def others(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int,
             high -= 1
         while k < len(found) and found[k][2] <= low:
             k += 1
-        free = not any(a < high and low < b for a, _, b in found[k : k + 8])
+        free, j = True, k
+        while free and j < len(found) and found[j][0] < high:
+            free, j = found[j][2] <= low, j + 1
         if free and high - low >= SHORTEST:
             out.append((low, high, True))
         if not (free and chain and first == chain[-1][2] + 1 and text[first - 1] == " " and LATER.fullmatch(text, first, done)):
@@ -119,16 +123,20 @@ def runs(text: str, chain: list[tuple[int, int, int]]) -> list[tuple[int, int, b
 
 
 def patterns(text: str, start: int, end: int) -> list[int]:
-    """Hashes of two words before, one before and one after, two after, and one before."""
-    left = WORD.findall(text[max(0, start - REACH) : start].lower())[-2:]
-    right = WORD.findall(text[end : end + REACH].lower())[:2]
+    """Hashes of two words before, one before and one after, two after, and one before; words are whole."""
+    reach, left = REACH, WORD.findall(text[max(0, start - REACH) : start])
+    while reach < start and len(left) < 3:  # the first word may be cut, unless the text starts with it
+        reach *= 4
+        left = WORD.findall(text[max(0, start - reach) : start])
+    left = [w.lower() for w in left[-2:]]
+    right = [m[0].lower() for m in islice(WORD.finditer(text, end), 2)]
     left, right = ["^"] * (2 - len(left)) + left, right + ["$"] * (2 - len(right))
     forms = (f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0]}", f"_ {right[0]} {right[1]}", f"{left[1]} _")
     return [xxhash.xxh3_64_intdigest(f.encode()) - (1 << 63) for f in forms]
 
 
 def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """doc_id, what is carried, part, row (in the writing task), found: seeds (with their kind) and identifier-like tokens (kind -1).
+    """doc_id, what is carried, part, row (in the writing task), found: seeds and identifier-like tokens (kind -1).
 
     Written to the shared folder; holds no text but places and hashes.
     """
@@ -158,9 +166,10 @@ def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
     Edges of the graph are distinct, so copies of a text add nothing. A pattern needs ``support`` distinct instances;
     its score for a kind is their summed belief over one plus the number of seeds and of instances of that belief and,
     by the weight ``unknown``, of the rest; so few instances never give certainty.
-    A pattern without seeds is scored once instances it surrounds are believed. An instance's score is the complement of the product of its reliable patterns' doubts; ``sure`` is the bound for
-    both. An instance that is a seed somewhere is known with score 1 where the expressions fail, too, and counts as a
-    seed of the patterns there. A kind's ties go to the first kind.
+    A pattern without seeds is scored once instances it surrounds are believed. An instance's score is the complement
+    of the product of its reliable patterns' doubts; ``sure`` is the bound for both. An instance that is a seed
+    somewhere is known with score 1 where the expressions fail, too, and counts as a seed of the patterns there. Ties
+    between kinds go to the first.
     """
     of_kind = F.min(F.when(F.col("kind") >= 0, F.col("kind")))
     both = places.groupBy("instance").agg(F.min("kind").alias("least"), of_kind.alias("seed_kind")).filter("least < 0 AND seed_kind >= 0")
@@ -168,16 +177,15 @@ def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPOR
     found = places.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     edges = found.join(known_elsewhere, "instance", "left").select("pattern", "instance", F.when(F.col("kind") < 0, F.coalesce("seed_kind", "kind")).otherwise(F.col("kind")).alias("kind"))
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("kind") >= 0).cast("int")).alias("seeded")).filter(F.col("n") >= support)
-    graph = written(edges.join(small_side(wide, 100_000), "pattern"), "pii-graph")
+    graph = written(hot_join(edges, wide.checkpoint(), ["pattern"], "n"), "pii-graph")
     seeded = graph.filter("kind >= 0").select("pattern", "kind", "n", "seeded", F.lit(1.0).alias("belief"), F.lit(0).alias("new"))
     others = graph.filter("kind < 0").select("pattern", "instance")
     believed = None
     for _ in range(rounds):
         given = seeded if believed is None else seeded.unionByName(graph.filter("kind < 0").drop("kind").join(small_side(believed, 200_000), "instance").select("pattern", "kind", "n", "seeded", F.col("score").alias("belief"), F.lit(1).alias("new")))
         known = F.col("seeded") + F.col("new")
-        scored = given.groupBy("pattern", "kind", "n", "seeded").agg(F.sum("belief").alias("b"), F.sum("new").alias("new")).select("pattern", "kind", (F.col("b") / (1 + known + unknown * (F.col("n") - known))).alias("score"))
-        reliable = small_side(scored.filter(F.col("score") >= sure).checkpoint(), 200_000)
-        doubts = others.join(reliable, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
+        scored = given.groupBy("pattern", "kind", "n", "seeded").agg(F.sum("belief").alias("b"), F.sum("new").alias("new")).select("pattern", "kind", "n", (F.col("b") / (1 + known + unknown * (F.col("n") - known))).alias("score"))
+        doubts = hot_join(others, scored.filter(F.col("score") >= sure).checkpoint(), ["pattern"], "n").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
         best = doubts.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("instance", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
         believed = best.filter(F.col("score") >= sure).checkpoint()
     certain = known_elsewhere.select("instance", F.col("seed_kind").alias("kind"), F.lit(1.0).alias("score"))
@@ -191,11 +199,11 @@ def listed(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, *, carried: Sequence[str] = (), **parameters) -> DataFrame:
-    """A row a document: doc_id, the columns named in carried, base and added: arrays of (start, kind, finish) in code points, kind as in KINDS.
+    """A row a document: doc_id, the columns named in carried, base and added: arrays of (start, kind, finish).
 
-    Null and empty texts have no spans. Rows that repeat are searched as often as they come. Spans of different kinds
-    may overlap; added ones touch no base span, and none lies inside
-    another. Other columns are not looked at.
+    Places are code points, kinds those of KINDS. Null and empty texts have no spans. Rows that repeat are searched as
+    often as they come. Spans of different kinds may overlap; added ones touch no base span, and none lies inside
+    another. An empty table gives no rows. Other columns are not looked at.
     """
     rows = candidates(docs, carried)
     flat = rows.select("part", "row", F.inline("found"))
@@ -203,7 +211,7 @@ def find_pii(docs: DataFrame, *, carried: Sequence[str] = (), **parameters) -> D
     hits = flat.filter("kind < 0").select("part", "row", "start", "finish", "instance").join(small_side(fresh.select("instance", "kind"), 200_000), "instance")
     before = Window.partitionBy("part", "row").orderBy("start", F.desc("finish")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("reached", F.max("finish").over(before)).filter("reached IS NULL OR finish > reached")
-    added = hits.groupBy("part", "row").agg(F.collect_list(F.struct("start", "kind", "finish")).alias("added"))
+    added = hits.groupBy("part", "row").agg(F.collect_list(F.struct("start", "kind", "finish")).alias("added")).checkpoint()
     base = F.transform(F.filter("found", lambda f: f["kind"] >= 0), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["finish"].alias("finish")))
     both = rows.join(small_side(added, 100_000), ["part", "row"], "left")
     return both.select("doc_id", *carried, base.alias("base"), F.coalesce("added", F.array().cast("array<struct<start: int, kind: int, finish: int>>")).alias("added"))

@@ -58,6 +58,109 @@ def test_discovery(spark):
     assert made[100]["spans"] == f"phone:{start}:{start + 12}"
 
 
+def brute_scores(places, rounds, support, sure, unknown):
+    """{instance: (kind, score)} by dictionaries over places(kind, instance, patterns)."""
+    import math
+
+    kinds = defaultdict(set)
+    for k, i, _ in places:
+        kinds[i].add(k)
+    elsewhere = {i: min(x for x in ks if x >= 0) for i, ks in kinds.items() if -1 in ks and max(ks) >= 0}
+    edges = {}
+    for k, i, ps in places:
+        for p in ps:
+            edges[p, i] = max(k, edges.get((p, i), -1))
+    edges = {(p, i): elsewhere.get(i, -1) if k < 0 else k for (p, i), k in edges.items()}
+    of = defaultdict(dict)
+    for (p, i), k in edges.items():
+        of[p][i] = k
+    of = {p: x for p, x in of.items() if len(x) >= support}
+    believed = {}
+    for _ in range(rounds):
+        doubt = defaultdict(dict)
+        for members in of.values():
+            seeded = sum(k >= 0 for k in members.values())
+            belief, new = Counter(), Counter()
+            for i, k in members.items():
+                if k >= 0:
+                    belief[k] += 1.0
+                    new[k] += 0
+                elif i in believed:
+                    belief[believed[i][0]] += believed[i][1]
+                    new[believed[i][0]] += 1
+            for kind, b in belief.items():
+                known = seeded + new[kind]
+                score = b / (1 + known + unknown * (len(members) - known))
+                if score >= sure:
+                    for i, k in members.items():
+                        if k < 0:
+                            doubt[i][kind] = doubt[i].get(kind, 1.0) * (1 - score)
+        best = {i: max(((1 - d, -k) for k, d in x.items())) for i, x in doubt.items()}
+        believed = {i: (-k, s) for i, (s, k) in best.items() if s >= sure and not math.isclose(s, 0)}
+    return believed | {i: (k, 1.0) for i, k in elsewhere.items()}
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    places = []
+    for _ in range(3000):
+        i = rng.randrange(400)
+        home = i % 7
+        kind = -1 if i >= 250 else (i % 4 if rng.random() < 0.95 or i % 9 else -1)
+        places.append((kind, i, [home * 10 + rng.randrange(3) if rng.random() < 0.9 else rng.randrange(90) for _ in range(rng.randint(0, 4))]))
+    frame = spark.createDataFrame(places, "kind int, instance long, patterns array<bigint>")
+    for rounds, support, sure, unknown in ((3, 3, 0.8, 0.5), (1, 3, 0.5, 0.5), (4, 2, 0.3, 0.1)):
+        wanted = brute_scores(places, rounds, support, sure, unknown)
+        made = {r["instance"]: (r["kind"], r["score"]) for r in pii.discovered(frame, rounds=rounds, support=support, sure=sure, unknown=unknown).collect()}
+        assert {i: k for i, (k, _) in made.items()} == {i: k for i, (k, _) in wanted.items()} and len(wanted) > 5
+        assert all(abs(made[i][1] - wanted[i][1]) < 1e-9 for i in wanted)
+
+
+def test_planted_identifiers_are_found(spark):
+    """Unseen identifiers in contexts of seeds, beside as many that stand elsewhere: precision and recall."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randint(3, 8)))
+    around = lambda mid: f"{' '.join(word() for _ in range(9))} {mid} {' '.join(word() for _ in range(9))}"
+    contexts = {"email": ("write to {} for details", "contact : {} ( office )"), "phone": ("call us on {} today", "mobile number {} only"), "card": ("charged card {} on file", "pay with {} now please"), "ip": ("request from {} was denied", "host at {} went down")}
+    seed = {"email": lambda k: f"{word()}{k}@mail.{word()}.org", "phone": lambda k: f"+49 30 {1000000 + k}", "ip": lambda k: f"10.{k % 250}.{k // 250}.7"}
+    odd = {"email": lambda k: f"{word()}{k}@{word()}", "phone": lambda k: f"030/{2000000 + k}", "card": lambda k: f"X{k}-9911-{40 + k}", "ip": lambda k: f"fe80::{k:x}:77a{k}"}
+
+    def card(k):
+        body = f"4{k:014d}"
+        return body + next(d for d in "0123456789" if luhn(body + d))
+
+    seed["card"] = card
+    rows, planted = [], {}
+    for kind, forms in contexts.items():
+        for k in range(80):
+            rows.append((len(rows), around(forms[k % 2].format(seed[kind](k)))))
+        for k in range(25):
+            text = odd[kind](k).replace(" ", "")
+            assert not pii.seeds(text)
+            full = around(forms[k % 2].format(text))
+            planted[len(rows)] = f"{kind}:{full.index(text)}:{full.index(text) + len(text)}"
+            rows.append((len(rows), full))
+    clean = range(len(rows), len(rows) + 300)
+    rows += [(k, around(f"{word()} {word()}{k} and {k * 37} of {word()}-{k}")) for k in clean]
+    made = {r["doc_id"]: r for r in pii.pii_digests(documents(spark, rows)).collect()}
+    right = sum(made[k]["spans"] == x for k, x in planted.items())
+    added = sum(r["n_added"] for r in made.values())
+    assert right >= 0.9 * len(planted) and right >= 0.9 * added, (right, len(planted), added)
+
+
+def test_whole_tokens_and_contexts():
+    long = "x" * 700
+    text = f"a9{'b' * 900} {long} {long} 12345 {long} {long}"
+    spans = pii.others(text, pii.seeds(text))
+    assert spans[0][:2] == (0, 902) and text[slice(*spans[1][:2])] == "12345"
+    at = spans[1]
+    short = pii.patterns(f"y {long} {long} 12345 {long} {long}", *(x - text.index(" " + long) + 1 for x in at[:2]))
+    assert pii.patterns(text, *at[:2]) == short
+    many = " ".join(f"{k}.1.1.1" for k in range(12))
+    glued = ",".join(f"{k}.1.1.1" for k in range(12))
+    assert pii.others(many, pii.seeds(many)) == [] and pii.others(glued, pii.seeds(glued)) == []
+
+
 def test_identifiers_known_elsewhere(spark):
     rows = [(1, "write +4912345678901 soon"), (2, "see +4912345678901 2024 there"), (3, "card 4111111111111111"), (4, "order 12 4111111111111111 sent"), (5, "order 12 4111111111111112 sent")]
     made = {r["doc_id"]: r for r in pii.pii_digests(documents(spark, rows)).collect()}
