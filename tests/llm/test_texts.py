@@ -269,7 +269,9 @@ def test_near_classes(spark):
     assert len(same) == 3 and {r["n_links"] for r in same} == {2}
 
 
-def test_tiles_of_a_large_family(spark, monkeypatch):
+@pytest.mark.parametrize("family", [1000, 20])
+def test_tiles_of_a_large_family(spark, monkeypatch, family):
+    """One block in tiles; and the same family as a block a band."""
     monkeypatch.setattr(near_join, "TILE", 16)
     rng = random.Random(6)
     text = [f"w{k}" for k in range(120)]
@@ -280,7 +282,10 @@ def test_tiles_of_a_large_family(spark, monkeypatch):
         if k % 3 == 0:
             changed[rng.randrange(120)] = f"y{k}"
         rows.append((k, " ".join(changed)))
-    made = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_join.near_classes(documents(spark, rows)).collect())
+    for k in range(60):  # a chain: neighbours are similar, ends are not
+        rows.append((100 + k, " ".join(f"c{x}" for x in range(8 * k, 8 * k + 150))))
+    rows += rows[:3] * 4
+    made = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in near_join.near_classes(documents(spark, rows).repartition(7), family=family).collect())
     assert made == Counter(brute_classes(rows))
 
 
