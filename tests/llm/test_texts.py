@@ -436,3 +436,18 @@ def test_rows_that_share_a_doc_id_keep_their_own_verdicts_and_spans(spark, sf_di
     wanted = [(None, "mail <EMAIL> now"), (None, "no personal data here"), (None, "hello, at <IP>"), (7, "x"), (7, "write to <EMAIL> or <EMAIL>"), (7, None)]
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(wanted)
     assert all(r["n_chars"] == len(r["text"] or "") for r in rows)
+
+
+def test_stages_with_odd_tables(spark, sf_dir):
+    """Null and shared ids, null, empty and very long texts, repeated rows, and columns that clash with the stages' own."""
+    long = " ".join(f"w{k % 977}x{k // 977}" for k in range(60_000))
+    texts = [(None, None), (None, ""), (1, ""), (1, None), (2, "mail a@b.cc now"), (2, "mail a@b.cc now"), (2, "other words"), (3, long), (None, long)]
+    names = "spans text_hash found_doc_id found_text_hash clean gone_doc_id gone_text_hash gone_id gone_key text_key kept head base added part row ids rest at node docs band".split()
+    plain = documents(spark, texts)
+    clash = plain.select("*", *[F.lit("clash").alias(c) for c in names if c not in plain.columns])
+    for name, stage in corpus_pipeline.STAGES:
+        columns = [c for c in stage(spark, plain, sf_dir).columns if name != "packing" or c not in ("sequence_id", "offset")]
+        made = Counter(tuple(r) for r in stage(spark, clash, sf_dir).select(columns).collect())
+        assert made == Counter(tuple(r) for r in stage(spark, plain, sf_dir).select(columns).collect()), name
+        left = {"quality": 2, "near_duplicates": 4, "pii": len(texts)}.get(name)
+        assert left is None or sum(made.values()) == left, (name, sum(made.values()))
