@@ -2,6 +2,10 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, written as Parquet and read again as the next one's docs. All but
 the last return the columns of documents, for the documents that the stage keeps.
+
+In all stages rows are told apart by doc_id and text (its hash), so rows that share a doc_id, or have none, keep their
+own decisions. A null doc_id is a value like others. Columns beside COLUMNS are not looked at, whatever their names,
+and don't come out. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +36,10 @@ def same(names: list[str], prefix: str) -> Column:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep. The verdict is that of a row's doc_id, text, language and source together."""
+    """Rows that the quality rules keep. The verdict is that of a row's doc_id, text, language and source together.
+
+    Null and empty texts fail the base rules and go; rows that repeat all go or all stay, as often as they come.
+    """
     names = ["doc_id", "text_hash", "lang", "source"]
     known = hashed(docs)
     verdicts = written(quality_verdicts(known, carried=names[1:]).select(*names, "kept"), "stage-quality")
@@ -41,7 +48,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The head (of the least doc_id, then text key) of each class of near duplicates; of rows that repeat it, one."""
+    """The head (of the least doc_id, then text key) of each class of near duplicates; of rows that repeat it, one.
+
+    Texts of the same words are near duplicates of one another, so one null or empty text stays of all. Rows of one
+    doc_id with different texts are judged each for itself. A null doc_id counts as the least.
+    """
     classes = written(near_classes(docs).select("doc_id", "text_key", ((F.coalesce("doc_id", F.lit(-(2**63))) == F.col("class_id")) & (F.col("text_key") == F.col("head_key"))).alias("head")), "stage-near")
     gone = classes.filter("NOT head").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     known = docs.select(*COLUMNS, text_key(F.col("text")).alias("text_key"))
@@ -64,7 +75,10 @@ def redacted(text, spans):
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the names of its kinds; n_chars follows."""
+    """All documents, with personal data replaced by the names of its kinds; n_chars follows where text changes.
+
+    Null texts stay null and empty ones empty. Rows that repeat stay as often as they come, redacted alike.
+    """
     names = ["doc_id", "text_hash"]
     known = hashed(docs)
     found = written(find_pii(known, carried=names[1:]).select(*[F.col(c).alias(f"found_{c}") for c in names], F.concat("base", "added").alias("spans")).filter(F.size("spans") > 0).dropDuplicates([f"found_{c}" for c in names]), "stage-pii")
@@ -76,7 +90,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences, with their ids."""
+    """Pieces of all documents in sequences, with their ids: see pack(). Null and empty texts are the end id alone."""
     return with_offsets(pack(docs)).drop("slot")
 
 
