@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of its own in the shared folder: computed once, and without lineage to recompute."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

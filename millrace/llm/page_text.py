@@ -261,8 +261,10 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def counted(trees: DataFrame) -> DataFrame:
     """host, place, slot, content and on how many different pages of the host; copies of a page's prose count once."""
-    pages = trees.groupBy("host", "prose").agg(F.min("nodes").alias("nodes"))
-    each = pages.select("host", F.inline("nodes"))
+    known = trees.select("host", "prose", "part", "row")
+    twice = known.groupBy("host", "prose").agg(F.count("*").alias("n"), F.min(F.struct("part", "row")).alias("first")).filter("n > 1").checkpoint()
+    again = hot_join(known, twice, ["host", "prose"], "n").filter(F.struct("part", "row") != F.col("first")).select("part", "row").checkpoint()
+    each = trees.join(small_side(again, 500_000), ["part", "row"], "left_anti").select("host", F.inline("nodes"))
     sums = [F.count("*").alias("times"), F.sum("first").alias("firsts"), F.sum("fresh").alias("freshes")]
     return written(each.groupBy("host", "place", "slot", "content").agg(*sums, *[F.max(c).alias(c) for c in ("depth", "holder", "chars", "links")]), "page-subtrees")
 
@@ -303,9 +305,9 @@ def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, share: flo
     root = F.array(F.struct(F.lit(0).alias("node"), F.lit(ROOT).cast("long").alias("key")))
     each = trees.select("part", "row", "host", F.inline(F.array_distinct(F.concat(root, pair("place"), pair("slot"), pair("content")))))
     told = hot_join(each, keys, ["host", "key"], "n")
-    hits = told.groupBy("part", "row").agg(F.collect_set(F.struct("tells", "node")).alias("hits")).checkpoint()
+    hits = told.groupBy("part", "row").agg(F.collect_set(F.col("node") * 8 + F.col("tells")).alias("hits")).checkpoint()
     known = trees.drop("nodes", "prose").join(small_side(hits, 200_000), ["part", "row"], "left")
-    of = lambda what: F.transform(F.filter("hits", lambda h: h["tells"] == what), lambda h: h["node"])
+    of = lambda what: F.transform(F.filter("hits", lambda h: h % 8 == what), lambda h: (h / 8).cast("int"))
     known = known.select("page_id", "url", "blocks", F.coalesce(F.size(of(SETTLED)) > 0, F.lit(False)).alias("settled"), of(CONTAINER).alias("container"), of(OUT).alias("out"), of(ANYWHERE).alias("anywhere"))
     meets = lambda b, nodes: F.arrays_overlap(b["nodes"], F.col(nodes))
     gone = lambda b: b["comment"] | (b["named"] if names else F.lit(False))
