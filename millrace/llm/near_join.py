@@ -268,8 +268,9 @@ def near_classes(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: fl
     degrees = found.filter("links IS NOT NULL").groupBy(F.col("a").alias("text_key")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("text_key"), "label")
     linked = members.select("text_key", "node").join(joined, "text_key").join(degrees, "text_key", "left")
-    first = linked.groupBy("label").agg(F.min(F.struct("node", "text_key")).alias("head"))
-    named = linked.join(first, "label").select("text_key", F.col("head.node").alias("class_id"), F.col("head.text_key").alias("head_key"), "links").checkpoint()
+    linked = written(linked, "near-linked")
+    first = linked.groupBy("label").agg(F.min(F.struct("node", "text_key")).alias("head"), F.count("*").alias("n")).checkpoint()
+    named = hot_join(linked, first, ["label"], "n", hot=100_000).select("text_key", F.col("head.node").alias("class_id"), F.col("head.text_key").alias("head_key"), "links").checkpoint()
     per_class = written(classes.select("text_key", "node", "docs").join(small_side(named, 200_000), "text_key", "left").select("text_key", F.col("node").alias("text_class"), F.coalesce("class_id", "node").alias("class_id"), F.coalesce("head_key", "text_key").alias("head_key"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"), "docs"), "near-named")
     named_rows = hot_join(rows.select("doc_id", "text_key"), per_class, ["text_key"], "docs", hot=100_000)
     return named_rows.select("doc_id", "class_id", "n_links", "text_class", "text_key", "head_key")
