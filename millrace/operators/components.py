@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def set_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; only where it is unset (tests) to one of this machine."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.sparkContext.setCheckpointDir(path)
+from ..session import shared_dir
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -24,7 +15,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     gives every node that is left the least label beside it and then its label's label, so chains halve; rounds are
     checkpointed, and a node's neighbours are only ever aggregated.
     """
-    set_checkpoints(edges.sparkSession)
+    shared_dir(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     first = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
     place = first.select(F.col("node").alias("at"), F.col("label").alias("to"))
@@ -45,14 +36,16 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def k_core(edges: DataFrame, least: int, *, most_rounds: int = 200) -> DataFrame:
-    """The edges (a, b) that are left when nodes with fewer than ``least`` neighbours go, again and again."""
-    set_checkpoints(edges.sparkSession)
+def k_core(edges: DataFrame, least: int) -> DataFrame:
+    """The edges (a, b) that are left when nodes with fewer than ``least`` neighbours go, again and again.
+
+    Every round takes nodes away or is the last, so it ends by itself: a chain goes from both ends.
+    """
+    shared_dir(edges.sparkSession)
     left = edges.select("a", "b").filter("a <> b").distinct().checkpoint()
-    for _ in range(most_rounds):
+    while True:
         ends = left.select(F.explode(F.array("a", "b")).alias("node"))
         weak = ends.groupBy("node").agg(F.count("*").alias("degree")).filter(F.col("degree") < least).select("node").checkpoint()
-        if not weak.limit(1).count():
+        if weak.isEmpty():
             return left
         left = left.join(weak, left["a"] == weak["node"], "left_anti").join(weak, F.col("b") == weak["node"], "left_anti").checkpoint()
-    raise RuntimeError(f"the core did not settle in {most_rounds} rounds")

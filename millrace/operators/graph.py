@@ -64,7 +64,7 @@ class Graph:
         """Menus without the ingredient, at restaurants that sell the preferred one; nothing if no such ingredient exists."""
         known = self.node("Ingredient", "i").filter(F.col("i_key") == ingredient).select(F.lit(1).alias("known"))
         bad = self.edge("CONTAINS", "m", "i").filter(F.col("i") == ingredient).select("m")
-        return self._restaurants(self._preferred(menu).join(bad, "m", "left_anti").join(known, F.lit(True), "left_semi"), limit)
+        return self._restaurants(self._preferred(menu).join(bad, "m", "left_anti").filter(known.exists()), limit)
 
     def exclude_ingredient_everywhere(self, menu: str, ingredient: str, limit: int = 5) -> DataFrame:
         """As exclude_ingredient, but no menu of the restaurant may contain it."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from .relational import hot_join
+
 #: Weights of the hybrid importance and of keyword statistics.
 TF_IDF_SHARE, TF_SHARE, TITLE_SHARE, FULL_SCORE = 0.5, 0.3, 0.2, 5.0
 HISTORY_RATE, MOST_HISTORY, REPEAT_PENALTY, SINGLE_PENALTY, TARGET_BOOST = 0.03, 0.1, 0.92, 0.8, 1.15
@@ -34,12 +37,15 @@ def hybrid_ranks(docs: DataFrame, doc: str, tokens: Column, title: Column, top:
     """doc, term, tf, importance, rank of each document's best ``top`` terms.
 
     importance = 0.5 min(1, tf idf / 5) + 0.3 min(1, tf / 5) + 0.2 in the title, with idf = ln((1 + N) / (1 + df)) + 1
-    over all documents. df and N come from aggregates; the per-document rank is over that document's own terms.
+    over all documents. Postings are written once; df, an aggregate of them, is broadcast while it is small, and beyond
+    that for its common terms, so postings move again for rare terms only, if at all.
     """
     tf = docs.select(F.col(doc), F.explode(tokens).alias("term"), title.alias("title")).groupBy(doc, "term").agg(F.count("*").alias("tf"), F.max(F.contains("title", "term").cast("int")).alias("in_title"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    shared_dir(docs.sparkSession)
+    tf = tf.checkpoint()
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).checkpoint()
     n = docs.agg(F.count("*")).scalar()
-    scored = tf.join(df, "term")
+    scored = hot_join(tf, df, ["term"], "df", small=1_000_000)
     idf = F.ln((1 + n) / (1 + F.col("df"))) + 1
     weight = TF_IDF_SHARE * F.least(F.lit(1.0), F.col("tf") * idf / FULL_SCORE) + TF_SHARE * F.least(F.lit(1.0), F.col("tf") / FULL_SCORE) + TITLE_SHARE * F.col("in_title")
     ranked = scored.withColumn("importance", F.round(weight, 6)).withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("importance"), "term")))
@@ -82,13 +88,18 @@ def overlap_score(words: Column, selected: list[str]) -> Column:
     return F.reduce(pairs, F.lit(0), lambda a, b: a + b)
 
 
+def hashed_draw(key: Column, seed: str) -> Column:
+    """A number below 2^32 that key and seed fix: the first bits of their md5."""
+    return F.conv(F.left(F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"))), F.lit(8)), 16, 10).cast("long")
+
+
 def weighted_sample(rows: DataFrame, scope: str, key: Column, weight: Column, k: int, seed: str = "") -> DataFrame:
     """k rows a scope, drawn without replacement by weight: the smallest -ln(u) / weight, u fixed by key and seed."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**40)) + 1) / float(2**40 + 1)
+    u = (hashed_draw(key, seed) + 1) / float(2**32 + 1)
     drawn = rows.withColumn("draw", -F.ln(u) / F.greatest(weight, F.lit(0.01)))
     return drawn.withColumn("draw_rank", F.row_number().over(Window.partitionBy(scope).orderBy("draw", key))).filter(F.col("draw_rank") <= k).drop("draw")
 
 
 def reservoir(rows: DataFrame, key: Column, k: int, seed: str = "") -> DataFrame:
     """k rows of equal chance that the seed fixes: a bounded top-k over hashes."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
+    return rows.orderBy(hashed_draw(key, seed), key).limit(k)

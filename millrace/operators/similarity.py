@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalised
+from ..session import shared_dir
 from .components import components, k_core
 from .relational import small_side
 
@@ -34,12 +35,19 @@ def nearest(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(key).alias("key")).join(ends, "key", "left")
 
 
-def top_k(queries: DataFrame, index: DataFrame, group: str, key: str, vector: str, k: int, most_distance: float) -> DataFrame:
-    """query, key, distance, rank: the k nearest rows of the same group, the query itself aside."""
-    q = queries.select(F.col(group), F.col(key).alias("query"), normalised(F.col(vector)).alias("u"))
-    x = index.select(F.col(group), F.col(key).alias("key"), normalised(F.col(vector)).alias("v"))
-    near = x.join(q, group).filter("query <> key").withColumn("distance", 1 - dot(F.col("u"), F.col("v"))).filter(F.col("distance") <= most_distance)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))).filter(F.col("rank") <= k).select("query", "key", "distance", "rank")
+def top_k(queries: DataFrame, index: DataFrame, group: str, key: str, vector: str, k: int, most_distance: float, *, chunk: int = 16 * CHUNK) -> DataFrame:
+    """query, key, distance, rank: the k nearest rows of the same group, the query itself aside.
+
+    A group's index is cut into chunks by hash, each a join key of its own that all queries of the group meet; the k
+    nearest of a chunk go on to the last rank, so a large group is many tasks and no task ranks it whole.
+    """
+    shared_dir(index.sparkSession)
+    sizes = index.groupBy(group).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).checkpoint()
+    q = queries.join(small_side(sizes, 100_000), group).select(F.col(group), F.col(key).alias("query"), normalised(F.col(vector)).alias("u"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    x = index.join(small_side(sizes, 100_000), group).select(F.col(group), F.col(key).alias("key"), normalised(F.col(vector)).alias("v"), F.pmod(F.xxhash64(key), F.col("chunks")).cast("int").alias("chunk"))
+    near = x.join(q, [group, "chunk"]).filter("query <> key").withColumn("distance", 1 - dot(F.col("u"), F.col("v"))).filter(F.col("distance") <= most_distance)
+    best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "key"))).filter(F.col("rank") <= k)
+    return best(best(near, "query", "chunk"), "query").select("query", "key", "distance", "rank")
 
 
 def image_groups(images: DataFrame, store: str, key: str, vector: str, *, threshold: float = 0.6, least: int = 3) -> DataFrame:

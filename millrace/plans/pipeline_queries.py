@@ -15,7 +15,7 @@ query = registry.query
 def crawled(spark, sf_dir):
     """documents as crawled rows: two of three are reviews at a place, the rest news; ids of suppliers' nations as places."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("crawling_id"), F.left("text", F.lit(40)).alias("title"), F.left("text", F.lit(200)).alias("content"), F.concat(F.lit("https://example.com/t/"), "doc_id").alias("article_url"), F.when(F.col("doc_id") % 3 == 0, "CA07").otherwise("CA01").alias("category_cd"), (F.col("doc_id") % 30).alias("map_id"), F.lit(None).cast("string").alias("shop_cd"))
+    return docs.select(F.col("doc_id").alias("crawling_id"), F.left("text", F.lit(40)).alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://example.com/t/"), "doc_id").alias("article_url"), F.when(F.col("doc_id") % 3 == 0, "CA07").otherwise("CA01").alias("category_cd"), (F.col("doc_id") % 30).alias("map_id"), F.lit(None).cast("string").alias("shop_cd"))
 
 
 def shops(spark, sf_dir):
@@ -33,7 +33,7 @@ SCORE = "CAST('0x' || left(sha256(content), 8) AS BIGINT) / 4294967296.0"
 
 @query(f"""
 WITH s AS (SELECT s_nationkey AS map_id, count(*) AS n, min(s_suppkey) AS shop_id FROM supplier WHERE s_acctbal > 6000 GROUP BY 1),
-c AS (SELECT doc_id AS crawling_id, left(text, 200) AS content, CASE WHEN doc_id % 3 = 0 THEN 'CA07' ELSE 'CA01' END AS category_cd, doc_id % 30 AS map_id FROM documents)
+c AS (SELECT doc_id AS crawling_id, text AS content, CASE WHEN doc_id % 3 = 0 THEN 'CA07' ELSE 'CA01' END AS category_cd, doc_id % 30 AS map_id FROM documents)
 SELECT crawling_id, CASE category_cd WHEN 'CA07' THEN 'IC02' ELSE 'IC01' END AS information_cd, CASE WHEN category_cd = 'CA01' THEN shop_id END AS shop_id,
   CASE WHEN {SCORE} >= 0.5 THEN 'positive' ELSE 'negative' END AS sentimental, round(greatest({SCORE}, 1 - {SCORE}), 4) AS score
 FROM c LEFT JOIN s USING (map_id) WHERE category_cd = 'CA07' OR n = 1""")
@@ -61,7 +61,7 @@ def pipeline_news_clean(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS (SELECT doc_id, left(text, 200) AS content, CASE WHEN doc_id % 3 = 0 THEN 'crawling_id' ELSE 'shop_id' END AS scope_type, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id % 30 END AS scope_id FROM documents),
+WITH c AS (SELECT doc_id, text AS content, CASE WHEN doc_id % 3 = 0 THEN 'crawling_id' ELSE 'shop_id' END AS scope_type, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id % 30 END AS scope_id FROM documents),
 g AS (SELECT scope_type, scope_id, count(*) AS rows, avg(CASE WHEN {SCORE} >= 0.5 THEN 1.0 ELSE 0.0 END) AS r FROM c GROUP BY 1, 2)
 SELECT scope_type, scope_id, rows, round(r, 6) AS positive_ratio FROM g WHERE scope_type = 'crawling_id' OR (rows >= 5 AND r >= 0.6)""")
 def pipeline_post_candidates(spark, sf_dir):
@@ -74,7 +74,7 @@ def pipeline_post_candidates(spark, sf_dir):
 @query()
 def pipeline_article_keywords(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    articles = docs.select(F.col("doc_id").cast("string").alias("article_id"), "source", F.left("text", F.lit(60)).alias("title"), F.left("text", F.lit(1000)).alias("content"), F.lit("20260520_001").alias("batch_id"))
+    articles = docs.select(F.col("doc_id").cast("string").alias("article_id"), "source", F.left("text", F.lit(60)).alias("title"), F.col("text").alias("content"), F.lit("20260520_001").alias("batch_id"))
     return pipelines.extract_article_keywords(articles, {"that": "That"}).records.select("article_id", "keywords", "keyword_count", "llm_failed")
 
 

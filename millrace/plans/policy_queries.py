@@ -107,17 +107,18 @@ def span_keywords(spark, sf_dir):
 @query()
 def greedy_group(spark, sf_dir):
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").filter("quality = 1")
-    words = F.slice(F.filter(word_tokenizer(F.col("text")), lambda w: F.length(w) > 3), 1, 12)
+    words = F.filter(word_tokenizer(F.col("text")), lambda w: F.length(w) > 3)
     counts = keywords.keyword_counts(both, "source", words, F.col("n_chars") / 1000.0).filter("batch_count >= 2")
     return grouping.group_keywords(counts, "source", {"that": "this", "this": "this"}, word_tokenizer)
 
 
-@query()
+@query("""WITH d AS (SELECT source, doc_id, -ln((CAST('0x' || left(md5('seed|' || doc_id), 8) AS BIGINT) + 1) / 4294967297.0) / greatest(n_chars, 0.01) AS draw FROM documents)
+SELECT source, doc_id, draw_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY draw, doc_id) AS draw_rank FROM d) WHERE draw_rank <= 5""")
 def weighted_sample(spark, sf_dir):
     return keywords.weighted_sample(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", F.col("doc_id"), F.col("n_chars"), 5, "seed").select("source", "doc_id", "draw_rank")
 
 
-@query()
+@query("SELECT c_custkey, c_name FROM customer ORDER BY CAST('0x' || left(md5('seed|' || c_custkey), 8) AS BIGINT), c_custkey LIMIT 200")
 def reservoir_sample(spark, sf_dir):
     return keywords.reservoir(table(spark, sf_dir, "customer"), F.col("c_custkey"), 200, "seed").select("c_custkey", "c_name")
 

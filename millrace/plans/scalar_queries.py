@@ -36,9 +36,9 @@ def anchor_html(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, CASE WHEN len(w) > 0 THEN '#' || array_to_string(w, '#') ELSE '' END AS tags, len(w) AS n FROM (
-  SELECT doc_id, list_filter(string_split(regexp_replace(left(text, 60), '\s+', ' ', 'g'), ' '), lambda x: x <> '')[1:15] AS w FROM documents)""")
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '')[1:15] AS w FROM documents)""")
 def hashtags_roundtrip(spark, sf_dir):
-    words = F.slice(F.array_remove(F.split(F.regexp_replace(F.left("text", F.lit(60)), r"\s+", " "), " "), ""), 1, 15)
+    words = F.slice(F.array_remove(F.split(F.regexp_replace("text", r"\s+", " "), " "), ""), 1, 15)
     made = docs(spark, sf_dir).select("doc_id", S.hashtags(words).alias("tags"))
     return made.select("doc_id", "tags", F.size(S.parse_hashtags(F.col("tags"))).cast("long").alias("n"))
 
@@ -51,7 +51,7 @@ def placeholder_filter(spark, sf_dir):
     return rows.filter(F.col("props").isNotNull() & ~F.col("props").isin("", "-", "N/A") & (F.regexp_replace("props", r"\s", "") != ""))
 
 
-MENTIONS = "CASE doc_id % 9 WHEN 0 THEN 'OpenAI and NVIDIA: ' WHEN 1 THEN 'ms. ' WHEN 2 THEN 'items, 삼성전자 ' WHEN 3 THEN 'GPT-5 update by 구글, k8s cloud ' WHEN 4 THEN 'pineapple reactjs attack ' ELSE '' END || left(text, 200)"
+MENTIONS = "CASE doc_id % 9 WHEN 0 THEN 'OpenAI and NVIDIA: ' WHEN 1 THEN 'ms. ' WHEN 2 THEN 'items, 삼성전자 ' WHEN 3 THEN 'GPT-5 update by 구글, k8s cloud ' WHEN 4 THEN 'pineapple reactjs attack ' ELSE '' END || text"
 
 
 def mentions():
@@ -122,19 +122,19 @@ def summary300(spark, sf_dir):
 
 
 @query(r"""
-WITH v AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '기억에 남 다음에 또 기억에 남 ' WHEN 1 THEN '여기에 ' WHEN 2 THEN '한 번쯤 잘 어울렸 기분 좋게 만족스러운 ' ELSE '' END || left(text, 150 + doc_id % 100) AS post FROM documents),
+WITH v AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '기억에 남 다음에 또 기억에 남 ' WHEN 1 THEN '여기에 ' WHEN 2 THEN '한 번쯤 잘 어울렸 기분 좋게 만족스러운 ' ELSE '' END || text AS post FROM documents),
 f AS (SELECT *, regexp_replace(post, '\s+', ' ', 'g') AS flat, trim(regexp_replace(regexp_replace(regexp_replace(post, '<[^>]+>', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS seen FROM v)
 SELECT doc_id, CASE WHEN contains(post, '여기에') THEN 'BANNED_TOKEN' WHEN contains(flat, '기억에 남 다음에 또 기억에 남') THEN 'REPEATED_CLICHE'
   WHEN contains(flat, '한 번쯤 잘 어울렸 기분 좋게 만족스러운') THEN 'TOO_MANY_CLICHES'
   WHEN length(seen) < 180 OR len(list_filter(regexp_split_to_array(seen, '[.!?。！？]+|\n+'), lambda s: length(trim(s)) >= 8)) < 3 THEN 'TOO_SHORT' END AS issue FROM f""")
 def quality_gate(spark, sf_dir):
-    post = F.expr("CASE doc_id % 7 WHEN 0 THEN '기억에 남 다음에 또 기억에 남 ' WHEN 1 THEN '여기에 ' WHEN 2 THEN '한 번쯤 잘 어울렸 기분 좋게 만족스러운 ' ELSE '' END || left(text, int(150 + doc_id % 100))")
+    post = F.expr("CASE doc_id % 7 WHEN 0 THEN '기억에 남 다음에 또 기억에 남 ' WHEN 1 THEN '여기에 ' WHEN 2 THEN '한 번쯤 잘 어울렸 기분 좋게 만족스러운 ' ELSE '' END || text")
     return docs(spark, sf_dir).select("doc_id", policy.quality_issue(post).alias("issue"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(left(html, 2000), '<[^>]+>', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS seen FROM pages")
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS seen FROM pages")
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", S.visible(F.left("html", F.lit(2000))).alias("seen"))
+    return table(spark, sf_dir, "pages").select("page_id", S.visible(F.col("html")).alias("seen"))
 
 
 @query("SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")

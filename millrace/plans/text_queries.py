@@ -52,7 +52,7 @@ def tfidf_hybrid_top10(spark, sf_dir):
 
 
 KEYWORDS = f"""
-d AS (SELECT source, doc_id, quality, n_chars / 1000.0 AS score, ({WORDS})[1:12] AS w FROM documents JOIN labels USING (doc_id)),
+d AS (SELECT source, doc_id, quality, n_chars / 1000.0 AS score, {WORDS} AS w FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT source, keyword, count(*) AS batch_count, sum(score) AS score_sum FROM (SELECT source, score, unnest(list_distinct(w)) AS keyword FROM d WHERE quality = 1) GROUP BY 1, 2)"""
 WEIGHTS = f"""WITH {KEYWORDS},
 h AS (SELECT keyword, count(*) AS history FROM (SELECT unnest(list_distinct(w)) AS keyword FROM d WHERE quality = 0) GROUP BY 1),
@@ -64,7 +64,7 @@ w AS (SELECT source, keyword, batch_count, round(score_sum / batch_count + 1e-9,
 
 def labelled(spark, sf_dir):
     both = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    return both.select("source", "doc_id", "quality", (F.col("n_chars") / 1000.0).alias("score"), F.slice(words(), 1, 12).alias("w"), "text")
+    return both.select("source", "doc_id", "quality", (F.col("n_chars") / 1000.0).alias("score"), words().alias("w"), "text")
 
 
 def counts(spark, sf_dir):
@@ -102,7 +102,7 @@ def negative_keyword_freq(spark, sf_dir):
     return each.groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(100)
 
 
-@query(f"""WITH d AS (SELECT doc_id, quality, n_chars / 1000.0 AS score, text, ({WORDS})[1:12] AS w FROM documents JOIN labels USING (doc_id)),
+@query(f"""WITH d AS (SELECT doc_id, quality, n_chars / 1000.0 AS score, text, {WORDS} AS w FROM documents JOIN labels USING (doc_id)),
 o AS (SELECT *, list_sum(list_transform(w, lambda x: CASE WHEN x = 'that' THEN 3 WHEN contains(x, 'that') OR contains('that', x) THEN 1 ELSE 0 END
    + CASE WHEN x = 'with' THEN 3 WHEN contains(x, 'with') OR contains('with', x) THEN 1 ELSE 0 END)) AS overlap,
   len(list_filter(w, lambda x: contains(x, 'with') OR contains('with', x))) AS targets FROM d)
@@ -132,19 +132,19 @@ def chunk_fixed(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(S.fixed_chunks(F.col("text"), 200, 20)).alias("chunk", "piece"))
 
 
-@query("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || left(text, 80), chr(10) ORDER BY turn) AS block, count(*) AS n FROM conversations WHERE turn < 12 GROUP BY 1)
+@query("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || left(text, 600), chr(10) ORDER BY turn) AS block, count(*) AS n FROM conversations WHERE turn < 12 GROUP BY 1)
 SELECT conv_id, block, n FROM c""")
 def sources_block(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").filter("turn < 12")
-    line = F.concat("role", F.lit(": "), F.left("text", F.lit(80)))
+    line = F.concat("role", F.lit(": "), F.left("text", F.lit(600)))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"), F.count("*").alias("n"))
     return grouped.select("conv_id", F.array_join("lines.line", "\n").alias("block"), "n")
 
 
-@query("""WITH p AS (SELECT doc_id, posn, w FROM (SELECT doc_id, generate_subscripts(x, 1) AS posn, unnest(x) AS w FROM (SELECT doc_id, list_filter(string_split(left(text, 400), ' '), lambda x: x <> '') AS x FROM documents)))
+@query("""WITH p AS (SELECT doc_id, posn, w FROM (SELECT doc_id, generate_subscripts(x, 1) AS posn, unnest(x) AS w FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS x FROM documents)))
 SELECT doc_id, w AS word FROM p GROUP BY doc_id, w HAVING count(*) >= 3""")
 def repeated_nouns(spark, sf_dir):
-    each = docs(spark, sf_dir).select("doc_id", F.explode(F.array_remove(F.split(F.left("text", F.lit(400)), " "), "")).alias("word"))
+    each = docs(spark, sf_dir).select("doc_id", F.explode(F.array_remove(F.split("text", " "), "")).alias("word"))
     return each.groupBy("doc_id", "word").agg(F.count("*").alias("n")).filter("n >= 3").drop("n")
 
 

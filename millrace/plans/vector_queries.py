@@ -50,7 +50,16 @@ def components(spark, sf_dir):
     return C.components(similarity.pairs_within(vectors(spark, sf_dir), "label", "vec_id", "embedding", 0.3))
 
 
-@query()
+def core_sql(rounds: int, least: int) -> str:
+    """The edges left after so many rounds, each of which takes the nodes with fewer neighbours."""
+    steps = ["e0 AS MATERIALIZED (SELECT a, b FROM p WHERE similarity >= 0.2)"]
+    for k in range(rounds):
+        steps.append(f"k{k} AS MATERIALIZED (SELECT node FROM (SELECT a AS node FROM e{k} UNION ALL SELECT b FROM e{k}) GROUP BY 1 HAVING count(*) >= {least})")
+        steps.append(f"e{k + 1} AS MATERIALIZED (SELECT a, b FROM e{k} WHERE a IN (SELECT node FROM k{k}) AND b IN (SELECT node FROM k{k}))")
+    return f"WITH {PAIRS}, {', '.join(steps)} SELECT a, b FROM e{rounds}"
+
+
+@query(core_sql(30, 2))
 def kcore(spark, sf_dir):
     return C.k_core(similarity.pairs_within(vectors(spark, sf_dir), "label", "vec_id", "embedding", 0.2).select("a", "b"), 2)
 

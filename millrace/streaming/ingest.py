@@ -14,17 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.relational import keep_by
 from ..operators.upserts import merge
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests) one of this machine's."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
-
-        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..session import shared_dir
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -63,24 +53,65 @@ def windowed(rows: DataFrame, by: str, late: str = "1 hour", width: str = "1 day
     return counts.select(F.col("window.start").alias("start"), by, "n", "total")
 
 
-def upsert(rows: DataFrame, key: list[str], order: str, out: str, checkpoint: str, *, keep_on_null: bool = False) -> None:
-    """Merges each micro-batch into the newest version under ``out``; a version is named by its batch.
+def upsert(rows: DataFrame, key: list[str], order: str, out: str, checkpoint: str, *, keep_on_null: bool = False, buckets: int = 32) -> None:
+    """Merges each micro-batch into the table under ``out``, which is cut into buckets by the key's hash.
 
-    A batch that is run again writes the same version again from the one before, so a restart changes nothing. Within a
-    batch the last row of a key by ``order`` counts.
+    Only the buckets that a batch touches are written again, as a version named by the batch; a list of which version
+    of each bucket counts (a row a bucket) is written last and makes the batch valid. A batch that is run again reads
+    the list of the batch before and writes the same again, so a restart changes nothing. Versions that neither this
+    list nor the one before names are removed. Within a batch the last row of a key by ``order`` counts.
     """
     spark = rows.sparkSession
     columns = rows.columns
 
     def step(batch: DataFrame, number: int) -> None:
-        last = keep_by(batch, key, F.col(order)).select(*columns)
-        before = spark.read.schema(rows.schema).parquet(f"{out}/version={number - 1}") if number else spark.createDataFrame([], rows.schema)
-        merge(before, last, key, keep_on_null=keep_on_null).write.mode("overwrite").parquet(f"{out}/version={number}")
-        spark.range(1).select(F.lit(number).alias("number")).write.mode("overwrite").parquet(f"{out}/newest")
+        batch.persist()
+        last = keep_by(batch, key, F.col(order)).select(*columns).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = {r["bucket"] for r in last.select("bucket").distinct().collect()}  # at most a number a bucket
+        before = versions(spark, out, number - 1)
+        kept = stored(spark, out, {b: v for b, v in before.items() if b in touched}, rows.schema)
+        both = merge(kept, last.drop("bucket"), key, keep_on_null=keep_on_null).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        both.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/version={number}")
+        after = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(after.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{out}/list={number}")
+        batch.unpersist()
+        retire(spark, out, {*before.values(), *after.values()}, number)
 
     run(rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def folders(spark: SparkSession, out: str, kind: str) -> list[int]:
+    """Numbers of the folders kind=number under out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{kind}="))
+
+
+def versions(spark: SparkSession, out: str, number: int) -> dict[int, int]:
+    """The version of each bucket after a batch; the newest list at or before its number counts."""
+    lists = [n for n in folders(spark, out, "list") if n <= number]
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{out}/list={lists[-1]}").collect()} if lists else {}  # a row a bucket
+
+
+def stored(spark: SparkSession, out: str, of: dict[int, int], schema) -> DataFrame:
+    paths = [f"{out}/version={v}/bucket={b}" for b, v in sorted(of.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def retire(spark: SparkSession, out: str, used: set[int], number: int) -> None:
+    """Removes versions that no list in use names, and lists before the last one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in set(folders(spark, out, "version")) - used:
+        if n < number:
+            files.delete(place(f"{out}/version={n}"), True)
+    for n in folders(spark, out, "list"):
+        if n < number - 1:
+            files.delete(place(f"{out}/list={n}"), True)
+
+
 def newest(spark: SparkSession, out: str) -> DataFrame:
-    number = spark.read.parquet(f"{out}/newest").first()["number"]
-    return spark.read.parquet(f"{out}/version={number}")
+    """The table after its last batch."""
+    known = versions(spark, out, max(folders(spark, out, "list")))
+    return stored(spark, out, known, spark.read.parquet(f"{out}/version={max(known.values())}").drop("bucket").schema)
