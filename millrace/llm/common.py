@@ -3,28 +3,16 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..operators.relational import hot_join, small_side
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, one of this machine's, on a local master only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+__all__ = ["hot_join", "let", "literal_table", "read_table", "shared_dir", "small_side", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,35 +23,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def width(name: str, kind: T.DataType) -> Column:
-    """Bytes that a column's value takes, roughly."""
-    if isinstance(kind, T.ArrayType):
-        wide = isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType))
-        return F.octet_length(F.to_json(F.col(name))) if wide else 16 + F.greatest(F.size(name), F.lit(0)) * 8 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1)
-    return 16 + F.octet_length(F.col(name)) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(8)
-
-
-def small_side(df: DataFrame, rows: int, *, megabytes: int = 64) -> DataFrame:
-    """df, to be broadcast if it counts at most ``rows`` rows of ``megabytes`` in all; beyond that Spark shuffles both
-    sides of the join. df should be a written or checkpointed table, or cheap to compute."""
-    sizes = [F.coalesce(width(f.name, f.dataType), F.lit(8)).cast("long") for f in df.schema.fields]
-    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(reduce(add, sizes)), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and size <= megabytes << 20 else df
-
-
-def hot_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, *, small: int = 200_000, hot: int = 1_000_000) -> DataFrame:
-    """rows joined to table(on, and n: how often rows have the key), without a task that takes all of a hot key.
-
-    A small table is broadcast. Of a large one the keys with ``hot`` rows and more are, of which there are at most
-    the number of rows over ``hot`` times the table's rows a key; the rest meet in a shuffle. rows and table should be written or checkpointed tables.
-    """
-    side = small_side(table, small)
-    if side is not table:
-        return rows.join(side, on)
-    heavy = F.broadcast(table.filter(F.col(n) >= hot))  # at most rows / hot keys
-    return rows.join(heavy, on).unionByName(rows.join(table.filter(F.col(n) < hot), on))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often a lambda in the body reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)

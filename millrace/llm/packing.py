@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import literal_table, shared_dir, small_side
 from .word_ids import encoder
 
-WINDOW, STEP, SHORT, END_ID = 4096, 32, 512, 2
+WINDOW, STEP, END_ID = 4096, 32, 2
 
 
 def combinations(window_classes: int) -> list[tuple[int, ...]]:
@@ -101,7 +101,7 @@ class Stock:
         return self.lengths[k] if k >= 0 else 0
 
 
-def plan(histogram: dict[int, int], *, window: int = WINDOW, step: int = STEP, short: int = SHORT) -> list[dict]:
+def plan(histogram: dict[int, int], *, window: int = WINDOW, step: int = STEP) -> list[dict]:
     """Ranges of ranks: origin (a remainder length), low, high, start, length, sequence (of rank low), slot."""
     stock, out, sequence = Stock(histogram), [], 0
 
@@ -113,8 +113,7 @@ def plan(histogram: dict[int, int], *, window: int = WINDOW, step: int = STEP, s
     classes = lambda length: -(-length // step)
     target = np.zeros(window // step + 1)
     for length, n in histogram.items():
-        if length > short:
-            target[classes(length)] += n
+        target[classes(length)] += n
     if target.any():
         mixes = [m for m in combinations(window // step) if all(target[c] for c in m)]
         times = np.rint(nonnegative_least_squares(mixes, target)).astype(int) if mixes else []
@@ -128,7 +127,7 @@ def plan(histogram: dict[int, int], *, window: int = WINDOW, step: int = STEP, s
                 left[c] -= n
                 first, need = sequence, n
                 for length in range(c * step, (c - 1) * step, -1):
-                    if length > short and (m := min(need, stock.count.get(length, 0))):
+                    if m := min(need, stock.count.get(length, 0)):
                         put(stock.take(length, m), length, first, slot)
                         first, need = first + m, need - m
             sequence += n
@@ -212,7 +211,7 @@ def pack(docs: DataFrame, *, vocabulary: str = "word_bpe_49k.json", end_id: int
     )
     rank = F.col("before") + F.col("rank_in_part")
     ranked = tokens.filter("rest > 0").join(rests, (tokens["part"] == rests["part"]) & (F.col("rest") == F.col("of"))).select("doc_id", "n_tokens", "ids", "rest", rank.alias("rank"))
-    placed = ranked.join(F.broadcast(ranges), (F.col("rest") == F.col("origin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))  # rows of the plan: bounded by the window
+    placed = ranked.join(small_side(ranges, 500_000), (F.col("rest") == F.col("origin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))  # rows of the plan: some for each length, whatever the number of documents
     pieces = placed.select("doc_id", (full * window + F.col("start")).cast("long").alias("start"), F.col("length").cast("long").alias("length"), "ids", "n_tokens", (first + F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "slot")
     cut = lambda x: x.select("doc_id", "start", "length", ids_of.alias("ids"), F.col("n_tokens").alias("doc_tokens"), "sequence_id", "slot")
     return cut(windows).unionByName(cut(pieces))
