@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -81,21 +82,29 @@ def likeness(a: int, b: int) -> float:
 def with_next(docs: DataFrame) -> DataFrame:
     """part, doc_id, text, only_next: rows dealt to parts by ranges of doc_id, each part sorted and closed.
 
-    The row that follows a part's last one, in the order of doc_id and text, is there a second time (only_next), and
-    the last part closes with the first row of all. One shuffle of the texts; the bounds are quantiles of doc_id.
+    The order is that of doc_id, then a hash of the text, then the text. The row that follows a part's last one is
+    there a second time (only_next), and the last part closes with the first row of all. One shuffle of the texts; the
+    bounds are quantiles of doc_id. A doc_id (or null) that fills several quantiles is cut into as many ranges of the
+    hash.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     tasks = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = 8 * tasks  # many small ranges a task even out its size
     bounds = rows.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []
-    dealt = rows.withColumn("part", range_of(F.col("at"), sorted(set(bounds))))  # at most one number a part
-    heads = dealt.groupBy("part").agg(F.min("at").alias("head")).orderBy("part").collect()  # a row a part
-    table = literal_table(spark, [{"of": r["part"], "head": r["head"], "previous": heads[k - 1]["part"]} for k, r in enumerate(heads)], "of: int, head: bigint, previous: int")
+    often = [{"value": v, "times": n} for v, n in Counter(bounds).items() if n > 1]
+    hot = literal_table(spark, often, "value: bigint, times: int")
+    sub = F.floor((F.shiftright("h", 44) + 2**19) * F.col("times") / 2**20) + 1  # the hash's first 20 bits, in order
+    ranged = rows.withColumn("range", range_of(F.col("at"), sorted(set(bounds)))).join(F.broadcast(hot), F.col("at") == F.col("value"), "left")  # at most a row a part
+    dealt = ranged.withColumn("part", F.shiftleft(F.col("range").cast("long"), 21) + F.coalesce(sub, F.lit(0))).drop("range", "value", "times")
+    heads = dealt.groupBy("part").agg(F.min(F.struct("at", "h")).alias("head")).orderBy("part").collect()  # a row a part
+    table = literal_table(spark, [{"of": r["part"], "head_at": r["head"]["at"], "head_h": r["head"]["h"], "previous": heads[k - 1]["part"]} for k, r in enumerate(heads)], "of: bigint, head_at: bigint, head_h: bigint, previous: bigint")
     known = dealt.join(F.broadcast(table), F.col("part") == F.col("of"))  # a row a part
     own, other = F.struct(F.col("part"), F.lit(False).alias("only_next")), F.struct(F.col("previous").alias("part"), F.lit(True).alias("only_next"))
-    places = F.when(F.col("at") == F.col("head"), F.array(own, other)).otherwise(F.array(own))
-    return known.select("at", "doc_id", "text", F.explode(places).alias("place")).select("place.part", "at", "doc_id", "text", "place.only_next").repartition(tasks, "part").sortWithinPartitions("part", "only_next", "at", "text")
+    leads = (F.col("at") == F.col("head_at")) & (F.col("h") == F.col("head_h"))
+    places = F.when(leads, F.array(own, other)).otherwise(F.array(own))
+    both = known.select("at", "h", "doc_id", "text", F.explode(places).alias("place")).select("place.part", "at", "h", "doc_id", "text", "place.only_next")
+    return both.repartition(tasks, "part").sortWithinPartitions("part", "only_next", "at", "h", "text")
 
 
 def range_of(value: Column, bounds: list[int]) -> Column:
@@ -114,7 +123,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the document's last half (floor) replaced by as many first characters of the next document in
-    the order of doc_id, then text; the first follows the last. Null doc_ids come first, null texts count as empty, a
+    the order of doc_id, then a hash of the text; the first follows the last. Null doc_ids come first, null texts count as empty, a
     single document follows itself. Rows that repeat follow one another. Texts without words have the fingerprint 0.
     """
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -138,7 +147,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for part, doc_id, text, only_next in zip(*(batch.column(k) for k in (0, 2, 3, 4)), strict=True):
+            for part, doc_id, text, only_next in zip(*(batch.column(k) for k in (0, 3, 4, 5)), strict=True):
                 part, doc_id, text, only_next = part.as_py(), doc_id.as_py(), text.as_py(), only_next.as_py()
                 row = (part, doc_id, text, simhash(text))
                 if held and held[0] == part:

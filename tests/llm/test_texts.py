@@ -195,8 +195,9 @@ def test_digit_groups_and_patterns_of_later_rounds(spark):
 def test_fingerprints(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("a b c d e f g h".split(), k=rng.randint(0, 60))) for _ in range(60)] + ["", "😀é" * 7, "x " * 9000]
-    rows = [*enumerate(texts), (3, texts[3]), (7, None)]
-    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0], r[1]))
+    rows = [*enumerate(texts), (3, texts[3]), (7, None), *((None, f"no id {k}") for k in range(40)), *((5, f"five {k}") for k in range(30))]
+    hashes = {r["text"]: r["h"] for r in documents(spark, rows).select(F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1]))
     wanted = Counter()
     for k, (doc_id, text) in enumerate(order):
         follower, n = order[(k + 1) % len(order)][1], len(text)
@@ -204,6 +205,8 @@ def test_fingerprints(spark):
         marks = [simhash.simhash(x) for x in (text, edited, follower)]
         wanted[doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), f"{marks[0]:016x}", f"{marks[1]:016x}", simhash.likeness(marks[0], marks[1]), simhash.likeness(marks[0], marks[2])] += 1
     made = simhash.fingerprint_documents(documents(spark, rows).repartition(5))
+    parts = simhash.with_next(documents(spark, rows)).filter("doc_id IS NULL AND NOT only_next").groupBy("part").count().collect()
+    assert len(parts) > 5 and max(r["count"] for r in parts) < 20  # rows without an id are not one part
     assert Counter(tuple(r) for r in made.collect()) == wanted
     assert simhash.fingerprint_documents(documents(spark, [])).count() == 0
     one = simhash.fingerprint_documents(documents(spark, [(None, "a b c d e f")])).first()
