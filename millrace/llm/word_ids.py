@@ -43,6 +43,9 @@ class WordEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(pieces.values()) + 1, bool)  # whether an id ends a word
+        self.last[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -51,10 +54,10 @@ class WordEncoder:
         """Keeps the ids of plain stems and of other words that are not known yet."""
         known = self.known
         stems, rest = [w for w in stems if w not in known], [w for w in rest if w not in known]
-        if stems:  # each stem is one word of the vocabulary's own splitting, so word_ids tells them apart
-            e = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
-            ids, ends = np.array(e.ids, "<u4").tobytes(), 4 * np.searchsorted(np.array(e.word_ids), np.arange(len(stems) + 1))
-            known.update((stem, ids[a:b]) for stem, a, b in zip(stems, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        if stems:  # each stem is one word of the vocabulary's own splitting, so it has one id that ends a word, its last
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+            ends, whole = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
+            known.update(zip(stems, map(whole.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         known.update(zip(rest, self.whole(rest), strict=True))
 
     def spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
