@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import components as C
-from ..operators import similarity
+from ..operators import merging, similarity
 from .base import Registry, table
 
 registry = Registry()
@@ -69,4 +69,27 @@ def image_groups(spark, sf_dir):
     return similarity.image_groups(vectors(spark, sf_dir), "label", "vec_id", "embedding", threshold=0.2)
 
 
+SIGNALS = """SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN ['p' || vec_id % 4] ELSE [] END AS predicates, CASE WHEN vec_id % 5 = 0 THEN ['a' || vec_id % 2] ELSE [] END AS actions,
+  CASE WHEN vec_id % 7 <> 0 THEN ['noun' || vec_id % 6] ELSE [] END AS nouns, CASE WHEN vec_id % 4 = 0 AND vec_id % 7 <> 0 THEN ['noun' || vec_id % 6] ELSE [] END AS topics FROM embeddings"""
+
+
+@query(f"""WITH {UNITS}, s AS ({SIGNALS}),
+n AS (SELECT q.vec_id AS query, x.vec_id AS key, 1 - list_dot_product(q.v, x.v) AS distance FROM u q JOIN u x ON q.label = x.label AND q.vec_id <> x.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query, key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS rank FROM n WHERE distance <= 0.95) WHERE rank <= 20),
+j AS (SELECT r.query, r.key, a.predicates AS ap, a.actions AS aa, a.nouns AS an, a.topics AS ato, b.predicates AS bp, b.actions AS ba, b.nouns AS bn, b.topics AS bto FROM r JOIN s a ON a.vec_id = r.query JOIN s b ON b.vec_id = r.key),
+g AS (SELECT query, key, CASE WHEN len(ap) + len(aa) + len(an) = 0 OR len(bp) + len(ba) + len(bn) = 0 THEN true
+  WHEN len(ato) > 0 AND len(bto) = 0 AND NOT list_has_any(ato, bn) THEN false WHEN len(bto) > 0 AND len(ato) = 0 AND NOT list_has_any(bto, an) THEN false
+  WHEN len(ato) > 0 AND len(bto) > 0 AND NOT list_has_any(ato, bto) THEN false WHEN len(aa) > 0 OR len(ba) > 0 THEN list_has_any(aa, ba)
+  ELSE list_has_any(ato, bto) OR list_has_any(an, bn) OR list_has_any(ap, bp) END AS fits FROM j)
+SELECT query, CAST(sum(key % 5 + 1) AS BIGINT) AS historical_count, count(*) AS similar FROM g WHERE fits GROUP BY 1""")
+def keyword_history(spark, sf_dir):
+    """Counts of stored keywords near a new one, unless what they are about is at odds."""
+    k = F.col("vec_id")
+    some = lambda test, value: F.when(test, F.array(value)).otherwise(F.array().cast("array<string>"))
+    noun = F.concat(F.lit("noun"), k % 6)
+    signals = F.struct(some(k % 3 == 0, F.concat(F.lit("p"), k % 4)).alias("predicates"), some(k % 5 == 0, F.concat(F.lit("a"), k % 2)).alias("actions"), some(k % 7 != 0, noun).alias("nouns"), some((k % 4 == 0) & (k % 7 != 0), noun).alias("topics"))
+    rows = vectors(spark, sf_dir).withColumns({"signals": signals, "batch_count": k % 5 + 1})
+    return merging.similar_history(rows.filter("vec_id % 20 = 0"), rows, "label", "vec_id", "embedding", most_distance=0.95)
+
+
 QUERIES, ORACLES = registry.queries, registry.oracles
