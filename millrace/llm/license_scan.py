@@ -39,8 +39,9 @@ K, SLACK, COVERED, STRETCH = 3, 4, 0.75, 1.5
 
 
 def lowered(text: Column) -> Column:
-    """A-Z lower-cased, and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased, and nothing else; for texts of ASCII alone lower() is that, and faster."""
+    a_to_z = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(a_to_z)
 
 
 def license_words(text: Column) -> Column:
@@ -97,7 +98,7 @@ def scan_licenses(docs: DataFrame, *, templates=TEMPLATES, **parameters) -> Data
     """
     docs = docs.select("doc_id", "text")
     words = license_words(F.col("text"))
-    asked = F.instr(lowered(F.col("text")), "license") > 0  # every phrase has this word
+    asked = F.instr(F.lower("text"), "license") > 0  # every phrase has this word
     none = F.array().cast("array<int>")
     based = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words).cast("long").alias("n_words"), *[F.when(asked, phrase_starts(words, phrase)).otherwise(none).alias(f"at_{label}") for label, phrase in PHRASES.items()])
     places = F.concat(*[F.col(f"at_{label}") for label in PHRASES])
