@@ -13,40 +13,65 @@ from ..models import hash_embedder
 
 #: Cosine distances for joining a group, and for general words of different signatures.
 NEAR, NEAR_STRICT = 0.30, 0.18
-
-
-def signals_near(a: set[str], b: set[str]) -> bool:
-    """Whether a signal of one side holds one of the other, both of two or more characters and not equal."""
-    return any(x != y and min(len(x), len(y)) >= 2 and (x in y or y in x) for x in a for y in b)
-
-
-class Group:
-    def __init__(self, row) -> None:
-        self.keywords, self.words, self.canonicals = [row.keyword], set(row.words), set(row.canonicals)
-        self.total, self.count, self.n, self.score = np.array(row.vector, float), 1, row.batch_count, row.score_sum
+PIECE = 24  # characters of the longest part of a word that is looked up; longer words are compared one by one
+
+
+def pieces(word: str) -> set[str]:
+    """The parts of a word of two characters up to PIECE."""
+    return {word[i : i + n] for n in range(2, min(len(word), PIECE) + 1) for i in range(len(word) - n + 1)}
+
+
+class Groups:
+    """The groups of one scope: sums, the first group of every word, piece and canonical word, the centres in one array."""
+
+    def __init__(self) -> None:
+        self.keywords, self.counts, self.scores = [], [], []
+        self.of_word, self.of_piece, self.of_canonical, self.long = {}, {}, {}, {}
+        self.totals, self.sizes, self.worded = np.zeros((0, 0)), np.zeros(0), np.zeros(0, bool)
+
+    def place(self, words: set[str], canonicals: set[str], vector: np.ndarray) -> int | None:
+        """By canonical word, then by shared word, then by containment, then the nearest centre that is near enough."""
+        for known, mine in ((self.of_canonical, canonicals), (self.of_word, words)):
+            if hit := [known[w] for w in mine if w in known]:
+                return min(hit)
+        if hit := [k for x in words if len(x) >= 2 for k in self.around(x)]:
+            return min(hit)
+        n = len(self.keywords)
+        size = np.linalg.norm(vector) * self.sizes[:n]
+        distance = np.where(size > 0, 1 - self.totals[:n] @ vector / np.where(size > 0, size, 1), 2.0) if n else np.zeros(0)
+        near = np.flatnonzero(distance <= np.where(self.worded[:n] & bool(words), NEAR_STRICT, NEAR))
+        return int(near[distance[near].argmin()]) if len(near) else None
+
+    def around(self, word: str) -> list[int]:
+        """First groups of the known words that hold the word or that it holds."""
+        hit = [self.of_word[p] for p in pieces(word) if p in self.of_word]
+        if len(word) <= PIECE and word in self.of_piece:
+            hit.append(self.of_piece[word])
+        return hit + [k for y, k in self.long.items() if word in y or y in word]
 
     def add(self, row) -> None:
-        self.keywords.append(row.keyword)
-        self.words |= set(row.words)
-        self.canonicals |= set(row.canonicals)
-        self.total = self.total + np.array(row.vector, float)
-        self.count, self.n, self.score = self.count + 1, self.n + row.batch_count, self.score + row.score_sum
-
-    def distance(self, vector: np.ndarray) -> float:
-        size = float(np.linalg.norm(vector) * np.linalg.norm(self.total))
-        return 1 - float(vector @ self.total) / size if size else 2.0
-
-
-def place(row, groups: list[Group]) -> Group | None:
-    """By canonical word, then by shared word, then by containment, then the nearest centre that is near enough."""
-    words, canonicals, vector = set(row.words), set(row.canonicals), np.array(row.vector, float)
-    for test in (lambda g: canonicals & g.canonicals, lambda g: words & g.words, lambda g: signals_near(words, g.words)):
-        for g in groups:
-            if test(g):
-                return g
-    reach = [(g.distance(vector), k, g) for k, g in enumerate(groups)]
-    reach = [(d, k, g) for d, k, g in reach if d <= (NEAR_STRICT if words and g.words else NEAR)]
-    return min(reach, key=lambda x: x[:2])[2] if reach else None
+        words, canonicals, vector = set(row.words), set(row.canonicals), np.array(row.vector, float)
+        k = self.place(words, canonicals, vector)
+        if k is None:
+            k = len(self.keywords)
+            self.keywords.append([])
+            self.counts.append(0)
+            self.scores.append(0.0)
+            if k == len(self.sizes):
+                room = max(64, k)
+                self.totals = np.concatenate([self.totals.reshape(k, len(vector)), np.zeros((room, len(vector)))])
+                self.sizes, self.worded = np.concatenate([self.sizes, np.zeros(room)]), np.concatenate([self.worded, np.zeros(room, bool)])
+        self.keywords[k].append(row.keyword)
+        self.counts[k] += row.batch_count
+        self.scores[k] += row.score_sum
+        self.totals[k] += vector
+        self.sizes[k] = np.linalg.norm(self.totals[k])
+        self.worded[k] |= bool(words)
+        longer = {w for w in words if len(w) > PIECE}
+        parts = {p for w in words if k < self.of_word.get(w, k + 1) for p in pieces(w)}
+        for known, mine in ((self.of_canonical, canonicals), (self.of_word, words), (self.long, longer), (self.of_piece, parts)):
+            for w in mine:
+                known[w] = min(k, known.get(w, k))
 
 
 def group_keywords(counts: DataFrame, scope: str, synonyms: dict[str, str], tokens: Callable[[Column], Column], embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -61,10 +86,10 @@ def group_keywords(counts: DataFrame, scope: str, synonyms: dict[str, str], toke
     ready = counts.select(F.col(scope).cast("string").alias("scope"), "keyword", "batch_count", "score_sum", words.alias("words"), canonicals.alias("canonicals"), (embed or hash_embedder())(F.col("keyword")).alias("vector"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[Group] = []
+        groups = Groups()
         for row in rows.sort_values("keyword").itertuples():
-            group = place(row, groups)
-            group.add(row) if group else groups.append(Group(row))
-        return pd.DataFrame([(rows["scope"].iloc[0], max(g.keywords, key=len), ",".join(sorted(g.keywords)), g.n, g.score) for g in groups], columns=["scope", "representative", "keywords", "batch_count", "score_sum"])
+            groups.add(row)
+        each = zip(groups.keywords, groups.counts, groups.scores, strict=True)
+        return pd.DataFrame([(rows["scope"].iloc[0], max(k, key=len), ",".join(sorted(k)), n, score) for k, n, score in each], columns=["scope", "representative", "keywords", "batch_count", "score_sum"])
 
     return ready.groupBy("scope").applyInPandas(run, "scope string, representative string, keywords string, batch_count long, score_sum double")

@@ -57,10 +57,13 @@ def raw_edges(spark, sf_dir, sold_if="l_linenumber = 1"):
         edge(supplier, "Restaurant", place, "RELATED_TO", "Concept", F.concat(F.lit("c"), F.col("s_nationkey") % 5)),
         edge(documents, "Article", paper, "RELATED_TO", "Concept", F.concat(F.lit("c"), F.col("doc_id") % 7)),
     ]
-    every = F.array(*[F.struct(F.lit("MENTIONS_TECHNOLOGY" if k == "MENTIONS_TECH" else k).alias("type"), F.lit(w).alias("dst")) for k, ws in WORDS.items() for w in ws])
-    said = documents.select(paper.alias("src"), F.array_distinct(F.split(F.lower("text"), " ")).alias("w")).select("src", F.inline(F.filter(every, lambda x: F.array_contains("w", x["dst"]))))
-    out = said.select(F.lit("Article").alias("src_label"), "src", "type", F.lit("Term").alias("dst_label"), "dst")
-    for p in parts:
+    # a branch a type, so that a template which asks for one type doesn't read what makes the others
+    words = F.array_distinct(F.split(F.lower("text"), " "))
+    for kind, of in WORDS.items():
+        said = documents.select("doc_id", F.explode(F.array_intersect(words, F.array(*[F.lit(w) for w in of]))).alias("w"))
+        parts.append(edge(said, "Article", paper, "MENTIONS_TECHNOLOGY" if kind == "MENTIONS_TECH" else kind, "Term", F.col("w")))
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 

@@ -1,5 +1,9 @@
 """Records, posts and graph builds on small tables."""
 
+import random
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +64,36 @@ def test_grouping(spark):
     assert made["s", "국물 진하다"] == ("국물 깊다,국물 진하다", 3) and made["s", "친절해요"] == ("친절,친절해요", 4) and made["t", "국물"] == ("국물", 1)
 
 
+def test_grouping_like_a_plain_loop():
+    """Every keyword against every group in turn: canonical words, shared words, containment, nearest centre."""
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(30)] + ["x" * 30, "y" + "x" * 40, "xx" * 13]
+    rows = []
+    for n in range(300):
+        words = rng.sample(stems, rng.choice([0, 1, 1, 2]))
+        rows.append(SimpleNamespace(keyword=f"k{n:03}", words=words, canonicals=[w for w in words if w.startswith("a")][:1], vector=[rng.gauss(0, 1) for _ in range(3)], batch_count=1, score_sum=1.0))
+    plain = []
+    for row in rows:
+        words, canonicals, v = set(row.words), set(row.canonicals), np.array(row.vector)
+        held = lambda g: any(x != y and min(len(x), len(y)) >= 2 and (x in y or y in x) for x in words for y in g["words"])  # noqa: E731, B023
+        far = lambda g: 1 - v @ g["total"] / (np.linalg.norm(v) * np.linalg.norm(g["total"]))  # noqa: E731, B023
+        hit = next((g for test in (lambda g: canonicals & g["canonicals"], lambda g: words & g["words"], held) for g in plain if test(g)), None)  # noqa: B023
+        if not hit:
+            near = [(far(g), k) for k, g in enumerate(plain) if far(g) <= (grouping.NEAR_STRICT if words and g["words"] else grouping.NEAR)]
+            hit = plain[min(near)[1]] if near else None
+        if not hit:
+            hit = {"keywords": [], "words": set(), "canonicals": set(), "total": np.zeros(3)}
+            plain.append(hit)
+        hit["keywords"].append(row.keyword)
+        hit["words"] |= words
+        hit["canonicals"] |= canonicals
+        hit["total"] = hit["total"] + v
+    groups = grouping.Groups()
+    for row in rows:
+        groups.add(row)
+    assert groups.keywords == [g["keywords"] for g in plain] and len(plain) > 3
+
+
 def test_news_graph(spark):
     rows = spark.createDataFrame([("g_1", "OpenAI GPT update improves cloud security", "with Microsoft and Kubernetes", "u", "2026-05-20 10:00:00")], "thread string, title string, content string, article_url string, created_at string")
     nodes, edges = graph_build.news_graph(rows)
