@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .license_scan import COVERED, PHRASES, SLACK, STRETCH, TEMPLATES, K
 from .near_join import TERM, THRESHOLD
+from .resampling import BUCKETS, LEAST_WORDS, SALT, SHARE
 from .url_rules import BLOCK_WORDS, BORDER, LISTED, LOWER, UPPER
 
 
@@ -67,4 +68,58 @@ SELECT w.doc_id, coalesce(m.class_id, w.doc_id) AS class_id, coalesce(n.n, 0) AS
 FROM w JOIN t USING (w) LEFT JOIN m ON m.node = w.doc_id LEFT JOIN n ON n.x = w.doc_id"""
 
 
-ORACLES = {"op8_license_diagonals": license_sql(), "op9_url_rules": url_rules_sql(), "op10_near_bayes": near_sql()}
+def centroids_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd rounds by all distances, a round after the other."""
+    square = "list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f""",
+a{r} AS MATERIALIZED (SELECT n, min(d) AS d, arg_min(c, (d, c)) AS c FROM (SELECT n, c.c, {square} AS d FROM kept, c{r} c) GROUP BY n)"""
+        if r < rounds:
+            steps += f""",
+s{r} AS (SELECT a.c, i, sum(kept.v[i]) AS s, count(*) AS m FROM kept JOIN a{r} a USING (n), range(1, 65) AS t(i) GROUP BY a.c, i),
+u{r} AS (SELECT c, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(u.v, c.v) AS v FROM c{r} c LEFT JOIN u{r} u USING (c))"""
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v, sha256('1:' || vec_id) AS h
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM kept ORDER BY h LIMIT {k}){steps}
+SELECT kept.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} a USING (n) JOIN c{rounds} c ON c.c = a.c"""
+
+
+def resampling_sql() -> str:
+    """CRC-32 by a table that SQL makes from the polynomial; ranks by a window over all eligible rows."""
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH crc AS MATERIALIZED (
+  SELECT n AS byte, list_reduce(range(8), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), n) AS v FROM range(256) AS t(n)),
+table_of AS MATERIALIZED (SELECT list(v ORDER BY byte) AS t FROM crc),
+d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, {words} AS w FROM documents),
+b AS MATERIALIZED (SELECT {words} AS w FROM benchmark),
+x AS MATERIALIZED (SELECT n, word, count(*) AS m FROM (SELECT n, unnest(w) AS word FROM d) GROUP BY ALL),
+y AS MATERIALIZED (SELECT word, count(*) AS m FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+vocabulary AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM x UNION SELECT word FROM y)),
+bucket AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]), 4294967295::BIGINT), 4294967295) % {BUCKETS} AS k
+  FROM vocabulary, table_of),
+s AS (SELECT k, sum(m) AS s FROM x JOIN bucket USING (word) GROUP BY k),
+t AS (SELECT k, sum(m) AS t FROM y JOIN bucket USING (word) GROUP BY k),
+whole AS (SELECT (SELECT coalesce(sum(m), 0) FROM x)::DOUBLE AS s_all, (SELECT coalesce(sum(m), 0) FROM y)::DOUBLE AS t_all),
+gain AS MATERIALIZED (
+  SELECT k, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + {BUCKETS}) / ((s::DOUBLE + 1) * (t_all + {BUCKETS}))))::BIGINT AS g FROM s LEFT JOIN t USING (k), whole),
+weight AS (SELECT n, sum(m * g)::BIGINT AS weight FROM x JOIN bucket USING (word) JOIN gain USING (k) GROUP BY n),
+scored AS (
+  SELECT d.n, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SALT}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (n)),
+placed AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER () AS eligible FROM scored WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= eligible * {SHARE} // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (n)"""
+
+
+ORACLES = {
+    "op8_license_diagonals": license_sql(), "op9_url_rules": url_rules_sql(), "op10_near_bayes": near_sql(), "op11_centroid_screen": centroids_sql(),
+    "op13_target_resampling": resampling_sql(),
+}

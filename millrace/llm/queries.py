@@ -69,4 +69,23 @@ def op10_near_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read_table(spark, sf_dir, "documents")).drop("text_key", "head_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing_nnls, op2_pii_bootstrap, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op7_site_templates, op8_license_diagonals, op9_url_rules, op10_near_bayes)}
+def op11_centroid_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings")).drop("by_integers")
+
+
+def op12_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_pairs import pair_digests
+
+    return pair_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_packing_nnls, op2_pii_bootstrap, op3_sentencepiece_agenda, op4_token_ledger, op5_simhash_blocks, op6_quality_outliers, op7_site_templates, op8_license_diagonals, op9_url_rules, op10_near_bayes, op11_centroid_screen, op12_pair_index, op13_target_resampling)
+QUERIES = {f.__name__: f for f in OPERATORS}
