@@ -3,9 +3,10 @@
 Expressions find the seed entities: mail addresses, network addresses, payment cards and phone numbers. The words
 around an entity, and around everything else that looks like an identifier (a token with a digit or an at-sign, or
 digit groups side by side), are its lexical patterns. Patterns and instances form a graph. In each round a pattern is
-scored by the share of its distinct instances that are believed to be of a kind, and an instance by the patterns it
-stands in; instances believed in one round count for patterns in the next. Identifiers that no expression knows but
-reliable patterns surround are added.
+scored by its distinct instances that are believed to be of a kind, against those of other kinds and those that don't
+look like the kind; an unknown instance that looks like it is no evidence either way, so unseen identifiers may well
+outnumber the seeds. An instance is scored by the patterns it stands in; instances believed in one round count for
+patterns in the next. Identifiers that no expression knows but reliable patterns surround are added.
 """
 
 from __future__ import annotations
@@ -25,15 +26,22 @@ from .common import hot_join, small_side, written
 
 #: The kinds in order, and the expressions of the seeds.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"  # before the @ of a mail address
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match from within a run of digits would start with the run
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, MARK, WORD = re.compile(r"[0-9]"), re.compile(r"[0-9]+|@"), re.compile(r"\w+|[^\w\s]")
 EDGES, REACH, SHORTEST = ".,;:!?()[]{}<>\"'", 60, 5  # REACH: characters looked at first, more where words are longer
 FIRST, LATER = re.compile(r"\(?\+?\(?[0-9][0-9()-]*"), re.compile(r"\(?[0-9][0-9()-]*[.,;:!?\]}>]*")
 DIGITS = 19  # of the longest identifier, a card
-ROUNDS, SUPPORT, SURE, UNKNOWN = 3, 3, 0.8, 0.5
+#: What a kind looks like, beyond its expression: a local part and some "at"; groups with separators; masked or long
+#: numbers; digits with the punctuation of numbers.
+LIKE_EMAIL = re.compile(r"[^\W_][^@]{0,63}?(?:@|[\[({<]at[\])}>]|[ _.-]at[ _.-])[^\W_]", re.I)
+LIKE_IP = re.compile(r"[0-9a-f]*+(?:[.:-][0-9a-f]*+){3,}", re.I)
+LIKE_PHONE, MASKED = re.compile(r"[0-9 ()+./-]+(?: ?(?:x|ext)\.? ?[0-9]+)?|[0-9 ()+./-]+-ext", re.I), re.compile(r"[0-9xX*#. -]+")
+LONGEST_LIKE = 100
+ROUNDS, SUPPORT, SURE, COMBINED, UNKNOWN, RARE = 3, 3, 0.8, 0.6, 0.5, 16
 CANDIDATE = "array<struct<start: int, finish: int, kind: int, instance: bigint, patterns: array<bigint>>>"
 
 
@@ -46,11 +54,34 @@ def luhn(number: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of LOCAL+ @ DOMAIN, leftmost and non-overlapping. Each @ looks back over what stands between it
+    and the one before, or the last match, so a text is read once however long its runs are."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        before = text[low:at]
+        start = low + len(before.rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        low = found.end() if found else at + 1
+        at = text.find("@", low)
+
+
+def looks(text: str) -> int:
+    """Bits of the kinds that a token or a run of digit groups looks like."""
+    if len(text) > LONGEST_LIKE:
+        return 0
+    n = len(digits(text))
+    masked = MASKED.fullmatch(text) and (n >= 8 or (n >= 4 and any(c in "xX*#" for c in text)))
+    return bool(LIKE_EMAIL.search(text)) | 2 * bool(n and LIKE_IP.fullmatch(text)) | 4 * bool(masked) | 8 * bool(6 <= n <= 18 and LIKE_PHONE.fullmatch(text))
+
+
 def seeds(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all seed entities, leftmost and non-overlapping within each kind."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in emails(text)]
     if DIGIT.search(text):
         if "." in text:
             out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
@@ -136,7 +167,8 @@ def patterns(text: str, start: int, end: int) -> list[int]:
 
 
 def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """doc_id, what is carried, part, row (in the writing task), found: seeds and identifier-like tokens (kind -1).
+    """doc_id, what is carried, part, row (in the writing task), found: seeds and identifier-like tokens, whose kind is
+    -1 less the bits of what they look like.
 
     Written to the shared folder; holds no text but places and hashes.
     """
@@ -148,7 +180,7 @@ def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
             for x in batch.column(batch.num_columns - 1):
                 text = x.as_py() or ""
                 got = seeds(text)
-                every = [(*g, True) for g in got] + [(a, -1, b, whole) for a, b, whole in others(text, got)] if got or MARK.search(text) else []
+                every = [(*g, True) for g in got] + [(a, -1 - looks(text[a:b]), b, whole) for a, b, whole in others(text, got)] if got or MARK.search(text) else []
                 made.append([{"start": a, "finish": b, "kind": k, "instance": xxhash.xxh3_64_intdigest(text[a:b].lower().encode()) - (1 << 63), "patterns": patterns(text, a, b) if whole else []} for a, k, b, whole in every])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("finish", pa.int32()), ("kind", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
             n = batch.num_rows
@@ -160,32 +192,45 @@ def candidates(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     return written(given.mapInArrow(run, fields), "pii-candidates")
 
 
-def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, unknown: float = UNKNOWN) -> DataFrame:
+def discovered(places: DataFrame, *, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE, combined: float = COMBINED, unknown: float = UNKNOWN, rare: int = RARE) -> DataFrame:
     """instance, kind, score of identifiers where no expression finds them, from places(kind, instance, patterns).
 
-    Edges of the graph are distinct, so copies of a text add nothing. A pattern needs ``support`` distinct instances;
-    its score for a kind is their summed belief over one plus the number of seeds and of instances of that belief and,
-    by the weight ``unknown``, of the rest; so few instances never give certainty.
-    A pattern without seeds is scored once instances it surrounds are believed. An instance's score is the complement
-    of the product of its reliable patterns' doubts; ``sure`` is the bound for both. An instance that is a seed
-    somewhere is known with score 1 where the expressions fail, too, and counts as a seed of the patterns there. Ties
-    between kinds go to the first.
+    Edges of the graph are distinct, so copies of a text add nothing. A pattern needs ``support`` distinct instances.
+    Its score for a kind is the belief in its instances of that kind over one plus their number, plus the number of
+    seeds of other kinds and, by the weight ``unknown``, of unknown instances that don't look like the kind; so few
+    instances never give certainty. Unknown ones that do look like it count neither way, but a pattern with more than
+    ``rare`` of them for each that is known is not scored until more is known. A pattern without seeds is scored once
+    instances it surrounds are believed. Patterns of ``combined`` and more count for their instances, whose score is
+    the complement of the product of the patterns' doubts; those of ``sure`` and more are believed. An instance that is
+    a seed somewhere is known with score 1 where the expressions fail, too, and counts as a seed of the patterns there.
+    Ties between kinds go to the first.
     """
     of_kind = F.min(F.when(F.col("kind") >= 0, F.col("kind")))
     both = places.groupBy("instance").agg(F.min("kind").alias("least"), of_kind.alias("seed_kind")).filter("least < 0 AND seed_kind >= 0")
     known_elsewhere = small_side(both.select("instance", "seed_kind").checkpoint(), 200_000)
     found = places.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     edges = found.join(known_elsewhere, "instance", "left").select("pattern", "instance", F.when(F.col("kind") < 0, F.coalesce("seed_kind", "kind")).otherwise(F.col("kind")).alias("kind"))
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum((F.col("kind") >= 0).cast("int")).alias("seeded")).filter(F.col("n") >= support)
-    graph = written(hot_join(edges, wide.checkpoint(), ["pattern"], "n"), "pii-graph")
-    seeded = graph.filter("kind >= 0").select("pattern", "kind", "n", "seeded", F.lit(1.0).alias("belief"), F.lit(0).alias("new"))
-    others = graph.filter("kind < 0").select("pattern", "instance")
+    unlike = lambda k: (F.col("kind") < 0) & (F.shiftright(-1 - F.col("kind"), k) % 2 == 0)
+    total = lambda each: F.array(*[F.sum(each(k).cast("int")) for k in range(len(KINDS))])
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), total(lambda k: F.col("kind") == k).alias("seeds"), total(unlike).alias("unlike")).filter(F.col("n") >= support)
+    open_ones = F.col("n") > F.reduce("seeds", F.lit(0).cast("long"), lambda a, x: a + x)  # patterns of seeds alone find nothing
+    graph = written(hot_join(edges.filter("kind < 0"), wide.filter(open_ones).checkpoint(), ["pattern"], "n"), "pii-graph")
     believed = None
     for _ in range(rounds):
-        given = seeded if believed is None else seeded.unionByName(graph.filter("kind < 0").drop("kind").join(small_side(believed, 200_000), "instance").select("pattern", "kind", "n", "seeded", F.col("score").alias("belief"), F.lit(1).alias("new")))
-        known = F.col("seeded") + F.col("new")
-        scored = given.groupBy("pattern", "kind", "n", "seeded").agg(F.sum("belief").alias("b"), F.sum("new").alias("new")).select("pattern", "kind", "n", (F.col("b") / (1 + known + unknown * (F.col("n") - known))).alias("score"))
-        doubts = hot_join(others, scored.filter(F.col("score") >= sure).checkpoint(), ["pattern"], "n").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
+        blank = F.lit(None).cast("int").alias("now"), F.lit(0.0).alias("score")
+        given = graph.select("*", *blank) if believed is None else graph.join(small_side(believed.withColumnRenamed("kind", "now"), 200_000), "instance", "left")
+        sums = [F.sum(F.when(F.col("now") == k, F.struct(F.col("score").alias("b"), F.lit(1).alias("c"), unlike(k).cast("int").alias("u"))[f]).otherwise(0)).alias(f"{f}{k}") for k in range(len(KINDS)) for f in "bcu"]
+        held = given.groupBy("pattern").agg(F.first("n").alias("n"), F.first("seeds").alias("seeds"), F.first("unlike").alias("unlike"), *sums)
+        scores = []
+        for k in range(len(KINDS)):
+            mine = F.col("seeds")[k] + F.col(f"c{k}")
+            seeded = F.reduce("seeds", F.lit(0).cast("long"), lambda a, x: a + x)
+            against = seeded - F.col("seeds")[k] + unknown * (F.col("unlike")[k] - F.col(f"u{k}"))
+            like = F.col("n") - seeded - F.col("unlike")[k]
+            score = F.when((mine > 0) & (mine * rare >= like), (F.col("seeds")[k] + F.col(f"b{k}")) / (1 + mine + against)).otherwise(0.0)
+            scores.append(F.struct(F.lit(k).alias("kind"), score.alias("score")))
+        scored = held.select("pattern", "n", F.inline(F.array(*scores))).filter(F.col("score") >= combined)
+        doubts = hot_join(graph.select("pattern", "instance"), scored.checkpoint(), ["pattern"], "n").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
         best = doubts.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("instance", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
         believed = best.filter(F.col("score") >= sure).checkpoint()
     certain = known_elsewhere.select("instance", F.col("seed_kind").alias("kind"), F.lit(1.0).alias("score"))
