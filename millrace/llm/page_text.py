@@ -7,10 +7,12 @@ containers numbered among their like), its slot (the place and the shape of its
 * the container of the prose: the deepest place that holds half of the host's different text on half of its pages;
 * contents that recur: outside the container on a fifth of the pages or on MANY pages, inside it on half of them (fewer
   won't do: passages that many articles share are prose);
-* slots that recur outside the container as often, unless what they hold differs from page to page and is prose, and
-  inside it those that stand on half of the pages and are mostly links.
+* slots that recur outside the container as often, and inside it those that stand on half of the pages and are mostly
+  links. Where what a slot holds differs on every page and is no links (a title or a price, but also an advert that
+  never comes twice), counts can't tell: it stays, unless a name or label of its own calls it template.
 
-Those subtrees are deleted from the page's blocks, which the first pass has written. Elements that HTML itself calls no
+Those subtrees are deleted from the page's blocks, which the first pass has written: a node knows the block element
+above it, so marks go down a page in node order and markup may be nested to any depth. Elements that HTML itself calls no
 prose (nav, footer, form and so on) and reader comments, which differ from page to page, go by name. On hosts with too
 few pages to count, and where no container can be told, the words of class, id and role decide instead, and the main
 element or the articles stay alone if they hold half of the text.
@@ -51,13 +53,15 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TELLING = re.compile("class|id|role|hidden|style", re.I)
 LEAST_PAGES, SHARE, SHARE_INSIDE, MANY = 5, 0.2, 0.5, 25
-LINKED, DIFFERENT, OWN_PROSE = 0.6, 0.95, 200
+LINKED, DIFFERENT = 0.6, 0.95
 ROOT = 1  # the place of the page itself
-OUT, ANYWHERE, CONTAINER, SETTLED = 1, 2, 3, 4  # what a key of a host tells
+OUT, ANYWHERE, CONTAINER, SETTLED, OWN = 1, 2, 3, 4, 5  # what a key of a host tells
+
+NAMED, LABELLED, COMMENT, ARTICLE, MAIN = 1, 2, 4, 8, 16  # what elements around a block are, by name
 
 NODES = "array<struct<node: int, place: bigint, slot: bigint, content: bigint, depth: int, holder: int, chars: int, links: int, first: int, fresh: int>>"
-PIECES = "array<struct<text: string, nodes: array<int>, named: boolean, labelled: boolean, comment: boolean, article: boolean, main: boolean>>"
-FIELDS = f"page_id long, url string, host string, part int, row long, prose long, nodes {NODES}, blocks {PIECES}"
+PIECES = "overs array<int>, texts array<string>, homes array<int>, flags array<int>"  # of nodes: the node above; of blocks: text, node, what is around
+FIELDS = f"page_id long, url string, host string, part int, row long, prose long, nodes {NODES}, {PIECES}"
 
 
 def hashed(text: str) -> int:
@@ -65,12 +69,15 @@ def hashed(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("article", "chars", "comment", "depth", "labelled", "link", "links", "main", "name", "named", "number", "parts", "place", "seen", "shapes", "tag", "unseen")
+    __slots__ = ("article", "block", "chars", "comment", "depth", "labelled", "link", "links", "main", "name", "named", "number", "over", "parts", "place", "seen", "shapes", "tag", "unseen")
 
     def __init__(self, tag: str, number: int, over: Node | None, name: str, *, unseen: bool, named: bool, labelled: bool, comment: bool, article: bool, main: bool) -> None:
         self.tag, self.number, self.name, self.unseen, self.named, self.labelled, self.comment, self.article, self.main = tag, number, name, unseen, named, labelled, comment, article, main
-        self.parts, self.shapes, self.seen, self.chars, self.links = [], [], {}, 0, 0
+        self.seen, self.chars, self.links = {}, 0, 0
+        self.parts, self.shapes = (over.parts, over.shapes) if tag and tag not in BLOCKS else ([], [])  # inline ones write on
+        self.block = self if over is None or tag in BLOCKS else over.block
         self.link = tag == "a" or (over is not None and over.link)
+        self.over = over.block.number if over else -1
         if over is None:
             self.place, self.depth = ROOT, 0
         elif tag in BLOCKS:
@@ -101,10 +108,13 @@ def labels(tag: str, attributes: str) -> tuple[set[str], bool, bool, str]:
 
 
 class Page:
-    """nodes: (number, place, slot, content, depth, holder, chars, links); blocks: see PIECES."""
+    """nodes: (number, place, slot, content, depth, holder, chars, links); overs: the node above each; blocks: (text,
+    node, flags). Where the open elements of a name stand is kept beside the stack, so a tag costs the same at any depth."""
 
     def __init__(self, html: str) -> None:
-        self.nodes, self.blocks, self.run, self.linked, self.count = [], [], [], 0, 0
+        self.nodes, self.overs, self.blocks, self.run, self.linked, self.count = [], [], [], [], 0, 0
+        self.where: dict[str, list[int]] = {}
+        self.scopes, self.block_at = [0], [0]
         self.stack = [Node("", 0, None, "", unseen=False, named=False, labelled=False, comment=False, article=False, main=False)]
         self.read(html)
 
@@ -118,7 +128,7 @@ class Page:
                 top.shapes.append("t")
                 top.chars += len(text)
                 top.links += min(len(text), self.linked)
-                self.blocks.append((text, [0, *(n.number for n in self.stack if n.tag in BLOCKS)], top.named, top.labelled, top.comment, top.article, top.main))
+                self.blocks.append((text, top.block.number, NAMED * top.named | LABELLED * top.labelled | COMMENT * top.comment | ARTICLE * top.article | MAIN * top.main))
         self.linked = 0
 
     def close(self) -> None:
@@ -127,14 +137,17 @@ class Page:
         if over:
             over.chars += node.chars
             over.links += node.links
-        if node.tag and node.tag not in BLOCKS:
-            over.parts += node.parts
-            over.shapes += node.shapes
-        elif node.parts:
+            self.where[node.tag].pop()
+            if node.tag in SCOPES:
+                self.scopes.pop()
+            if node.tag in BLOCKS:
+                self.block_at.pop()
+        if node.block is node and node.parts:
             content = hashed(f"{node.tag}({'|'.join(node.parts)})")
             shape = f"{node.name}({'|'.join(s for k, s in enumerate(node.shapes) if not k or s != node.shapes[k - 1])})"
             holder = 2 if node.tag in OPEN else int(node.tag in HOLDERS)
             self.nodes.append((node.number, node.place, hashed(f"{node.place} {shape}"), content, node.depth, holder, node.chars, node.links))
+            self.overs.append(node.over)
             if over:
                 over.parts.append(f"{node.tag}:{content:x}")
                 over.shapes.append(shape if len(shape) < 40 else f"{hashed(shape):x}")
@@ -143,38 +156,34 @@ class Page:
         while len(self.stack) > k:
             self.close()
 
-    def close_to(self, tags, scopes=SCOPES) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                self.flush()
-                self.close_from(k)
-                return
-            if self.stack[k].tag in scopes:
-                return
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of that name stands; 0: nowhere."""
+        return at[-1] if (at := self.where.get(tag)) else 0
+
+    def close_to(self, tags) -> None:
+        """Closes the innermost open element of these names, unless a scope stands between."""
+        k = max(map(self.last, tags))
+        if k > self.scopes[-1]:
+            self.flush()
+            self.close_from(k)
 
     def end(self, tag: str) -> None:
-        stack, block = self.stack, tag in BLOCKS
-        if not block and not any(n.tag == tag for n in stack[1:]):
-            return
+        k, block = self.last(tag), tag in BLOCKS
         if block:
             self.flush()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                if stack[k].unseen or stack[k].named:
-                    self.flush()
-                self.close_from(k)
-                return
-            if not block and stack[k].tag in BLOCKS:
-                return
+        if k and (block or k > self.block_at[-1]):
+            if self.stack[k].unseen or self.stack[k].named:
+                self.flush()
+            self.close_from(k)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in SPACED:
             self.run.append(" ")
         if tag in CLOSES_P:
             self.flush()
-            self.close_to({"p"}, SCOPES - {"p"})
+            self.close_to({"p"})
         if tag in ENDS:
-            self.close_to(ENDS[tag], SCOPES - ENDS[tag])
+            self.close_to(ENDS[tag])
         if tag in VOID:
             return
         top = self.stack[-1]
@@ -188,6 +197,11 @@ class Page:
             self.flush()
         self.count += 1
         article = top.article or (tag == "article" and not (named or comment))
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_at.append(len(self.stack))
         self.stack.append(Node(tag, self.count, top, name, unseen=unseen, named=named, labelled=labelled, comment=comment, article=article, main=top.main or main or tag == "main"))
 
     def read(self, html: str) -> None:
@@ -218,7 +232,7 @@ class Page:
 
     def prose(self) -> int:
         """A hash of what neither names nor labels call template: pages that differ elsewhere only are copies."""
-        return hashed("\n".join(text for text, _, named, labelled, comment, _, _ in self.blocks if not (named or labelled or comment)))
+        return hashed("\n".join(text for text, _, flags in self.blocks if not flags & (NAMED | LABELLED | COMMENT)))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -234,14 +248,13 @@ def parsed(pages: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)
 
     node_kinds = [("node", pa.int32()), ("place", pa.int64()), ("slot", pa.int64()), ("content", pa.int64()), *((n, pa.int32()) for n in ("depth", "holder", "chars", "links", "first", "fresh"))]
-    block_kinds = [("text", pa.string()), ("nodes", pa.list_(pa.int32())), *((n, pa.bool_()) for n in ("named", "labelled", "comment", "article", "main"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                nodes, blocks, prose = [], [], []
+                nodes, overs, blocks, prose = [], [], [], []
                 for x in batch.column(3):
                     page, slots, contents, rows = Page(x.as_py() or ""), set(), set(), []
                     for n in page.nodes:
@@ -249,10 +262,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                         slots.add(n[2])
                         contents.add(n[3])
                     nodes.append(rows)
-                    blocks.append(page.blocks)
+                    overs.append(page.overs)
+                    blocks.append(tuple(zip(*page.blocks, strict=True)) or ((),) * 3)
                     prose.append(page.prose())
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(prose, pa.int64()), arrays(nodes, node_kinds), arrays(blocks, block_kinds)], names=["page_id", "url", "host", "part", "row", "prose", "nodes", "blocks"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(prose, pa.int64()), arrays(nodes, node_kinds), pa.array(overs, pa.list_(pa.int32())), *[pa.array([b[k] for b in blocks], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]], names=["page_id", "url", "host", "part", "row", "prose", "nodes", "overs", "texts", "homes", "flags"])
                 row += n
 
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_parts(F.col("url"))[0].alias("host"), "html")
@@ -270,7 +284,7 @@ def counted(trees: DataFrame) -> DataFrame:
 
 
 def site_keys(counts: DataFrame, *, least_pages: int, share: float, share_inside: float, many: int) -> DataFrame:
-    """host, key, tells (OUT, ANYWHERE, CONTAINER or SETTLED), n (pages) of every key that decides something."""
+    """host, key, tells (OUT, ANYWHERE, CONTAINER, SETTLED or OWN), n (pages) of every key that decides something."""
     totals = counts.filter(F.col("place") == ROOT).groupBy("host").agg(F.sum("times").alias("pages"), F.sum("chars").alias("text")).filter(F.col("pages") >= least_pages)
     totals = small_side(totals.checkpoint(), 500_000)
     places = counts.filter("holder > 0").groupBy("host", "place").agg(F.sum("times").alias("n"), F.sum("chars").alias("chars"), F.max("depth").alias("depth"), F.max("holder").alias("holder"))
@@ -285,8 +299,8 @@ def site_keys(counts: DataFrame, *, least_pages: int, share: float, share_inside
     same = contents.select("host", F.col("content").alias("key"), tells(often("n", many, share), inside).alias("tells"), "n")
     slots = light.groupBy("host", "slot").agg(F.sum("firsts").alias("n"), F.count("*").alias("contents"), F.sum("times").alias("times"), F.sum(F.col("times") * F.col("chars")).alias("chars"), F.sum(F.col("times") * F.col("links")).alias("links"), F.max("holder").alias("holder")).filter(F.col("n") >= least_pages).join(totals, "host")
     of_links = F.col("links") >= LINKED * F.col("chars")
-    own = (F.col("contents") >= DIFFERENT * F.col("times")) & ~of_links & ((F.col("holder") == 0) | (F.col("chars") >= OWN_PROSE * F.col("times")))
-    shaped = slots.select("host", F.col("slot").alias("key"), tells(often("n", many, share) & ~own, (F.col("n") >= share_inside * F.col("pages")) & (F.col("holder") > 0) & of_links).alias("tells"), "n")
+    own = (F.col("contents") >= DIFFERENT * F.col("times")) & ~of_links
+    shaped = slots.select("host", F.col("slot").alias("key"), tells(often("n", many, share) & ~own, (F.col("n") >= share_inside * F.col("pages")) & (F.col("holder") > 0) & of_links).when(often("n", many, share), OWN).alias("tells"), "n")
     marks = deepest.select("host", F.col("c.place").alias("key"), F.lit(CONTAINER).alias("tells"), F.col("c.n").alias("n")).unionByName(deepest.join(totals, "host").select("host", F.lit(ROOT).cast("long").alias("key"), F.lit(SETTLED).alias("tells"), F.col("pages").alias("n")))
     return same.unionByName(shaped).unionByName(marks).filter("tells IS NOT NULL").groupBy("host", "key").agg(F.max("tells").alias("tells"), F.max("n").alias("n")).checkpoint()
 
@@ -306,18 +320,36 @@ def extract_text(pages: DataFrame, *, least_pages: int = LEAST_PAGES, share: flo
     each = trees.select("part", "row", "host", F.inline(F.array_distinct(F.concat(root, pair("place"), pair("slot"), pair("content")))))
     told = hot_join(each, keys, ["host", "key"], "n")
     hits = told.groupBy("part", "row").agg(F.collect_set(F.col("node") * 8 + F.col("tells")).alias("hits")).checkpoint()
-    known = trees.drop("nodes", "prose").join(small_side(hits, 200_000), ["part", "row"], "left")
-    of = lambda what: F.transform(F.filter("hits", lambda h: h % 8 == what), lambda h: (h / 8).cast("int"))
-    known = known.select("page_id", "url", "blocks", F.coalesce(F.size(of(SETTLED)) > 0, F.lit(False)).alias("settled"), of(CONTAINER).alias("container"), of(OUT).alias("out"), of(ANYWHERE).alias("anywhere"))
-    meets = lambda b, nodes: F.arrays_overlap(b["nodes"], F.col(nodes))
-    gone = lambda b: b["comment"] | (b["named"] if names else F.lit(False))
-    by_count = F.filter("blocks", lambda b: ~(gone(b) | meets(b, "anywhere") | (meets(b, "out") & ~meets(b, "container"))))
-    by_label = F.filter("blocks", lambda b: ~(gone(b) | b["labelled"]))
-    size = lambda blocks: F.reduce(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
-    only = lambda flag: F.filter("left", lambda b: b[flag])
-    left = known.withColumn("left", F.when(F.col("settled"), by_count).otherwise(by_label))
-    chosen = F.when(F.col("settled"), F.col("left"))
-    for flag in ("main", "article"):
-        chosen = chosen.when(2 * size(only(flag)) >= size(F.col("left")), only(flag))
-    text = F.array_join(F.transform(chosen.otherwise(F.col("left")), lambda b: b["text"]), "\n")
-    return left.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    known = trees.select("part", "row", "page_id", "url", F.col("nodes.node").alias("numbers"), "overs", "texts", "homes", "flags").join(small_side(hits, 200_000), ["part", "row"], "left").drop("part", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                texts = [page_left(*x, names=names) for x in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return known.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+def page_left(numbers: list[int], overs: list[int], texts: list[str], homes: list[int], flags: list[int], hits: list[int] | None, *, names: bool) -> str:
+    """The blocks of a page that stay, by the hits (node * 8 + what is told) on its nodes and those above them."""
+    told: dict[int, int] = {}
+    for hit in hits or ():
+        told[hit >> 3] = told.get(hit >> 3, 0) | 1 << (hit & 7)
+    gone = COMMENT | (NAMED if names else 0)
+    if not told.get(0, 0) & 1 << SETTLED:
+        left = [(t, f) for t, f in zip(texts, flags, strict=True) if not f & (gone | LABELLED)]
+        size = sum(len(t) for t, _ in left)
+        for flag in (MAIN, ARTICLE):
+            only = [(t, f) for t, f in left if f & flag]
+            if 2 * sum(len(t) for t, _ in only) >= size:
+                left = only
+                break
+        return "\n".join(t for t, _ in left)
+    for node, over in sorted(zip(numbers, overs, strict=True)):  # the node above has the smaller number
+        if over >= 0 and (above := told.get(over)):
+            told[node] = told.get(node, 0) | above
+    drops = {n for n, t in told.items() if t & 1 << ANYWHERE or (t & 1 << OUT and not t & 1 << CONTAINER)}
+    unsure = {n for n, t in told.items() if t & 1 << OWN and not t & 1 << CONTAINER}
+    return "\n".join(t for t, home, f in zip(texts, homes, flags, strict=True) if not (f & gone or home in drops or (f & (NAMED | LABELLED) and home in unsure)))

@@ -401,6 +401,33 @@ def test_counts_equal_brute_force(spark):
     assert {(r["host"], r["place"], r["slot"], r["content"]): r["times"] for r in made} == wanted
 
 
+def test_unique_titles_and_prices_stay(spark):
+    """A shape that recurs outside the prose, but never with the same content, is no template."""
+    rng = random.Random(31)
+    words = lambda n: " ".join(rng.choices([f"w{j}" for j in range(3000)], k=n))
+    rows, wanted = [], []
+    for k in range(30):
+        prose = [words(rng.randint(30, 60)) for _ in range(6)]
+        wanted.append("\n".join([f"Product {k}", f"Price {10 + 3 * k} euro", *prose]))
+        rows.append((k, f"http://shop.x/{k}", f"<body><div class=menu2><ul><li><a href=/>Home</a></li></ul></div><div class=top><h1>Product {k}</h1><p>Price {10 + 3 * k} euro</p></div><div class=desc>{''.join(f'<p>{x}</p>' for x in prose)}</div><div class=legal>All rights reserved</div></body>"))
+    made = {r["page_id"]: r["text"] for r in page_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [made[k] for k in range(30)] == wanted
+
+
+@pytest.mark.parametrize("markup", ["<div>x", "<b>x", "<b>x<i>", "<h1>x", "<ul><li>x", "<span><p>x", "<b>x</i>", "<b><div>x</b>", "<table><tr><td>x", "<a href=x>x"])
+def test_deep_markup_takes_linear_time(markup):
+    began = time.process_time()
+    page = page_text.Page(markup * 50_000)
+    assert time.process_time() - began < 15 and sum(len(t.split()) for t, *_ in page.blocks) > 0
+    numbers = [n[0] for n in page.nodes]
+    page_text.page_left(numbers, page.overs, *map(list, zip(*page.blocks)), [k * 8 + page_text.OUT for k in numbers[:9]] + [page_text.SETTLED], names=True)
+
+
+def test_deep_page_in_spark(spark):
+    rows = [(k, f"http://deep.x/{k}", "<div>x" * 20_000 + f"<p>{k}") for k in range(7)]
+    assert page_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == 7
+
+
 @pytest.mark.parametrize("names", [True, False])
 def test_pages_keep_their_articles(spark, names):
     """Against the articles cut out by expressions; without names all but hosts with few pages."""
