@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, stored
+from .relational import hot_join, small_side
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component of edges(a, b); a node without an edge isn't there.
 
-    First every node is contracted into the least node beside it, which leaves little of dense parts. Then each round
-    gives every node that is left the least label beside it and then its label's label, so chains halve; rounds are
-    checkpointed, and a node's neighbours are only ever aggregated.
+    Rounds of random contraction: each round orders the nodes left by a hash of its own, renames every node to the first
+    one among itself and its neighbours, and drops edges that become loops. Whatever the numbering, about half of the
+    nodes or fewer stay each time, so a chain of n nodes takes some log2(n) rounds. The renamings, each a table half the
+    size of the one before, are then put together from the last to the first. Neighbours are only ever aggregated.
     """
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    first = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
-    place = first.select(F.col("node").alias("at"), F.col("label").alias("to"))
-    half = both.filter("a < b").join(place, F.col("a") == F.col("at")).select(F.col("to").alias("a"), "b")
-    left = half.join(place, F.col("b") == F.col("at")).select("a", F.col("to").alias("b")).filter("a <> b").distinct().checkpoint()
-    if left.isEmpty():
-        return first
-    both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
-    for _ in range(most_rounds):
-        beside = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("beside"))
-        nearer = labels.join(beside, labels["node"] == beside["a"]).select("node", F.col("label").alias("old"), F.least("label", "beside").alias("label"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        moved = nearer.join(jump, nearer["label"] == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
-        labels = moved.select("node", "label")
-        if not moved.filter("label <> old").limit(1).count():
-            return first.join(labels.select(F.col("node").alias("at"), F.col("label").alias("least")), F.col("label") == F.col("at"), "left").select("node", F.coalesce("least", "label").alias("label"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "component-edges")
+    empty = left.select(F.col("a").alias("node"), F.col("a").alias("label"))
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        place = lambda c, n=len(steps): F.struct(F.xxhash64(F.lit(n), F.col(c)).alias("h"), F.col(c).alias("node"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(place("b")).alias("first"))
+        step = stored(first.select(F.col("a").alias("node"), F.least("first", place("a"))["node"].alias("to")), "component-names")
+        steps.append(step)
+        half = left.join(step, F.col("a") == F.col("node")).select(F.col("to").alias("a"), "b")
+        renamed = half.join(step, F.col("b") == F.col("node")).select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b"))
+        left = stored(renamed.filter("a <> b").distinct(), "component-edges")
+    if not steps:
+        return empty
+    known = steps.pop().select("node", F.col("to").alias("root"))
+    while steps:
+        later = small_side(known.select(F.col("node").alias("at"), "root"), 200_000)
+        known = stored(steps.pop().join(later, F.col("to") == F.col("at"), "left").select("node", F.coalesce("root", "to").alias("root")), "component-roots")
+    least = known.groupBy("root").agg(F.min("node").alias("label"), F.count("*").alias("n")).checkpoint()
+    return hot_join(known, least, ["root"], "n").select("node", "label")
 
 
 def k_core(edges: DataFrame, least: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import has_word
+from .alias_index import matcher
 
 #: Companies (name, type, aliases) in the order in which matches are listed.
 COMPANIES = (
@@ -46,18 +46,32 @@ def any_of(flags: list[Column]) -> Column:
 
 def companies(text: Column, table=COMPANIES) -> Column:
     """Names of the companies that the text mentions, in the order of the table."""
-    return listed([(name, any_of([has_word(text, a) for a in aliases])) for name, _, aliases in table])
+    return matcher([(name, aliases) for name, _, aliases in table])(text)
+
+
+def tags_of(names: Column, table=COMPANIES) -> Column:
+    """#name#type of each of companies(); empty without one."""
+    kinds = F.create_map(*[F.lit(x) for name, kind, _ in table for x in (name, f"#{name}#{kind}")])
+    return F.array_join(F.transform(names, lambda n: F.element_at(kinds, n)), "")
 
 
 def company_tags(text: Column, table=COMPANIES) -> Column:
-    """#name#type of each company mentioned; empty without one."""
-    named = F.array_compact(F.array(*[F.when(any_of([has_word(text, a) for a in aliases]), f"#{name}#{kind}") for name, kind, aliases in table]))
-    return F.array_join(named, "")
+    return tags_of(companies(text, table), table)
+
+
+def all_terms(text: Column) -> Column:
+    """kind:code of the news terms of all kinds that the text has."""
+    return matcher([(f"{kind}:{code}", aliases) for kind, codes in TERMS.items() for code, aliases in codes.items()])(text)
+
+
+def of_kind(found: Column, kind: str) -> Column:
+    """The codes of a kind in all_terms()."""
+    return F.transform(F.filter(found, lambda x: F.startswith(x, F.lit(f"{kind}:"))), lambda x: F.substring(x, len(kind) + 2, 1000))
 
 
 def terms(text: Column, kind: str) -> Column:
     """Codes of the news terms of a kind that the text has."""
-    return listed([(code, any_of([has_word(text, a) for a in aliases])) for code, aliases in TERMS[kind].items()])
+    return of_kind(all_terms(text), kind)
 
 
 def signals(text: Column) -> Column:

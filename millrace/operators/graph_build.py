@@ -72,7 +72,8 @@ def restaurant_graph(records: DataFrame, areas: DataFrame, recipes: DataFrame, f
 def news_graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of rows(thread, title, content, article_url, created_at): articles and the terms they mention."""
     text = F.concat_ws(" ", "title", "content")
-    said = rows.select("thread", F.array(*[F.struct(F.lit(kind).alias("kind"), D.terms(text, k).alias("terms")) for k, (kind, _) in TERM_EDGES.items()]).alias("x")).select("thread", F.inline("x")).select("thread", "kind", F.explode("terms").alias("term"))
+    found = rows.select("thread", D.all_terms(text).alias("found"))
+    said = found.select("thread", F.array(*[F.struct(F.lit(kind).alias("kind"), D.of_kind(F.col("found"), k).alias("terms")) for k, (kind, _) in TERM_EDGES.items()]).alias("x")).select("thread", F.inline("x")).select("thread", "kind", F.explode("terms").alias("term"))
     labels = F.create_map(*[F.lit(x) for kind, label in TERM_EDGES.values() for x in (kind, label)])
     articles = node(rows, "Article", F.col("thread"), name=F.col("title"), summary=S.summary(F.col("content")), url=F.coalesce("article_url", F.lit("")), published_at=dates.iso_or_epoch(F.col("created_at")))
     terms = said.select(F.element_at(labels, F.col("kind")).alias("label"), F.col("term").alias("key"), F.col("term").alias("name")).distinct()

@@ -52,9 +52,15 @@ def malformed(title: Column, content: Column, required: list[Column]) -> Column:
 def quality_issue(post: Column, *, banned=BANNED, cliches=CLICHES) -> Column:
     """The first reason against a generated text: banned words, repeated or too many clichés, too short; else null."""
     flat = F.regexp_replace(post, r"\s+", " ")
-    times = [F.regexp_count(flat, F.lit(S._quoted(c))) for c in cliches]
-    many = sum((F.when(t > 0, 1).otherwise(0) for t in times), F.lit(0))
-    repeated = sum((F.when(t >= REPEATED, 1).otherwise(0) for t in times), F.lit(0))
+
+    def times(text: Column) -> Column:
+        """How often each phrase stands in the text, by what the text loses with it."""
+        return F.array(*[F.when(F.contains(text, F.lit(c)), ((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / len(c)).cast("int")).otherwise(0) for c in cliches])
+
+    # the text and the counts are bound once a row; few texts hold any phrase at all
+    counts = F.get(F.transform(F.array(flat), times), 0)
+    many = F.size(F.filter(counts, lambda t: t > 0))
+    repeated = F.size(F.filter(counts, lambda t: t >= REPEATED))
     bad = sum((F.when(F.contains(post, F.lit(b)), 1).otherwise(0) for b in banned), F.lit(0))
     seen = S.visible(post)
     short = (F.length(seen) < LEAST_CHARS) | (F.size(S.sentences(seen, SENTENCE_CHARS)) < LEAST_SENTENCES)

@@ -72,13 +72,15 @@ def sql_names(entries) -> str:
 @query(f"SELECT doc_id, {sql_names([(n, a) for n, _, a in D.COMPANIES])} AS companies, replace({sql_names([(f'#{n}#{k}', a) for n, k, a in D.COMPANIES])}, ',', '') AS tags FROM (SELECT doc_id, {MENTIONS} AS t FROM documents)")
 def company_match(spark, sf_dir):
     text = docs(spark, sf_dir).select("doc_id", mentions().alias("t"))
-    return text.select("doc_id", F.array_join(D.companies(F.col("t")), ",").alias("companies"), D.company_tags(F.col("t")).alias("tags"))
+    named = text.select("doc_id", D.companies(F.col("t")).alias("names"))
+    return named.select("doc_id", F.array_join("names", ",").alias("companies"), D.tags_of(F.col("names")).alias("tags"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"{sql_names(list(t.items()))} AS {k}" for k, t in D.TERMS.items()) + f" FROM (SELECT doc_id, {MENTIONS} AS t FROM documents)")
 def term_match(spark, sf_dir):
     text = docs(spark, sf_dir).select("doc_id", mentions().alias("t"))
-    return text.select("doc_id", *[F.array_join(D.terms(F.col("t"), k), ",").alias(k) for k in D.TERMS])
+    found = text.select("doc_id", D.all_terms(F.col("t")).alias("found"))
+    return found.select("doc_id", *[F.array_join(D.of_kind(F.col("found"), k), ",").alias(k) for k in D.TERMS])
 
 
 @query("SELECT o_orderkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(t, '{w}') THEN '{k}:{w}' END" for k, ws in D.SIGNALS.items() for w in ws) + "], lambda x: x IS NOT NULL), ',') AS signals FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '신제품 출시 발표' WHEN 1 THEN '해킹 유출 사고' WHEN 2 THEN '투자 및 인수' ELSE o_orderpriority END AS t FROM orders)")
