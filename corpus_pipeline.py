@@ -89,9 +89,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.when(F.size(spans) > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences, with their ids: see pack(). Null and empty texts are the end id alone."""
-    return with_offsets(pack(docs)).drop("slot")
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, *, digest: bool = False) -> DataFrame:
+    """Pieces of all documents in sequences, with their ids, or a digest instead: see pack(). Null and empty texts are
+    the end id alone. The digest is taken before offsets are counted, so ids don't go through that shuffle."""
+    pieces = pack(docs)
+    return with_offsets(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids") if digest else pieces).drop("slot")
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
@@ -105,4 +107,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return STAGES[-1][1](spark, docs, sf_dir, digest=True)
