@@ -21,9 +21,9 @@ def null_if_zero(c: Column) -> Column:
 
 
 def hash_uniform(*columns: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """A number in [low, high) that the columns' hash fixes."""
-    unit = F.pmod(F.xxhash64(*columns), F.lit(2**40)) / float(2**40)
-    return low + unit * (high - low)
+    """A number in [low, high) that the columns fix: 32 bits of the md5 of their texts, joined by bars."""
+    bits = F.conv(F.left(F.md5(F.concat_ws("|", *[c.cast("string") for c in columns])), F.lit(8)), 16, 10).cast("long")
+    return low + (high - low) * (bits / float(2**32))
 
 
 def softmax_label(positive: Column, negative: Column) -> tuple[Column, Column]:

@@ -80,11 +80,6 @@ def recipe_first(spark, sf_dir):
     return lake.recipe_ingredients(read, ["at"])
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 1.5::DOUBLE), (2, NULL, 2.0::DOUBLE), (3, 'c', NULL)) AS v(id, name, rate)")
-def json_payload(spark, sf_dir):
-    return lake.json_rows(spark, '[{"id": 1, "name": "a", "rate": 1.5}, {"id": 2, "rate": 2.0}, {"id": 3, "name": "c"}]', "id: int, name: string, rate: double")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 def bound_query(spark, sf_dir):
     return lake.bound(spark, "SELECT c_custkey, c_name FROM bound_customer WHERE c_acctbal > :low AND array_contains(:kinds, c_mktsegment)", {"low": 5000, "kinds": F.array(F.lit("BUILDING"), F.lit("MACHINERY"))}, bound_customer=table(spark, sf_dir, "customer"))

@@ -108,6 +108,11 @@ def json_rows(spark: SparkSession, payload: str, fields: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(payload), f"array<struct<{fields}>>")))
 
 
+def json_items(payload: Column, fields: str) -> Column:
+    """Rows of the records in a column of JSON arrays, with the fields given (name: type, ...); others aren't read."""
+    return F.inline(F.from_json(payload, f"array<struct<{fields}>>"))
+
+
 def bound(spark: SparkSession, sql: str, args: dict | list | None = None, **views: DataFrame) -> DataFrame:
     """A parameterised query over views that stand for the call only."""
     for name, df in views.items():
