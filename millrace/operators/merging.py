@@ -39,6 +39,26 @@ def may_merge(a: Column, b: Column) -> Column:
     return F.when(silent(a) | silent(b), True).when(astray | apart, False).when(held_within(signals(a), signals(b)), True).when(active, shares("actions")).otherwise(shares("topics") | shares("nouns") | shares("predicates"))
 
 
+def fits(a: dict[str, set[str]], b: dict[str, set[str]]) -> bool:
+    """may_merge() of two dictionaries of sets, for tasks that keep groups."""
+    every = [x["predicates"] | x["actions"] | x["nouns"] for x in (a, b)]
+    if not all(every):
+        return True
+    within = lambda left, right: any(x != y and min(len(x), len(y)) >= 2 and (x in y or y in x) for x in left for y in right)
+    topics = [x["topics"] for x in (a, b)]
+    if all(topics):
+        if not topics[0] & topics[1]:
+            return False
+    elif any(topics):
+        about, nouns = (topics[0], b["nouns"]) if topics[0] else (topics[1], a["nouns"])
+        if not (about & nouns or within(about, nouns)):
+            return False
+    if within(*every):
+        return True
+    kinds = ("actions",) if a["actions"] or b["actions"] else ("topics", "nouns", "predicates")
+    return any(a[k] & b[k] for k in kinds)
+
+
 def similar_history(keywords: DataFrame, stored: DataFrame, scope: str, key: str, vector: str, *, k: int = 20, most_distance: float = 0.3) -> DataFrame:
     """query (a key of keywords), historical_count, similar: the summed batch_count of the stored keywords like it.
 

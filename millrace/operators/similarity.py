@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import dot, normalised
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from .components import components, k_core
 from .relational import small_side
 
@@ -28,10 +33,36 @@ def pairs_within(rows: DataFrame, group: str, key: str, vector: str, threshold:
     return joined.filter(F.col("similarity") >= threshold).select("a", "b", group, "similarity")
 
 
-def nearest(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """key, nearest: the largest similarity to another row of the group, rounded; null where the group has no other."""
-    pairs = pairs_within(rows, group, key, vector, -2.0)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"), "similarity").groupBy("key").agg(F.round(F.max("similarity"), 6).alias("nearest"))
+def nearest(rows: DataFrame, group: str, key: str, vector: str, *, chunk: int = 4 * CHUNK) -> DataFrame:
+    """key, nearest: the largest similarity to a row of another key in the group, rounded; null where there is none.
+
+    A group is cut into chunks by hash, a chunk's vectors become one matrix, and every pair of chunks is a join key of
+    its own. A tile multiplies two matrices and hands on a maximum a row and side, never its pairs.
+    """
+    unit = rows.filter(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("key"), normalised(F.col(vector)).alias("unit"))
+    sizes = unit.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    dealt = unit.join(small_side(sizes, 100_000), "g").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    blocks = stored(dealt.groupBy("g", "chunk", "chunks").agg(F.collect_list(F.struct("key", "unit")).alias("block")).select("g", "chunk", "chunks", F.col("block.key").alias("keys"), F.col("block.unit").alias("units")), "similarity-blocks")
+    left = blocks.select("g", F.col("keys").alias("a"), F.col("units").alias("u"), F.col("chunk").alias("x"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("y"))
+    right = blocks.select("g", F.col("keys").alias("b"), F.col("units").alias("v"), F.col("chunk").alias("y"))
+    kind = rows.schema[key].dataType
+
+    def matrix(units: pa.ListScalar) -> np.ndarray:
+        return units.values.flatten().to_numpy(zero_copy_only=False).reshape(len(units.values), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, u, b, v, inside in zip(*batch.columns[:4], batch.column(4).to_pylist(), strict=True):
+                product = matrix(u) @ matrix(v).T
+                names, others = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
+                product[np.equal.outer(names, others).astype(bool)] = -np.inf
+                sides = [(a.values, product.max(axis=1))] if inside else [(a.values, product.max(axis=1)), (b.values, product.max(axis=0))]
+                for keys, most in sides:
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(most)], names=["key", "most"])
+
+    tiles = left.join(right, ["g", "y"]).select("a", "u", "b", "v", (F.col("x") == F.col("y")).alias("inside"))
+    best = tiles.mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("most", T.DoubleType())]))
+    ends = best.filter(F.col("most") > -2).groupBy("key").agg(F.round(F.max("most"), 6).alias("nearest"))
     return rows.select(F.col(key).alias("key")).join(ends, "key", "left")
 
 
