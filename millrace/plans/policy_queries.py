@@ -97,7 +97,29 @@ def recursive_chunk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.recursive_chunks("text")).alias("chunk", "piece"))
 
 
-@query()
+SCORE = lambda text: f"(CAST('0x' || left(sha256({text}), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+WITH_IT = lambda text: f"CASE WHEN label = 'positive' THEN {SCORE(text)} ELSE 1 - {SCORE(text)} END"
+AGAINST = lambda text: f"CASE WHEN label = 'positive' THEN 1 - {SCORE(text)} ELSE {SCORE(text)} END"
+CONTRARY = f"{AGAINST('t')} > {WITH_IT('t')} AND {AGAINST('t')} >= {spans.OPPOSITE} AND ({AGAINST('t')} - {WITH_IT('t')} >= {spans.MARGIN} OR {AGAINST('t')} >= {spans.HIGH})"
+APART = lambda a, b: f"({a}.start + {a}.width <= {b}.start OR {b}.start + {b}.width <= {a}.start)"
+
+
+@query(rf"""
+WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label, text FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT doc_id, label, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[.。]', ' ', 'g'), '[^\s0-9A-Za-z가-힣]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
+  lambda x: x <> '' AND length(x) <= 15) AS w FROM r),
+n AS (SELECT doc_id, label, w, width, unnest(range(0, len(w) - width + 1)) AS start FROM t, (VALUES (2), (3)) AS v(width)),
+s AS (SELECT doc_id, label, width, start, array_to_string(w[start + 1:start + width], ' ') AS span FROM n),
+k AS (SELECT doc_id, label, width, start, span, {WITH_IT('span')} AS score FROM s WHERE length(span) <= {spans.MOST_CHARS} AND {WITH_IT('span')} >= {AGAINST('span')}
+  AND len(list_filter(string_split(span, ' '), lambda t: regexp_matches(t, '{spans.SHAPED}') AND length(t) <= {spans.SHAPED_LENGTH} AND {CONTRARY})) = 0),
+b AS (SELECT doc_id, span, min(start) AS start, any_value(width) AS width, any_value(score) AS score FROM k GROUP BY doc_id, span),
+l AS (SELECT a.* FROM b a WHERE a.width = 3 OR NOT EXISTS (SELECT 1 FROM b c WHERE c.doc_id = a.doc_id AND c.width = 3 AND a.start BETWEEN c.start AND c.start + 1 AND a.score <= c.score + {spans.EPS})),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, width DESC, start) AS rank FROM l),
+p1 AS (SELECT * FROM o WHERE rank = 1),
+p2 AS (SELECT o.doc_id, arg_min(o, o.rank) AS p FROM o JOIN p1 ON o.doc_id = p1.doc_id AND {APART('o', 'p1')} GROUP BY o.doc_id),
+p3 AS (SELECT o.doc_id, arg_min(o, o.rank) AS p FROM o JOIN p1 ON o.doc_id = p1.doc_id AND {APART('o', 'p1')} JOIN p2 ON o.doc_id = p2.doc_id AND {APART('o', 'p2.p')} GROUP BY o.doc_id)
+SELECT r.doc_id, coalesce('#' || p1.span, '') || coalesce('#' || p2.p.span, '') || coalesce('#' || p3.p.span, '') AS keywords
+FROM r LEFT JOIN p1 ON r.doc_id = p1.doc_id LEFT JOIN p2 ON r.doc_id = p2.doc_id LEFT JOIN p3 ON r.doc_id = p3.doc_id""")
 def span_keywords(spark, sf_dir):
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = both.select("doc_id", "text", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))

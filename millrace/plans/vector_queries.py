@@ -51,20 +51,29 @@ def components(spark, sf_dir):
 
 
 def core_sql(rounds: int, least: int) -> str:
-    """The edges left after so many rounds, each of which takes the nodes with fewer neighbours."""
+    """The edges left after so many rounds, each of which takes the nodes with fewer neighbours; an error where the last
+    round still took some."""
     steps = ["e0 AS MATERIALIZED (SELECT a, b FROM p WHERE similarity >= 0.2)"]
     for k in range(rounds):
         steps.append(f"k{k} AS MATERIALIZED (SELECT node FROM (SELECT a AS node FROM e{k} UNION ALL SELECT b FROM e{k}) GROUP BY 1 HAVING count(*) >= {least})")
         steps.append(f"e{k + 1} AS MATERIALIZED (SELECT a, b FROM e{k} WHERE a IN (SELECT node FROM k{k}) AND b IN (SELECT node FROM k{k}))")
-    return f"WITH {PAIRS}, {', '.join(steps)} SELECT a, b FROM e{rounds}"
+    settled = f"CASE WHEN (SELECT count(*) FROM e{rounds}) < (SELECT count(*) FROM e{rounds - 1}) THEN CAST(error('the core needs more rounds') AS BOOLEAN) ELSE true END"
+    steps.append(f"core AS MATERIALIZED (SELECT a, b FROM e{rounds} WHERE {settled})")
+    return f"WITH RECURSIVE {PAIRS}, {', '.join(steps)}"
 
 
-@query(core_sql(30, 2))
+@query(core_sql(30, 2) + " SELECT a, b FROM core")
 def kcore(spark, sf_dir):
     return C.k_core(similarity.pairs_within(vectors(spark, sf_dir), "label", "vec_id", "embedding", 0.2).select("a", "b"), 2)
 
 
-@query()
+@query(core_sql(30, 2) + """,
+e AS (SELECT a, b FROM core UNION ALL SELECT b, a FROM core), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+f AS (SELECT node, min(seen) AS family FROM r GROUP BY 1), m AS (SELECT label, vec_id, family FROM embeddings JOIN f ON vec_id = node),
+n AS (SELECT label, family, row_number() OVER (PARTITION BY label ORDER BY family) AS n FROM (SELECT DISTINCT label, family FROM m)),
+g AS (SELECT vec_id, 'imggrp-' || lpad(CAST(n AS VARCHAR), 3, '0') AS image_group, row_number() OVER (PARTITION BY m.label, m.family ORDER BY vec_id) AS group_order FROM m JOIN n ON m.label = n.label AND m.family = n.family),
+x AS (SELECT i.label, i.vec_id, image_group, group_order, CASE WHEN i.vec_id IS NULL THEN 'MISSING_IMAGE_URL' WHEN embedding IS NULL THEN 'VECTORIZE_FAILED' WHEN image_group IS NULL THEN 'NO_SIMILAR_IMAGE_IN_STORE' END AS reason FROM embeddings i LEFT JOIN g ON i.vec_id = g.vec_id)
+SELECT label, vec_id, image_group, group_order, CASE WHEN reason IS NULL THEN 'keep' ELSE 'drop' END AS decision, reason FROM x""")
 def image_groups(spark, sf_dir):
     return similarity.image_groups(vectors(spark, sf_dir), "label", "vec_id", "embedding", threshold=0.2)
 
