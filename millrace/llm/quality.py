@@ -2,7 +2,7 @@
 
 Each text has a vector of transformed statistics. For every language and source the minimum-covariance-determinant
 estimate of mean and covariance is found by concentration steps: the half of the texts nearest to the current
-estimate gives the next one. Texts whose Mahalanobis distance from their group's estimate is too large are rejected.
+estimate gives the next one. Two starts are followed, and the smaller determinant counts. Texts whose Mahalanobis distance from their group's estimate is too large are rejected.
 Everything is DataFrame expressions; the Cholesky factor of the small covariance matrix is unrolled into columns.
 """
 
@@ -104,21 +104,28 @@ def distance(p: int) -> Column:
 def robust_distances(rows: DataFrame, keys: list[str], floors: list[float], *, steps: int = STEPS) -> DataFrame:
     """rows(keys, x0..) with ``distance``: squared, from the group's minimum-covariance-determinant estimate.
 
-    The start is the group's coordinatewise medians and median deviations. Each concentration step keeps the half of
-    a group's rows (and ties) with the smallest distances and estimates from those; estimates are checkpointed.
+    Two starts go through the same passes: the group's coordinatewise medians and median deviations, and its plain mean
+    and covariance. Each concentration step keeps, for either start, the half of a group's rows (and ties) with the
+    smallest distances and estimates from those; estimates are checkpointed. Of a group's two last estimates the one
+    with the smaller determinant counts, the first among equals.
     """
     p = len(floors)
+    names = [*[f"m{i}" for i in range(p)], *[f"f{i}{j}" for i in range(p) for j in range(i + 1)]]
     medians = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(p)])
     medians = medians.checkpoint()
     side = small_side(medians, 100_000)
     spread = rows.join(side, keys).groupBy(*keys, *[f"m{i}" for i in range(p)]).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(p)])
-    current = spread.select(*keys, *[f"m{i}" for i in range(p)], *[(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"f{i}{j}") for i in range(p) for j in range(i + 1)]).checkpoint()
+    robust = spread.select(*keys, *[f"m{i}" for i in range(p)], *[(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"f{i}{j}") for i in range(p) for j in range(i + 1)])
+    current = robust.withColumn("start", F.lit(0)).unionByName(estimates(rows, keys, floors).withColumn("start", F.lit(1))).checkpoint()
+    each = [*keys, "start"]
     for _ in range(steps):
-        far = rows.join(small_side(current, 100_000), keys).select(*keys, *[f"x{i}" for i in range(p)], distance(p).alias("distance"))
-        half = far.groupBy(*keys).agg(F.percentile_approx("distance", 0.5, 1000).alias("half")).checkpoint()
-        core = far.join(small_side(half, 100_000), keys).filter(F.col("distance") <= F.col("half"))
-        current = estimates(core, keys, floors).checkpoint()
-    return rows.join(small_side(current, 100_000), keys).withColumn("distance", distance(p)).drop(*[f"m{i}" for i in range(p)], *[f"f{i}{j}" for i in range(p) for j in range(i + 1)])
+        far = rows.join(small_side(current, 200_000), keys).select(*each, *[f"x{i}" for i in range(p)], distance(p).alias("distance"))
+        half = far.groupBy(*each).agg(F.percentile_approx("distance", 0.5, 1000).alias("half")).checkpoint()
+        core = far.join(small_side(half, 200_000), each).filter(F.col("distance") <= F.col("half"))
+        current = estimates(core, each, floors).checkpoint()
+    determinant = sum((F.log(f"f{i}{i}") for i in range(p)), F.lit(0.0))
+    best = current.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(determinant, "start")).alias("best")).select(*keys, "best.*").checkpoint()
+    return rows.join(small_side(best, 100_000), keys).withColumn("distance", distance(p)).drop(*names)
 
 
 def quality_verdicts(docs: DataFrame, *, cut: float = CUT, steps: int = STEPS, least_group: int = LEAST_GROUP, carried: Sequence[str] = ()) -> DataFrame:
