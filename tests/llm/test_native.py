@@ -69,9 +69,9 @@ def test_the_smaller_determinant_of_two_starts_counts(spark):
     import numpy as np
 
     groups = {}
-    for seed in (0, 1, 7, 8, 9, 11, 16):
+    for seed in range(16):
         rng = np.random.default_rng(seed)
-        groups[f"g{seed}"] = np.concatenate([rng.normal(size=(int(rng.integers(60, 200)), 2)) @ rng.normal(size=(2, 2)) * rng.choice([0.1, 1]) + rng.normal(size=2) * 4 for _ in range(4)])
+        groups[f"g{seed}"] = np.concatenate([rng.normal(size=(int(rng.integers(30, 90)), 2)) @ rng.normal(size=(2, 2)) * rng.choice([0.1, 1]) + rng.normal(size=2) * 4 for _ in range(4)])
     floors, scale, wins, wanted = np.array([0.01, 0.01]), quality.consistency(2), set(), {}
     for g, x in groups.items():
         middle = np.sort(x, axis=0)[(len(x) - 1) // 2]
