@@ -108,6 +108,11 @@ def json_rows(spark: SparkSession, payload: str, fields: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(payload), f"array<struct<{fields}>>")))
 
 
+def seed_rows(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """Rows of a seed file: CSV with a header and doubled quotes. Filters on columns go down to the reader."""
+    return spark.read.schema(fields).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def json_items(payload: Column, fields: str) -> Column:
     """Rows of the records in a column of JSON arrays, with the fields given (name: type, ...); others aren't read."""
     return F.inline(F.from_json(payload, f"array<struct<{fields}>>"))
