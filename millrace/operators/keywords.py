@@ -27,6 +27,22 @@ def _run(tokens: Column, width: int):
     return lambda i: F.struct(i.cast("int").alias("start"), F.lit(width).alias("width"), F.array_join(F.slice(tokens, i + 1, width), " ").alias("span"))
 
 
+#: Pairs of tags that two words of a phrase may have, and the longest phrase.
+PHRASE_TAGS, MOST_PHRASE = (("NNG", "NNG"), ("NNP", "NNP"), ("SL", "NNG"), ("NNG", "SL"), ("SL", "SN")), 40
+
+
+def tagged_phrases(tokens: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Array of the phrases of tokens (form, tag): each word, pairs whose tags may stand together, and runs of three;
+    words of ``stop`` don't count."""
+    kept = F.filter(tokens, lambda t: ~t["form"].isin(*stop)) if stop else tokens
+    shifted = lambda k: F.slice(kept, k + 1, F.greatest(F.size(kept) - k, F.lit(0)))
+    allowed = lambda a, b: F.concat_ws(" ", a["tag"], b["tag"]).isin(*[" ".join(p) for p in PHRASE_TAGS])
+    pairs = F.zip_with(kept, shifted(1), lambda a, b: F.when(b.isNotNull() & allowed(a, b), F.concat_ws(" ", a["form"], b["form"])))
+    threes = F.zip_with(F.zip_with(kept, shifted(1), lambda a, b: F.struct(a["form"].alias("a"), b["form"].alias("b"))), shifted(2), lambda x, c: F.when(c.isNotNull(), F.concat_ws(" ", x["a"], x["b"], c["form"])))
+    short = lambda phrases: F.filter(phrases, lambda p: p.isNotNull() & (F.length(p) <= MOST_PHRASE))
+    return F.concat(F.transform(kept, lambda t: t["form"]), short(pairs), short(threes))
+
+
 def phrase_counts(docs: DataFrame, tokens: Column, width: int) -> DataFrame:
     """phrase, n over the corpus; counted before the shuffle."""
     spans = docs.select(F.explode(windows(tokens, width, width)).alias("s"))

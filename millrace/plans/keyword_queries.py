@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import word_tokenizer
-from ..operators import grouping, morphology
+from ..operators import grouping, keywords, morphology
 from .base import Registry, table
 
 registry = Registry()
@@ -58,4 +58,24 @@ def guarded_groups(spark, sf_dir):
     return grouping.group_keywords(counts, "o_orderstatus", {}, word_tokenizer, signals=signals)
 
 
+TAG = "CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 'SN' WHEN regexp_matches(x, '^[A-Z]') THEN 'NNP' WHEN length(x) <= 3 THEN 'SL' ELSE 'NNG' END"
+PAIR_LIST = ", ".join(f"'{a} {b}'" for a, b in keywords.PHRASE_TAGS)
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: x <> '' AND x NOT IN ('and', 'the')) AS w FROM conversations),
+t AS (SELECT conv_id, turn, w, list_transform(w, lambda x: {TAG}) AS g FROM w),
+p AS (SELECT conv_id, turn, unnest(list_concat(w, list_concat(
+  list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN g[i] || ' ' || g[i + 1] IN ({PAIR_LIST}) THEN w[i] || ' ' || w[i + 1] END), lambda p: p IS NOT NULL AND length(p) <= {keywords.MOST_PHRASE}),
+  list_filter(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), lambda p: length(p) <= {keywords.MOST_PHRASE})))) AS phrase FROM t)
+SELECT phrase, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM p GROUP BY 1""")
+def tagged_phrases(spark, sf_dir):
+    """Candidate phrases of conversations: words, pairs of tags that may stand together, runs of three."""
+    words = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda x: x != "")
+    tag = lambda x: F.when(x.rlike("^[0-9]+$"), "SN").when(x.rlike("^[A-Z]"), "NNP").when(F.length(x) <= 3, "SL").otherwise("NNG")
+    tokens = table(spark, sf_dir, "conversations").select("conv_id", F.transform(words, lambda x: F.struct(x.alias("form"), tag(x).alias("tag"))).alias("tokens"))
+    phrases = tokens.select("conv_id", F.explode(keywords.tagged_phrases(F.col("tokens"), ("and", "the"))).alias("phrase"))
+    return phrases.groupBy("phrase").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"))
+
+
 QUERIES, ORACLES = registry.queries, registry.oracles

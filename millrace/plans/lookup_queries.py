@@ -89,11 +89,11 @@ def unheld_images(spark, sf_dir):
     return L.unheld_urls(pages.select("page_id", "url").filter("url IS NOT NULL"), "url", stored, "document", "image_url")
 
 
-@query("SELECT o_custkey, count(*) AS review_count, round(avg(o_totalprice), 2) AS rating, max(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END) AS latest_review_at FROM orders GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS review_count, round(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*)) / 100 AS rating, max(CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END) AS latest_review_at FROM orders GROUP BY 1")
 def review_summary(spark, sf_dir):
     """How many reviews a store has, its rating, and when the last visit was, where any is known."""
     visited = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("review_count"), F.round(F.avg("o_totalprice"), 2).alias("rating"), F.max(visited).alias("latest_review_at"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("review_count"), (F.round(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("*")) / 100).alias("rating"), F.max(visited).alias("latest_review_at"))
 
 
 @query("SELECT event_id, " + ", ".join(f"strftime(ts, '{sql}') AS f{k}" for k, (_, sql) in enumerate(TIMES)) + " FROM events")
