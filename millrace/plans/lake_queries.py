@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as S
@@ -85,6 +87,25 @@ def bound_query(spark, sf_dir):
     return lake.bound(spark, "SELECT c_custkey, c_name FROM bound_customer WHERE c_acctbal > :low AND array_contains(:kinds, c_mktsegment)", {"low": 5000, "kinds": F.array(F.lit("BUILDING"), F.lit("MACHINERY"))}, bound_customer=table(spark, sf_dir, "customer"))
 
 
+def database(spark, sf_dir) -> str:
+    """Address of a database in this JVM's memory that holds the customers: it stands for a server, on a local master."""
+    url = f"jdbc:derby:memory:millrace{uuid.uuid4().hex};create=true"
+    table(spark, sf_dir, "customer").coalesce(1).write.format("jdbc").options(url=url, dbtable="customers", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(32)").save()
+    return url
+
+
+@query("SELECT * FROM customer")
+def database_scan(spark, sf_dir):
+    """A whole table of a database, read in four parts by ranges of its key."""
+    return lake.jdbc(spark, database(spark, sf_dir), "customers", split=("c_custkey", 4))
+
+
+@query("SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000")
+def database_column(spark, sf_dir):
+    """One column of a database's table; the filter and the choice of columns are the database's work."""
+    return lake.jdbc(spark, database(spark, sf_dir), "customers").filter("c_mktsegment = 'BUILDING' AND c_acctbal > 1000").select("c_name")
+
+
 @query("SELECT n_name || chr(10) AS content, 'txt' AS kind FROM nation")
 def document_files(spark, sf_dir):
     """A text file a nation, read whole."""

@@ -125,9 +125,19 @@ def bound(spark: SparkSession, sql: str, args: dict | list | None = None, **view
     return spark.sql(sql, args=args)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A table or query of a database; partitionColumn, lowerBound, upperBound and numPartitions make it parallel."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def jdbc(spark: SparkSession, url: str, source: str, *, split: tuple[str, int] | None = None, **options: str) -> DataFrame:
+    """A database's table, or query in brackets with a name. Columns and filters used later go down to the database.
+
+    split (a numeric column, parts) reads in that many parts by ranges between the column's least and largest value,
+    which the database tells first; rows without a value are in the first part.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=source, **options)
+    if split:
+        column, parts = split
+        low, high = reader.load().agg(F.min(column), F.max(column)).first()
+        if low is not None and high > low:
+            reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts))
+    return reader.load()
 
 
 def flagged_split(rows: DataFrame, failed: Column) -> tuple[DataFrame, DataFrame]:

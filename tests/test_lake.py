@@ -79,3 +79,12 @@ def test_upsert_stream_goes_on(spark, tmp_path):
     assert go() == [(1, "a"), (2, "b")]
     rows((2, "c"), (3, None)).write.parquet(f"{folder}/y")
     assert go() == [(1, "a"), (2, "c"), (3, None)]
+
+
+def test_database_does_the_filtering(spark, sf_dir):
+    from millrace.plans import lake_queries
+
+    one = lake_queries.database_column(spark, sf_dir)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(c_mktsegment,BUILDING)" in plan and "*GreaterThan(c" in plan and "ReadSchema: struct<c_name:string>" in plan
+    assert lake_queries.database_scan(spark, sf_dir).rdd.getNumPartitions() == 4
