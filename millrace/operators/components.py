@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     empty = left.select(F.col("a").alias("node"), F.col("a").alias("label"))
     steps: list[DataFrame] = []
     while not left.isEmpty():
-        place = lambda c, n=len(steps): F.struct(F.xxhash64(F.lit(n), F.col(c)).alias("h"), F.col(c).alias("node"))
+        # a text as salt, since a number would be compiled into new code every round
+        place = lambda c, n=len(steps): F.struct(F.xxhash64(F.lit(f"round {n}"), F.col(c)).alias("h"), F.col(c).alias("node"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min(place("b")).alias("first"))
         step = stored(first.select(F.col("a").alias("node"), F.least("first", place("a"))["node"].alias("to")), "component-names")
