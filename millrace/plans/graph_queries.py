@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.fulltext import TextIndex
+from ..session import shared_dir
 from .base import Registry, table
 
 registry = Registry()
@@ -172,6 +178,25 @@ def gq_fulltext(spark, sf_dir):
     return G.full_text(table(spark, sf_dir, "documents"), "doc_id", F.split(F.lower("text"), " "), ["with", "from", "dans"], 10)
 
 
+QUESTIONS = {"food": (["with", "from", "dans"], 5), "condition": (["la", "by"], 5), "news": (["of", "for", "is"], 10)}
+
+
+@query(f"""WITH q AS (SELECT * FROM (VALUES {", ".join(f"('{q}', '{w}', {n})" for q, (words, n) in QUESTIONS.items() for w in words)}) AS q(question, word, most)),
+p AS (SELECT doc_id AS key, w AS word, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE w IN (SELECT word FROM q) GROUP BY 1, 2),
+d AS (SELECT word, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT question, most, key, round(sum(tf * ln(1 + n / df)), 6) AS score FROM q JOIN p USING (word) JOIN d USING (word), n GROUP BY 1, 2, 3)
+SELECT question, key, score FROM s QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, key) <= most""")
+def fulltext_index(spark, sf_dir):
+    """Two batches, of which the second repeats the first one's documents, then three questions to the stored index."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.split(F.lower("text"), " ")
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    index.add(docs.filter("lang = 'en'"), "doc_id", words)
+    index.add(docs, "doc_id", words)
+    answers = [index.search(asked, limit).select(F.lit(question).alias("question"), "key", "score") for question, (asked, limit) in QUESTIONS.items()]
+    return reduce(DataFrame.unionByName, answers)
+
+
 @query(f"""WITH {EDGES} SELECT 'edge:' || type AS what, count(*) AS n FROM edges GROUP BY 1
 UNION ALL SELECT 'bridges', count(*) FROM edges x JOIN edges y ON x.dst = y.dst AND x.type = 'RELATED_TO' AND y.type = 'RELATED_TO' AND x.src_label = 'Restaurant' AND y.src_label = 'Article'
 UNION ALL SELECT 'idle', count(*) FROM restaurants WHERE key NOT IN (SELECT r FROM sells)""")
