@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import ingest
+from ..streaming.retries import retries
 from .base import Registry, table
 
 registry = Registry()
@@ -47,4 +48,16 @@ def stream_daily_counts(spark, sf_dir):
     return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@query("""WITH f AS (SELECT DISTINCT user_id AS entity_id, CASE event_type WHEN 'error' THEN 'NETWORK_ERROR' WHEN 'view' THEN 'SELECTOR_MISMATCH' WHEN 'click' THEN 'NOT_FOUND' ELSE 'OTHER' END AS reason_code, CAST(ts AS DATE) AS day FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity_id, reason_code ORDER BY day) - 1 AS retry_count FROM f),
+d AS (SELECT *, CASE reason_code WHEN 'NETWORK_ERROR' THEN CASE WHEN retry_count >= 5 THEN 'DROP' ELSE 'RETRY' END WHEN 'SELECTOR_MISMATCH' THEN 'REPROCESS' WHEN 'NOT_FOUND' THEN 'DROP' ELSE 'WARN' END AS action FROM n)
+SELECT entity_id, reason_code, day, CAST(retry_count AS INTEGER) AS retry_count, action, CAST(CASE WHEN action = 'RETRY' THEN day + 1 ELSE day END AS DATE) AS queue_day FROM d
+WHERE day + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+QUALIFY coalesce(sum(CASE WHEN action = 'DROP' THEN 1 END) OVER (PARTITION BY entity_id, reason_code ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""")
+def retry_stream(spark, sf_dir):
+    reason = F.expr("CASE event_type WHEN 'error' THEN 'NETWORK_ERROR' WHEN 'view' THEN 'SELECTOR_MISMATCH' WHEN 'click' THEN 'NOT_FOUND' ELSE 'OTHER' END")
+    fails = events(spark, sf_dir).select(F.col("user_id").alias("entity_id"), reason.alias("reason_code"), "ts")
+    return finished(spark, retries(fails), "retry-stream")
+
+
 QUERIES, ORACLES = registry.queries, registry.oracles
