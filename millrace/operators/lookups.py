@@ -42,9 +42,11 @@ def bare_key(name: Column, address: Column) -> Column:
 def snapshots(wanted: DataFrame, shops: DataFrame, maps: DataFrame, visits: DataFrame) -> DataFrame:
     """dedup_key, shop_id, last_checked_at, article_url: the least shop that a wanted key names, by an article's address or
     by name and address, with its newest visit and the newest visit's address. Each way is an equi-join."""
-    place = shops.join(maps, "map_id")
+    # all keys of a map name all of its shops, so its least one stands for them; an address counts once a map
+    place = maps.join(shops.filter("shop_id IS NOT NULL").groupBy("map_id").agg(F.min("shop_id").alias("shop_id")), "map_id")
     by_name = place.select(bare_key(F.col("name"), F.col("address")).alias("dedup_key"), "shop_id", "map_id")
-    by_url = place.select("shop_id", "map_id").join(visits.select("map_id", F.col("article_url").alias("dedup_key")), "map_id").select("dedup_key", "shop_id", "map_id")
+    seen = visits.select("map_id", F.col("article_url").alias("dedup_key")).distinct()
+    by_url = seen.join(place.select("shop_id", "map_id").distinct(), "map_id").select("dedup_key", "shop_id", "map_id")
     found = by_name.unionByName(by_url).join(wanted.select("dedup_key").distinct(), "dedup_key").groupBy("dedup_key").agg(F.min(F.struct("shop_id", "map_id")).alias("s")).select("dedup_key", "s.*")
     newest = F.max_by(F.when(F.col("article_url").isNotNull(), F.col("article_url")), F.when(F.col("article_url").isNotNull(), F.struct("created_at", "article_url"))).alias("article_url")
     last = visits.join(found.select("map_id").distinct(), "map_id", "left_semi").groupBy("map_id").agg(F.max("created_at").alias("last_checked_at"), newest)

@@ -118,3 +118,14 @@ def test_restaurant_graph(spark):
     assert bad.first()["entity_id"] == "e2" and nodes.filter("key = '가|주소'").first()["rating"] is None
     both = graph_build.merged([(nodes, edges), (nodes.withColumn("name", F.lit("later")), edges)])
     assert both.nodes.filter("key = 'LA01'").first()["name"] == "later" and both.edges.count() == 6
+
+
+def test_snapshots_of_a_busy_place(spark):
+    from millrace.operators import lookups
+
+    shops = spark.range(20_000).select((F.col("id") + 5).alias("shop_id"), F.lit(1).cast("long").alias("map_id"))
+    maps = spark.createDataFrame([(1, "a b", "street")], "map_id long, name string, address string")
+    visits = spark.range(50_000).select(F.lit(1).cast("long").alias("map_id"), F.lit("http://v/1").alias("article_url"), F.col("id").alias("created_at"))
+    wanted = spark.createDataFrame([("http://v/1",), ("ab|street",), ("none",)], "dedup_key string").crossJoin(spark.range(1000)).select("dedup_key")
+    made = lookups.snapshots(wanted, shops, maps, visits)  # a billion rows, if all shops met all visits
+    assert sorted(tuple(r) for r in made.collect()) == [("ab|street", 5, 49_999, "http://v/1"), ("http://v/1", 5, 49_999, "http://v/1")]
