@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +50,16 @@ def split_recursively(text: str, size: int = 200, overlap: int = 20, separators:
     return [p.strip() for p in out if p.strip()]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def recursive_chunks(texts: pd.Series) -> pd.Series:
-    return pd.Series([split_recursively(t) if isinstance(t, str) else [] for t in texts])
+def recursive_chunks(rows: DataFrame, key: str, text: str, *, texts: int = 64) -> DataFrame:
+    """key, chunk (from 0) and piece of every text; a task holds the pieces of a few texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), texts):
+                part = batch.slice(at, texts)
+                pieces = [split_recursively(t) if t is not None else [] for t in part.column(1).to_pylist()]
+                of = pa.array([k for k, p in enumerate(pieces) for _ in p], pa.int64())
+                chunk = pa.array([n for p in pieces for n in range(len(p))], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), chunk, pa.array([x for p in pieces for x in p], pa.string())], names=[key, "chunk", "piece"])
+
+    return rows.select(key, text).mapInArrow(run, T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("chunk", T.IntegerType()), T.StructField("piece", T.StringType())]))

@@ -94,7 +94,7 @@ def menu_similarity(spark, sf_dir):
 
 @query()
 def recursive_chunk(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(P.recursive_chunks("text")).alias("chunk", "piece"))
+    return P.recursive_chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 SCORE = lambda text: f"(CAST('0x' || left(sha256({text}), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"

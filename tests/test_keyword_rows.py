@@ -34,3 +34,12 @@ def test_common_keys_are_broadcast_until_there_are_too_many(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "(n#" in plan and ">= 64)" in plan  # the 20 keys of 100 rows, not the 1,000 of one
     assert made.count() == 3000 and made.agg(F.sum("n")).first()[0] == 2000 * 100 + 1000
+
+
+def test_chunks_of_a_few_texts_at_a_time(spark):
+    from millrace.functions import python as P
+
+    texts = [(k, t) for k, t in enumerate([None, "", "short", "word " * 300, "x" * 500, "one\n\ntwo " * 60])]
+    rows = spark.createDataFrame(texts, "k long, t string").coalesce(1)
+    made = sorted(tuple(r) for r in P.recursive_chunks(rows, "k", "t", texts=2).collect())
+    assert made == [(k, n, p) for k, t in texts if t is not None for n, p in enumerate(P.split_recursively(t))]
