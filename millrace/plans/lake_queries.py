@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import glob
+import os
+import tempfile
+import zipfile
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from ..functions import text as S
@@ -88,10 +93,40 @@ def bound_query(spark, sf_dir):
 
 
 def database(spark, sf_dir) -> str:
-    """Address of a database in this JVM's memory that holds the customers: it stands for a server, on a local master."""
-    url = f"jdbc:derby:memory:millrace{uuid.uuid4().hex};create=true"
-    table(spark, sf_dir, "customer").coalesce(1).write.format("jdbc").options(url=url, dbtable="customers", createTableColumnTypes="c_name VARCHAR(64), c_mktsegment VARCHAR(32)").save()
-    return url
+    """Address of a database of the customers, a file in the shared folder that every JVM opens by itself.
+
+    It stands for a server: Spark writes CSV parts there, the database imports them one by one on the driver's disk, and
+    its closed files become an archive, stored without compression so that a page is read at its place.
+    """
+    folder = place(spark, "database")
+    shared = urlparse(folder)
+    if shared.scheme not in ("", "file"):
+        raise ValueError("the database needs a shared folder that is mounted as files")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    fields = ["c_custkey", quoted("c_name"), "c_nationkey", "c_acctbal", quoted("c_mktsegment")]
+    lines = F.array_join(F.array(*[F.col(f).cast("string") if isinstance(f, str) else f for f in fields]), ",", "")  # nothing stands for null
+    table(spark, sf_dir, "customer").select(lines.alias("value")).write.text(f"{folder}/csv")
+    with tempfile.TemporaryDirectory(prefix="millrace-") as place_of_files:
+        url = f"jdbc:derby:{place_of_files}/customers"
+        drivers = spark._jvm.java.sql.DriverManager
+        c = drivers.getConnection(f"{url};create=true")
+        c.createStatement().execute('CREATE TABLE customers ("c_custkey" BIGINT, "c_name" VARCHAR(64), "c_nationkey" INTEGER, "c_acctbal" DOUBLE, "c_mktsegment" VARCHAR(32))')
+        load = c.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'CUSTOMERS', ?, ',', '\"', 'UTF-8', 0)")
+        for part in sorted(glob.glob(f"{glob.escape(shared.path)}/csv/part-*")):
+            load.setString(1, part)
+            load.execute()
+        c.createStatement().execute('CREATE INDEX by_key ON customers ("c_custkey")')
+        c.close()
+        try:
+            drivers.getConnection(f"{url};shutdown=true")
+        except Py4JJavaError as closed:  # the database says by an error that it is closed
+            if closed.java_exception.getSQLState() != "08006":
+                raise
+        archive = f"{shared.path}/customers.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_STORED) as z:
+            for path in glob.glob(f"{place_of_files}/customers/**", recursive=True):
+                z.write(path, os.path.relpath(path, place_of_files))
+    return f"jdbc:derby:jar:({archive})customers"
 
 
 @query("SELECT * FROM customer")

@@ -88,3 +88,30 @@ def test_database_does_the_filtering(spark, sf_dir):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "*GreaterThan(c" in plan and "ReadSchema: struct<c_name:string>" in plan
     assert lake_queries.database_scan(spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def test_database_is_seen_by_executors_of_their_own(spark, sf_dir, tmp_path):
+    import subprocess
+    import sys
+
+    script = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).config("spark.executor.memory", "1g").getOrCreate()
+import __spark_entry__
+for name in ("database_scan", "database_column"):
+    made, folder = __spark_entry__.queries()[name](spark, {sf_dir!r}), {str(tmp_path)!r}
+    made.write.parquet(f"{{folder}}/{{name}}")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True, timeout=300)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    assert sorted(spark.read.parquet(f"{tmp_path}/database_scan").collect()) == sorted(customers.collect())
+    assert sorted(spark.read.parquet(f"{tmp_path}/database_column").collect()) == sorted(customers.filter("c_mktsegment = 'BUILDING' AND c_acctbal > 1000").select("c_name").collect())
+
+
+def test_database_keeps_odd_values(spark, tmp_path):
+    from millrace.plans import lake_queries
+
+    rows = [(1, None, 1, 0.1, "a"), (2, "", None, -1e-300, ""), (3, ' x, "y" ', 3, None, "line\nbreak"), (4, "a\\", 4, 1e300, '\\"'), (None, "값", 5, 1 / 3, "\t")]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert sorted(map(tuple, lake_queries.database_scan(spark, str(tmp_path)).collect()), key=str) == sorted(rows, key=str)
