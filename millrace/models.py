@@ -30,7 +30,8 @@ def batched(load: Callable[[], Callable[[list[str]], list]], kind: str) -> Calla
 def hash_scorer(text: Column) -> Column:
     """(positive, negative) that the text's sha256 fixes."""
     p = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / float(2**32)
-    return F.struct(p.alias("positive"), (1 - p).alias("negative"))
+    both = lambda x: F.struct(x.alias("positive"), (1 - x).alias("negative"))
+    return F.get(F.transform(F.array(p), both), F.lit(0))  # inside an array p would be computed for either
 
 
 def lexicon_scorer(good: tuple[str, ...], bad: tuple[str, ...]) -> Scorer:

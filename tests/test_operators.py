@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.models import EchoClient, hash_scorer
+from millrace.models import EchoClient, batched, hash_scorer
 from millrace.operators import components as C
 from millrace.operators import keywords as K
 from millrace.operators import nlq, similarity, spans
@@ -177,3 +177,21 @@ def test_normalise_stores(spark):
     assert rows(bad, "entity_id", "reason_code") == [("e2", "INVALID_DATA_FORMAT")]
     same, _ = pipelines.normalise_stores(given, codes, good.select("dedup_key", "store_hash"))
     assert not same.first()["is_changed"]
+
+
+def test_span_keywords_stay_in_their_row(spark, monkeypatch):
+    """A scorer that is an expression shuffles no window; keys that rows share go the other way, with the same result."""
+    each = lambda df: sorted(map(tuple, df.collect()), key=str)
+    texts = ["좋네요 맛은 있어요 별로 게 좋네요 맛은", "a b c a b c d e", "", None, "one two three four five six"]
+    given = table(spark, [(k, t * n if t else t, label) for k, (t, n, label) in enumerate((t, n, label) for t in texts for n in (1, 3) for label in ("positive", "negative"))] + [(None, "x y z", "positive")], "id int, text string, label string")
+    made = spans.span_keywords(given, "id", "text", "label", hash_scorer)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(spans, "is_expression", lambda *_: False)
+    assert each(made) == each(spans.span_keywords(given, "id", "text", "label", hash_scorer))
+    monkeypatch.undo()
+    doubled = given.unionByName(table(spark, [(1, "q r s t u", "positive"), (1, "z y", "negative"), (None, "x", "negative")], "id int, text string, label string"))
+    mixed = spans.span_keywords(doubled, "id", "text", "label", hash_scorer)
+    monkeypatch.setattr(spans, "is_expression", lambda *_: False)
+    assert each(mixed) == each(spans.span_keywords(doubled, "id", "text", "label", hash_scorer))
+    monkeypatch.undo()
+    assert not spans.is_expression(spark, batched(lambda: lambda texts: [{"positive": 1.0, "negative": 0.0} for _ in texts], "struct<positive: double, negative: double>"))
