@@ -195,3 +195,12 @@ def test_span_keywords_stay_in_their_row(spark, monkeypatch):
     assert each(mixed) == each(spans.span_keywords(doubled, "id", "text", "label", hash_scorer))
     monkeypatch.undo()
     assert not spans.is_expression(spark, batched(lambda: lambda texts: [{"positive": 1.0, "negative": 0.0} for _ in texts], "struct<positive: double, negative: double>"))
+
+
+def test_global_rank_looks_no_bounds_up(spark):
+    """Ranks come from Spark's own ranges: a row isn't held against a bound of every range."""
+    given = spark.range(1000).select((F.col("id") % 7).alias("v"), "id")
+    made = R.global_rank(given, "v", [F.col("v"), F.col("id")], parts=300)
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    due = sorted((k % 7, k) for k in range(1000))
+    assert [(r["v"], r["id"]) for r in made.orderBy("rank").collect()] == due and [r["rank"] for r in made.select("rank").orderBy("rank").collect()] == list(range(1, 1001))
