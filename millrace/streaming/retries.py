@@ -1,4 +1,4 @@
-"""The retry state machine as a stream: state by entity and reason, a timer at the end of each day with failures."""
+"""The retry state machine as a stream: state by groups of entity and reason, a timer at the end of each day with failures."""
 
 from __future__ import annotations
 
@@ -9,33 +9,38 @@ from pyspark.sql import functions as F
 
 from ..operators.policy import MOST_RETRIES, action, queue_day
 
-STATE = "tries int, dropped boolean, open array<bigint>"
+#: Groups by hash that pairs of entity and reason are dealt to; a checkpoint keeps the number that it began with.
+GROUPS = 1024
 
 
 def decide(key, batches: Iterator, state) -> Iterator:
-    """Adds the days of new failures to the open ones and decides those that the watermark has passed, in order.
+    """Adds the days of new failures to the open ones of their pair and decides those that the watermark has passed, in order.
 
-    ``ends`` is a day's end in milliseconds. Rows come in Arrow batches of which only distinct days are kept, so a key
-    with many failures takes no more memory than its open days.
+    A group holds many pairs, since a call costs far more than a pair. ``ends`` is a day's end in milliseconds. Rows come
+    in Arrow batches of which only distinct days are kept, so a group takes no more memory than its pairs' open days.
     """
     import pandas as pd
 
-    entity, reason, drop_at = key
-    tries, dropped, open_days = state.get if state.exists else (0, False, [])
+    held = {(e, r): (drop_at, tries, dropped, set(days)) for e, r, drop_at, tries, dropped, days in zip(*state.get, strict=True)} if state.exists else {}
     passed = state.getCurrentWatermarkMs()
-    days = set(open_days)
     for rows in batches:
-        days.update(int(end) for end in rows["ends"].unique() if end >= passed)  # the others are late: their day is decided
-    made = []
-    for end in sorted(d for d in days if d < passed):
-        if not dropped:
-            made.append((entity, reason, end, tries))
-            dropped = 0 <= drop_at <= tries
-            tries += 1
-    left = sorted(d for d in days if d >= passed)
-    state.update((tries, dropped, left))
-    if left:
-        state.setTimeoutTimestamp(max(left[0], passed + 1))
+        fresh = rows.loc[rows["ends"] >= passed, ["entity_id", "reason_code", "drop_at", "ends"]].drop_duplicates()  # the others are late: their day is decided
+        for entity, reason, drop_at, end in fresh.itertuples(index=False, name=None):
+            held.setdefault((entity, reason), (int(drop_at), 0, False, set()))[3].add(int(end))
+    made, first = [], None
+    for (entity, reason), (drop_at, tries, dropped, days) in held.items():
+        for end in sorted(d for d in days if d < passed):
+            if not dropped:
+                made.append((entity, reason, end, tries))
+                dropped = 0 <= drop_at <= tries
+                tries += 1
+        left = sorted(d for d in days if d >= passed)
+        held[entity, reason] = (drop_at, tries, dropped, left)
+        first = min([*left[:1], *([] if first is None else [first])], default=None)
+    kept = [(*pair, *one) for pair, one in held.items()]
+    state.update(tuple(list(column) for column in zip(*kept, strict=True)) if kept else tuple([] for _ in range(6)))
+    if first is not None:
+        state.setTimeoutTimestamp(max(first, passed + 1))
     yield pd.DataFrame(made, columns=["entity_id", "reason_code", "ends", "retry_count"])
 
 
@@ -54,8 +59,10 @@ def retries(fails: DataFrame, late: str = "10 minutes", most: int = MOST_RETRIES
     drop_at = F.when(action(reason, F.lit(0), most) == "DROP", 0).when(action(reason, F.lit(most), most) == "DROP", most).otherwise(-1)
     ends = F.unix_millis(F.date_add(F.to_date("ts"), 1).cast("timestamp"))
     rows = given.select("entity_id", reason.alias("reason_code"), drop_at.alias("drop_at"), "ts", ends.alias("ends"))
+    grouped = rows.withColumn("dealt", F.pmod(F.xxhash64("entity_id", "reason_code"), F.lit(GROUPS)).cast("int"))
     schema = f"entity_id {entity}, reason_code string, ends bigint, retry_count int"
-    made = rows.groupBy("entity_id", "reason_code", "drop_at").applyInPandasWithState(decide, schema, STATE, "append", "EventTimeTimeout")
+    state = f"entities array<{entity}>, reasons array<string>, drops array<int>, tries array<int>, dropped array<boolean>, open array<array<bigint>>"
+    made = grouped.groupBy("dealt").applyInPandasWithState(decide, schema, state, "append", "EventTimeTimeout")
     day = F.date_sub(F.to_date(F.timestamp_millis("ends")), 1)
     what = action(F.col("reason_code"), F.col("retry_count"), most)
     return made.select("entity_id", "reason_code", day.alias("day"), "retry_count", what.alias("action")).withColumn("queue_day", queue_day(F.col("action"), F.col("day")))

@@ -79,3 +79,31 @@ def test_nulls_and_no_rows(spark, tmp_path):
     made = run(spark, place, f"{place}-out", f"{place}-state")
     day = START.date()
     assert sorted(made) == [(1, "UNKNOWN_ERROR", day, 0, "WARN", day), (2, "TIMEOUT", day, 0, "RETRY", day + dt.timedelta(days=1))]
+
+
+def test_one_call_decides_many_pairs():
+    """A group holds many pairs with a state of their own; days the watermark hasn't passed stay open."""
+    import pandas as pd
+
+    from millrace.streaming.retries import decide
+
+    class State:
+        exists, get, timer = False, None, None
+        passed = 0
+
+        def getCurrentWatermarkMs(self):
+            return self.passed
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+        def setTimeoutTimestamp(self, at):
+            self.timer = at
+
+    state, empty = State(), pd.DataFrame({"entity_id": [], "reason_code": [], "drop_at": [], "ends": []})
+    rows = pd.DataFrame([(e, "R", 1, end) for e in ("a", "b") for end in (10, 20, 30, 10)] + [("c", "S", 0, 10), ("c", "S", 0, 20)], columns=list(empty.columns))
+    assert next(decide((0,), iter([rows]), state)).empty and state.timer == 10
+    state.passed = 25
+    made = next(decide((0,), iter([empty]), state))
+    assert sorted(made.itertuples(index=False, name=None)) == [("a", "R", 10, 0), ("a", "R", 20, 1), ("b", "R", 10, 0), ("b", "R", 20, 1), ("c", "S", 10, 0)]
+    assert state.timer == 30 and dict(zip(state.get[0], state.get[5])) == {"a": [30], "b": [30], "c": []}
