@@ -35,9 +35,14 @@ def inner(html: Column, tag: str, mark: str = "") -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}\b{mark}[^>]*>(.*?)</{tag}>", 1)
 
 
+def filled_or_null(c: Column) -> Column:
+    """Null for the empty string. c is computed once: inside an array nullif() would compute it twice, and nested ones again."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), F.lit(0))
+
+
 def first_text(html: Column, tag: str, mark: str = "") -> Column:
     """Text of the first such element; null without one or where it is blank."""
-    return F.nullif(plain(inner(html, tag, mark)), F.lit(""))
+    return filled_or_null(plain(inner(html, tag, mark)))
 
 
 def all_texts(html: Column, tag: str, mark: str = "") -> Column:
@@ -48,7 +53,7 @@ def all_texts(html: Column, tag: str, mark: str = "") -> Column:
 
 def attribute(html: Column, tag: str, mark: str, name: str) -> Column:
     """An attribute of the first such element; null without one."""
-    return F.nullif(F.regexp_extract(html, rf'(?is)<{tag}\b{mark}[^>]*?\b{name}="([^"]*)"', 1), F.lit(""))
+    return filled_or_null(F.regexp_extract(html, rf'(?is)<{tag}\b{mark}[^>]*?\b{name}="([^"]*)"', 1))
 
 
 def parts(html: Column, start: str) -> Column:
@@ -59,7 +64,7 @@ def parts(html: Column, start: str) -> Column:
 
 def number(c: Column, kind: str = "double") -> Column:
     """The first number in a text; null without one."""
-    return F.nullif(F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast(kind)
+    return filled_or_null(F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)", 1)).try_cast(kind)
 
 
 def listed(c: Column) -> Column:

@@ -55,7 +55,9 @@ SELECT o_orderkey, 'A' || o_custkey AS author, 'one' || chr(10) || 'two <' || o_
 UNION ALL SELECT o_orderkey, 'B', '', 0.0, 0, NULL, '', '', 'M' || o_custkey || '=' || o_orderkey % 90 * 1000 FROM orders""")
 def store_reviews(spark, sf_dir):
     """Reviews and menus of a page an order; a review without an author doesn't count, nor does an item without a number."""
-    page = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(REVIEWS).alias("html"))
+    # a page takes far longer to read than its order: the few parts of a small file are dealt to all cores first
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    page = orders.select("o_orderkey", F.expr(REVIEWS).alias("html"))
     offered = F.array_join(F.transform(stores.menus(F.col("html")), lambda m: F.concat_ws("=", m["name"], m["price"].cast("string"))), ",")
     r = page.select("o_orderkey", offered.alias("offered"), F.explode(stores.reviews(F.col("html"))).alias("r"))
     return r.select("o_orderkey", "r.author", "r.content", "r.rating", F.col("r.author_stats.review_count").alias("reviews_of_author"), F.col("r.sub_evaluations")["맛"].alias("taste"), F.array_join("r.ordered_menus", ",").alias("menus"), F.array_join("r.review_images", ",").alias("images"), "offered")

@@ -109,3 +109,12 @@ def test_upserts_by_buckets(spark, tmp_path):
         made = {r["k"]: (r["n"], r["v"]) for r in ingest.newest(spark, out).collect()}
         assert made == known
     assert len(ingest.folders(spark, out, "list")) == 2 and len(set(ingest.versions(spark, out, 9).values())) > 1
+
+
+def test_a_text_is_computed_once(spark):
+    """The expression under a text stands once in the plan, however it is nested: nullif() inside arrays doubles it."""
+    made = spark.range(1).select(F.transform(F.array(F.lit("<b>4.5</b>")), lambda x: stores.number(stores.first_text(x, "b"))).alias("n"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(.*?)</b>") == 1 and "nullif" not in plan
+    assert made.first()["n"] == [4.5]
+    assert spark.range(1).select(stores.filled_or_null(F.lit("")).alias("a"), stores.filled_or_null(F.lit(None).cast("string")).alias("b")).first()[:] == (None, None)
