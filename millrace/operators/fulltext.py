@@ -9,9 +9,13 @@ no task takes all.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +24,65 @@ from .relational import small_side
 
 POSTINGS = "word string, block bigint, offsets array<smallint>, counts array<int>, n int, most int, segment string, bucket int"
 LIST = "segment string, documents bigint, buckets int, bits int"
+PLACED = "word string, block bigint, postings array<struct<offset: smallint, count: int>>"
+#: Tokens that a task counts in one go; a longer document is counted alone.
+AT_ONCE = 1 << 21
 #: Blocks of keys that a task writes together are 2^ZONE neighbours.
 ZONE = 6
 #: Scores are rounded to six digits; bounds are compared with more slack than that.
 SLACK = 1e-5
 
 
+def _shares(words: pa.Array, at_once: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the shares of a batch that are counted together."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        after = max(at + 1, int(np.searchsorted(ends, before + at_once, "right")))
+        yield at, after - at
+        at = after
+
+
+def counted(rows: DataFrame, bits: int, at_once: int = AT_ONCE) -> DataFrame:
+    """word, block, postings of rows (key, words): sorted by offset, each key of the block once. A word and block have a
+    row for each share of a batch that holds them, so neighbouring documents leave their task as lists, not one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in _shares(batch.column(1), at_once):
+                part = batch.slice(at, n)
+                flat, row = part.column(1).flatten(), pc.list_parent_indices(part.column(1)).to_numpy()
+                if flat.null_count:
+                    row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
+                if not len(flat):
+                    continue
+                coded = flat.dictionary_encode()
+                keys, place = np.unique(part.column(0).to_numpy(), return_inverse=True)
+                pairs, count = np.unique(coded.indices.to_numpy().astype(np.int64) * len(keys) + place[row], return_counts=True)
+                word, key = np.divmod(pairs, len(keys))
+                key = keys[key]
+                block = key >> bits
+                first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])))
+                offset = (key & ((1 << bits) - 1)).astype(np.int16)
+                posting = pa.StructArray.from_arrays([pa.array(offset), pa.array(count.astype(np.int32))], names=["offset", "count"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(pairs)), pa.int32()), posting)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word[first])), pa.array(block[first]), lists], names=["word", "block", "postings"])
+
+    return rows.mapInArrow(run, PLACED)
+
+
+def merged(rows: DataFrame, *by: str) -> DataFrame:
+    """One row of postings for each ``by``: sorted by offset, counts of one offset added."""
+    lists = rows.groupBy(*by).agg(F.collect_list("postings").alias("parts"))
+    p = lists.select(*by, F.when(F.size("parts") == 1, F.get("parts", 0)).otherwise(F.sort_array(F.flatten("parts"))).alias("p"), (F.size("parts") > 1).alias("joined"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | (F.get(F.col("p"), i)["offset"] != F.get(F.col("p"), i - 1)["offset"]))
+    at = p.select(*by, "p", F.when(F.col("joined"), starts).alias("at"))
+    total = lambda i, k: F.reduce(F.slice("p", i + 1, F.coalesce(F.get(F.col("at"), k + 1), F.size("p")) - i), F.lit(0), lambda n, x: n + x["count"])
+    added = F.transform("at", lambda i, k: F.struct(F.get(F.col("p"), i)["offset"].alias("offset"), total(i, k).alias("count")))
+    return at.select(*by, F.when(F.size("at") < F.size("p"), added).otherwise(F.col("p")).alias("p"))
+
+
 class TextIndex:
     """Documents by integer keys, found by words.
 
@@ -54,8 +111,8 @@ class TextIndex:
         """Indexes documents that aren't known and returns how many those were."""
         held = self._list()
         segment = f"s{uuid.uuid4().hex}"
-        rows = docs.select(F.col(key).cast("long").alias("key"), tokens.alias("words")).filter("key IS NOT NULL")
-        keys = rows.select("key").distinct()
+        number = F.col(key).cast("long")
+        keys = docs.select(number.alias("key")).filter("key IS NOT NULL").distinct()
         if held:
             known = self.spark.read.schema("key bigint").parquet(*[f"{self.path}/keys/{r['segment']}" for r in held])
             keys = keys.join(known, "key", "left_anti")
@@ -64,13 +121,12 @@ class TextIndex:
         documents = new.count()
         if not documents:
             return 0
-        if held:
-            rows = rows.join(new, "key", "left_semi")
-        counted = rows.select("key", F.explode("words").alias("word")).filter("word IS NOT NULL").groupBy("key", "word").agg(F.count("*").cast("int").alias("count"))
-        offset = F.col("key").bitwiseAND(F.lit((1 << self.bits) - 1)).cast("short")
-        placed = counted.select("word", self._bucket(F.col("word")).alias("bucket"), F.shiftright("key", self.bits).alias("block"), F.struct(offset.alias("offset"), "count").alias("posting"))
-        dealt = placed.withColumn("zone", F.shiftright("block", ZONE)).repartition("bucket", "zone")
-        lists = dealt.groupBy("bucket", "zone", "word", "block").agg(F.sort_array(F.collect_list("posting")).alias("p"))  # at most 2^bits
+        mine = docs.filter(number.isNotNull())
+        if held:  # before the texts are cut into words, should they be shuffled
+            mine = mine.join(new.select(F.col("key").alias(segment)), number == F.col(segment), "left_semi")
+        placed = counted(mine.select(number.alias("key"), tokens.alias("words")), self.bits)
+        dealt = placed.select("*", self._bucket(F.col("word")).alias("bucket"), F.shiftright("block", ZONE).alias("zone")).repartition("bucket", "zone")
+        lists = merged(dealt, "bucket", "zone", "word", "block")  # at most 2^bits
         out = lists.select("word", "block", F.col("p.offset").alias("offsets"), F.col("p.count").alias("counts"), F.size("p").alias("n"), F.array_max("p.count").alias("most"), F.lit(segment).alias("segment"), "bucket")
         out.sortWithinPartitions("bucket", "word", "block").write.mode("append").partitionBy("segment", "bucket").parquet(f"{self.path}/postings")
         after = [*[tuple(r) for r in held], (segment, documents, self.buckets, self.bits)]

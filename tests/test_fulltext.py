@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.fulltext import TextIndex
+from millrace.operators.fulltext import TextIndex, counted, merged
 from millrace.plans import graph_queries
 
 from .compare import both
@@ -98,3 +98,17 @@ def test_bounds_need_no_lists(spark, tmp_path):
     read = lambda df: df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1]
     assert "offsets" in read(index.scores(index.postings(["a"]), F.lit(1.0)))
     assert "offsets" not in read(index.bounds(index.postings(["a"]), F.lit(1.0)))
+
+
+def test_neighbours_leave_their_task_as_lists(spark):
+    texts = [(k, [f"w{k % 3}", "all", "all", None]) for k in range(-8, 56)] + [(3, ["all", "w9"]), (70, None), (71, [])]
+    rows = spark.createDataFrame(texts, "key bigint, words array<string>").coalesce(1)
+    wanted = Counter((w, k) for k, ws in texts for w in ws or () if w is not None)
+    blocks = {(w, k >> 4) for w, k in wanted}
+    for at_once, shares in ((1 << 21, 1), (16, 17), (1, 67)):
+        made = counted(rows, 4, at_once).collect()
+        assert len(made) == len(blocks) if shares == 1 else len(blocks) < len(made) <= 4 * len(texts)
+        assert all([p["offset"] for p in r["postings"]] == sorted({p["offset"] for p in r["postings"]}) for r in made)
+        joined = merged(counted(rows, 4, at_once), "word", "block").collect()
+        assert {(r["word"], (r["block"] << 4) + p["offset"]): p["count"] for r in joined for p in r["p"]} == wanted
+        assert len(joined) == len(blocks) and sum(len(r["p"]) for r in joined) == len(wanted)
