@@ -1,12 +1,14 @@
-"""The few functions that have no Spark expression, as Arrow-batched ones."""
+"""The few functions that have no Spark expression, as Arrow-batched ones, and shares of a batch."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,17 @@ from pyspark.sql import types as T
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
+def shares(sizes: pa.Array, at_once: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the shares of a batch that are worked on together: rows of ``at_once`` in all, or one larger."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        after = max(at + 1, int(np.searchsorted(ends, before + at_once, "right")))
+        yield at, after - at
+        at = after
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two strings (longest common blocks); null where either is null."""

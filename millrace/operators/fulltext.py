@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.python import shares
 from ..streaming.ingest import folders
 from .relational import small_side
 
@@ -33,24 +34,13 @@ ZONE = 6
 SLACK = 1e-5
 
 
-def _shares(words: pa.Array, at_once: int) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of the shares of a batch that are counted together."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < len(ends):
-        before = ends[at - 1] if at else 0
-        after = max(at + 1, int(np.searchsorted(ends, before + at_once, "right")))
-        yield at, after - at
-        at = after
-
-
 def counted(rows: DataFrame, bits: int, at_once: int = AT_ONCE) -> DataFrame:
     """word, block, postings of rows (key, words): sorted by offset, each key of the block once. A word and block have a
     row for each share of a batch that holds them, so neighbouring documents leave their task as lists, not one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in _shares(batch.column(1), at_once):
+            for at, n in shares(pc.list_value_length(batch.column(1)), at_once):
                 part = batch.slice(at, n)
                 flat, row = part.column(1).flatten(), pc.list_parent_indices(part.column(1)).to_numpy()
                 if flat.null_count:

@@ -1,5 +1,7 @@
 """Windows and postings counted in their row, and joins that shuffle rare keys alone."""
 
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -43,3 +45,20 @@ def test_chunks_of_a_few_texts_at_a_time(spark):
     rows = spark.createDataFrame(texts, "k long, t string").coalesce(1)
     made = sorted(tuple(r) for r in P.recursive_chunks(rows, "k", "t", texts=2).collect())
     assert made == [(k, n, p) for k, t in texts if t is not None for n, p in enumerate(P.split_recursively(t))]
+
+
+def test_phrases_of_texts_and_no_table_of_a_whole_task(spark):
+    pick = random.Random(4)
+    text = lambda: "".join(pick.choices([*"abbé\u00a0", " ", "\t", "\n", "\r", "\x0b", "\f"], k=pick.randrange(25)))
+    texts = [text() for _ in range(300)] + [None, "", " ", "a b " * 500]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(2)
+    for width, at_once in ((1, 64), (2, 1 << 24), (2, 64), (3, 1), (4, 1 << 24)):
+        wanted: Counter = Counter()
+        for t in texts:
+            w = [x for x in re.split("[ \t\n\x0b\f\r]+", t or "") if x]
+            wanted.update(" ".join(w[k : k + width]) for k in range(len(w) - width + 1))
+        made = K.phrase_counts(rows, F.col("t"), width, at_once=at_once)
+        assert {r["phrase"]: r["n"] for r in made.collect()} == wanted
+    plan = K.phrase_counts(rows, F.col("t"), 2)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange hashpartitioning(phrase") < plan.index("MapInArrow")  # from the last step to the first
+    assert "HashAggregate" not in plan[plan.index("Exchange") :]
