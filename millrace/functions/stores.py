@@ -11,13 +11,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import pages
 from .html import json_ld
+from .pages import ENTITIES
 from .text import digits_to_int, strip_all
 
-#: Entities that pages use in names and texts.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-
 def plain(c: Column) -> Column:
     """Text of markup: tags out, entities decoded, white space collapsed and trimmed."""
     bare = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(c, r"(?s)<[^>]*>", ""))
@@ -67,11 +65,6 @@ def number(c: Column, kind: str = "double") -> Column:
     return filled_or_null(F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)?)", 1)).try_cast(kind)
 
 
-def listed(c: Column) -> Column:
-    """The parts between commas, trimmed, without blanks; none for null."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-
-
 def zipped(names: tuple[str, str], left: Column, right: Column) -> Column:
     """Pairs of two arrays in order, as many as the shorter one has."""
     both = F.arrays_zip(left.alias(names[0]), right.alias(names[1]))
@@ -158,37 +151,41 @@ def profile(html: Column, platform: Column, address_of_id: Column) -> Column:
     )
 
 
+def named(**fields: Column) -> Column:
+    """Struct with the names given, also where fields aren't resolved yet (nested lambdas lose an alias)."""
+    return F.named_struct(*[c for name, field in fields.items() for c in (F.lit(name), field)])
+
+
+def menu(m: Column) -> Column:
+    """(name, price, description, menu_index) of an item's texts."""
+    return named(name=m["name"], price=digits_to_int(F.coalesce(m["price"], F.lit("0"))), description=F.coalesce(m["description"], F.lit("")), menu_index=m["menu_index"])
+
+
 def menus(html: Column) -> Column:
     """Array of (name, price, description, menu_index) of the menu list's items that have a name."""
-    items = F.regexp_extract_all(inner(html, "ul", marked("Restaurant-MenuList")), F.lit(r"(?is)(<li\b(?=[^>]*\bdata-menu-index=)[^>]*>.*?)</li>"), F.lit(1))
-    made = F.transform(items, lambda x: F.struct(first_text(x, "span", marked("restaurant-menu")).alias("name"), digits_to_int(F.coalesce(first_text(x, "p", marked("restaurant-price")), F.lit("0"))).alias("price"), F.coalesce(first_text(x, "p", marked("menu-description")), F.lit("")).alias("description"), F.coalesce(attribute(x, "li", "", "data-menu-index"), F.lit("")).alias("menu_index")))
-    return F.filter(made, lambda m: m["name"].isNotNull())
+    return F.transform(pages.texts(html)["menus"], menu)
+
+
+def review(r: Column) -> Column:
+    """The ten fields of a review's texts."""
+    value = lambda name, kind, missing: F.coalesce(r[name].try_cast(kind), F.lit(missing))
+    return named(
+        content=strip_all(r["content"]),
+        author=r["author"],
+        author_stats=named(avg_score=value("avg_score", "double", 0.0), review_count=value("review_count", "int", 0), follower_count=value("follower_count", "int", 0)),
+        visited_at=F.coalesce(r["visited_at"], F.lit("")),
+        rating=F.coalesce(number(r["rating"]), F.lit(0.0)),
+        sub_evaluations=F.map_from_entries(r["sub_evaluations"]),
+        ordered_menus=r["ordered_menus"],
+        keywords=r["keywords"],
+        review_images=r["review_images"],
+        source_review_id=F.lit(""),
+    )
 
 
 def reviews(html: Column) -> Column:
     """Array of the ten fields of each review that has an author; line breaks in its text stay."""
-
-    def review(x: Column) -> Column:
-        text = lambda *c: first_text(x, "[a-z]+", marked(*c))
-        lines = F.split(inner(x, "div", marked("review_contents", "btxt")), r"(?i)<br\s*/?>")
-        subs = F.regexp_extract_all(x, F.lit(rf"(?is)<p\b{marked('sub_title')}[^>]*>(.*?)</p>"), F.lit(1))
-        valued = F.filter(F.transform(subs, lambda s: F.struct(F.trim(F.replace(plain(F.regexp_replace(s, rf"(?is)<span\b{marked('text')}[^>]*>.*?</span>", "")), F.lit(":"), F.lit(""))).alias("k"), first_text(s, "span", marked("text")).alias("v"))), lambda p: p["v"].isNotNull())
-        stats = F.struct(F.coalesce(text("avg_score").try_cast("double"), F.lit(0.0)).alias("avg_score"), F.coalesce(text("rv_cnt").try_cast("int"), F.lit(0)).alias("review_count"), F.coalesce(text("follower_cnt").try_cast("int"), F.lit(0)).alias("follower_count"))
-        photos = F.filter(F.regexp_extract_all(x, F.lit(rf'(?is)<[a-z]+\b{marked("btn-gallery-review")}[^>]*\bdata-origin="([^"]*)"'), F.lit(1)), lambda u: u != "")
-        return F.struct(
-            strip_all(F.array_join(F.transform(lines, plain), "\n")).alias("content"),
-            first_text(F.regexp_extract(x, rf"(?is)<[a-z]+\b{marked('person-grade')}[^>]*>(.*)", 1), "strong").alias("author"),
-            stats.alias("author_stats"),
-            F.coalesce(first_text(x, "span", marked("date")), F.lit("")).alias("visited_at"),
-            F.coalesce(number(text("total_score")), F.lit(0.0)).alias("rating"),
-            F.map_from_entries(valued).alias("sub_evaluations"),
-            listed(text("ordered_menu_list")).alias("ordered_menus"),
-            listed(text("new-keyword_list")).alias("keywords"),
-            photos.alias("review_images"),
-            F.lit("").alias("source_review_id"),
-        )
-
-    return F.filter(F.transform(parts(html, rf"<div\b{marked('latter-graph-body')}[^>]*>"), review), lambda r: r["author"].isNotNull())
+    return F.transform(pages.texts(html)["reviews"], review)
 
 
 def page_photos(html: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import stores
+from ..functions import pages, stores
 from ..operators import dictionaries as D
 from ..operators import records, reports
 from . import restaurant
@@ -57,9 +57,10 @@ def store_reviews(spark, sf_dir):
     """Reviews and menus of a page an order; a review without an author doesn't count, nor does an item without a number."""
     # a page takes far longer to read than its order: the few parts of a small file are dealt to all cores first
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
-    page = orders.select("o_orderkey", F.expr(REVIEWS).alias("html"))
-    offered = F.array_join(F.transform(stores.menus(F.col("html")), lambda m: F.concat_ws("=", m["name"], m["price"].cast("string"))), ",")
-    r = page.select("o_orderkey", offered.alias("offered"), F.explode(stores.reviews(F.col("html"))).alias("r"))
+    page = orders.select("o_orderkey", pages.texts(F.expr(REVIEWS), ("name", "price", "review_count", "rating", "ordered_menus")).alias("t"))
+    offered = F.array_join(F.transform(F.transform("t.menus", stores.menu), lambda m: F.concat_ws("=", m["name"], m["price"].cast("string"))), ",")
+    each = page.select("o_orderkey", offered.alias("offered"), F.explode("t.reviews").alias("texts"))
+    r = each.select("o_orderkey", "offered", stores.review(F.col("texts")).alias("r"))
     return r.select("o_orderkey", "r.author", "r.content", "r.rating", F.col("r.author_stats.review_count").alias("reviews_of_author"), F.col("r.sub_evaluations")["맛"].alias("taste"), F.array_join("r.ordered_menus", ",").alias("menus"), F.array_join("r.review_images", ",").alias("images"), "offered")
 
 

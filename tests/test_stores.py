@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import stores
+from millrace.functions import pages, stores
 from millrace.operators import components, keywords, merging, relational, reports
 from millrace.plans import restaurant, store_queries
 from millrace.streaming import ingest
@@ -118,3 +119,35 @@ def test_a_text_is_computed_once(spark):
     assert plan.count("(.*?)</b>") == 1 and "nullif" not in plan
     assert made.first()["n"] == [4.5]
     assert spark.range(1).select(stores.filled_or_null(F.lit("")).alias("a"), stores.filled_or_null(F.lit(None).cast("string")).alias("b")).first()[:] == (None, None)
+
+
+ODD_PAGES = [
+    None,
+    "",
+    "no markup > at < all",
+    '<UL CLASS="x Restaurant-MenuList"><li data-menu-index="1"><SPAN class="restaurant-menu">a &amp;amp;\n b</SPAN></li><li class="c" data-menu-index="2"><p class="restaurant-price">1</p></li></ul><ul class="Restaurant-MenuList"><li data-menu-index="3"><span class="restaurant-menu">z</span></li></ul>',
+    '<div class="latter-graph-body"><p class="person-grade"><strong>﷐A</strong><i class="xrv_cnt">1</i><i class="rv_cnt2">2</i><i class="a rv_cnt b">3</i><i class="rv_cnt">4</i><i data-origin="u" class="btn-gallery-review"><div class="btxt c review_contents"> x<BR>\t y </div>',
+    '<div class="latter-graph-body">nobody<div <div class="latter-graph-body"><p class="person-grade"><strong class="s"> </strong></p></div><div id="1" class="latter-graph-body"><b class="person-grade"><strong>B</strong><p class="sub_title">k:<span class="text"> </span></p><p class="sub_title">l <span class="text">v</span></p>',
+]
+
+
+def test_pages_are_read_by_batches(spark):
+    """What is found on odd pages, alone or together, and with characters that serve as marks elsewhere."""
+    html = pa.array(ODD_PAGES)
+    made = pages.read(html, pages.FIELDS)
+    assert made.to_pylist() == pages.read(html, pages.FIELDS, at_once=1).to_pylist() == [pages.read(html.slice(k, 1), pages.FIELDS)[0].as_py() for k in range(len(html))]
+    assert len(pages.read(html.slice(0, 0), pages.FIELDS)) == 0 and "﷐" not in pages.marks(html)
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(ODD_PAGES)], "k int, h string")
+    read = rows.select("k", stores.menus(F.col("h")).alias("m"), stores.reviews(F.col("h")).alias("r")).orderBy("k").collect()
+    assert [r["m"] and [tuple(m) for m in r["m"]] for r in read] == [None, [], [], [("a &amp; b", 0, "", "1")], [], []]
+    assert [r["r"] and [x["author"] for x in r["r"]] for r in read] == [None, [], [], [], ["﷐A"], ["B"]]
+    first, second = read[4]["r"][0], read[5]["r"][0]
+    assert (first["author_stats"]["review_count"], first["review_images"], first["content"]) == (3, ["u"], "x\ny") and second["sub_evaluations"] == {"l": "v"}
+    some = rows.select(pages.texts(F.col("h"), ["rating"]).alias("t")).selectExpr("explode(t.reviews) AS r").collect()
+    assert [(x["r"]["author"], x["r"]["review_count"]) for x in some] == [("﷐A", None), ("B", None)]
+
+
+def test_a_page_is_read_once(spark, sf_dir):
+    """One pass over the pages yields menus and reviews: none of Java's expressions runs through a page, nor again for each review."""
+    plan = store_queries.store_reviews(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan and "split(" not in plan
